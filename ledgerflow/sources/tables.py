@@ -39,16 +39,22 @@ def check_schema(df: DataFrame, declared: T.StructType, name: str = "table") ->
     return df
 
 
-def read_table(spark: SparkSession, base: str, name: str, validate: bool = True) -> DataFrame:
-    """Read ``<base>/<name>.parquet``; validate against ``TABLES[name]`` when declared.
-
-    Reading resolves the path and the file schema immediately, so a missing
-    table raises here, not at the first action.
+def read_table(spark: SparkSession, base: str, name: str, validate: bool = False) -> DataFrame:
+    """Read ``<base>/<name>.parquet`` with its declared schema.
+
+    With a declared schema Spark skips footer-based schema inference (a
+    separate job per read). Listing the path still happens here, so a
+    missing table raises immediately. ``validate=True`` instead infers the
+    file schema and checks it against the declared one; tables without a
+    declared schema are always inferred.
     """
-    df = spark.read.parquet(table_path(base, name))
-    if validate and name in TABLES:
-        check_schema(df, TABLES[name], name)
-    return df
+    path = table_path(base, name)
+    declared = TABLES.get(name)
+    if declared is None:
+        return spark.read.parquet(path)
+    if validate:
+        return check_schema(spark.read.parquet(path), declared, name)
+    return spark.read.schema(declared).parquet(path)
 
 
 def load_tables(spark: SparkSession, base: str, names: Iterable[str] | None = None) -> dict[str, DataFrame]:

@@ -1,0 +1,33 @@
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+if ROOT not in sys.path:
+    sys.path.insert(0, ROOT)
+
+SF001 = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from ledgerflow.session import build_session
+
+    session = build_session(
+        "local[4]",
+        app_name="ledgerflow-tests",
+        shuffle_partitions=4,
+        conf={"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"},
+    )
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def workdir(tmp_path):
+    """A fresh local folder for tables a test writes (tests run on one machine)."""
+    return str(tmp_path)

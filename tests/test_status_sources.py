@@ -1,0 +1,149 @@
+"""Status labels (F17, F18), fallback reads (O13), JSON output (O14, F19), schemas."""
+
+from __future__ import annotations
+
+import json
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from conftest import SF001
+from ledgerflow.functions.labels import availability_label, overall_label
+from ledgerflow.operators import ha_status, nest_status, sync_status
+from ledgerflow.schemas import STATUS_TABLES, TABLES
+from ledgerflow.sources import (
+    NoReadableSource,
+    SchemaMismatch,
+    Side,
+    check_schema,
+    json_document,
+    json_rows,
+    open_side,
+    read_table,
+    read_with_fallback,
+)
+
+NAMES = ["customers", "rentals"]
+
+
+def _side(spark, name, counts):
+    if counts is None:
+        return Side(name, error="connection refused")
+    return Side(name, {n: spark.range(c) for n, c in zip(NAMES, counts)})
+
+
+@pytest.mark.parametrize(
+    "source, replica, overall, availability, lags",
+    [
+        ((3, 5), (3, 5), "IN_SYNC", "NORMAL", (0, 0)),
+        ((3, 5), (3, 4), "LAG_DETECTED", "NORMAL", (0, 1)),
+        ((3, 5), (4, 5), "LAG_DETECTED", "NORMAL", (-1, 0)),   # negative lag is still a lag
+        (None, (3, 5), "SOURCE_DOWN_REPLICA_RUNNING", "FAILOVER_ACTIVE", (None, None)),
+        ((3, 5), None, "REPLICA_DOWN", "REPLICA_DOWN", (None, None)),
+        (None, None, "BOTH_DOWN", "BOTH_DOWN", (None, None)),
+    ],
+)
+def test_status_truth_table(spark, source, replica, overall, availability, lags):
+    src, rep = _side(spark, "source", source), _side(spark, "replica", replica)
+    row = sync_status(spark, src, rep, NAMES, checked_at="2026-04-21 10:30:00").collect()[0]
+    assert row["overall_status"] == overall
+    assert (row["lag_customers"], row["lag_rentals"]) == lags
+    assert row["checked_at"] == "2026-04-21T10:30:00Z"
+    assert row["source_status"] == ("offline" if source is None else "online")
+    if source is None:
+        assert row["source_customers"] is None and row["source_error"] == "connection refused"
+    ha = ha_status(spark, src, rep, checked_at="2026-04-21 10:30:00").collect()[0]
+    assert ha["ha_status"] == availability
+
+
+def test_labels_as_columns(spark):
+    df = spark.createDataFrame(
+        [("online", "online", 0), ("online", "online", 2), ("offline", "online", None), (None, "online", None)],
+        "s string, r string, lag long",
+    )
+    out = df.select(
+        overall_label(F.col("s"), F.col("r"), [F.col("lag")]).alias("o"), availability_label(F.col("s"), F.col("r")).alias("a")
+    ).collect()
+    assert [tuple(r) for r in out] == [
+        ("IN_SYNC", "NORMAL"),
+        ("LAG_DETECTED", "NORMAL"),
+        ("SOURCE_DOWN_REPLICA_RUNNING", "FAILOVER_ACTIVE"),
+        ("SOURCE_DOWN_REPLICA_RUNNING", "FAILOVER_ACTIVE"),
+    ]
+
+
+def test_replica_path_missing_is_replica_down(spark, workdir):
+    # the replica is read directly; a missing copy is reported, not replaced by the source.
+    source = open_side(spark, "source", SF001, STATUS_TABLES)
+    replica = open_side(spark, "replica", f"{workdir}/no-such-copy", STATUS_TABLES)
+    assert source.online and not replica.online and "PATH_NOT_FOUND" in replica.error
+    row = sync_status(spark, source, replica, list(STATUS_TABLES)).collect()[0]
+    assert row["overall_status"] == "REPLICA_DOWN"
+    assert row["source_rentals"] == 1000 and row["replica_rentals"] is None
+
+
+def test_nested_status_document(spark):
+    src, rep = _side(spark, "source", (2, 2)), _side(spark, "replica", (2, 1))
+    doc = nest_status(sync_status(spark, src, rep, NAMES, checked_at="2026-01-01 00:00:00"), NAMES)
+    data = json.loads(doc.select(F.to_json(F.struct("*"))).collect()[0][0])
+    assert data["source"] == {"status": "online", "customers": 2, "rentals": 2}
+    assert data["sync_lag"] == {"customers": 0, "rentals": 1}
+    assert data["overall_status"] == "LAG_DETECTED"
+
+
+def test_fallback_reads_second_copy_and_tags(spark, workdir):
+    df, used = read_with_fallback(spark, [("primary", f"{workdir}/gone"), ("fallback", SF001)], "orders")
+    assert used == "fallback" and df.count() == 1500
+    df, used = read_with_fallback(spark, [("primary", SF001), ("fallback", f"{workdir}/gone")], "orders")
+    assert used == "primary"
+
+
+def test_fallback_keeps_every_cause(spark, workdir):
+    with pytest.raises(NoReadableSource) as info:
+        read_with_fallback(spark, [("primary", f"{workdir}/a"), ("fallback", f"{workdir}/b")], "orders")
+    message = str(info.value)
+    assert "primary:" in message and "fallback:" in message
+
+
+def test_json_rows_decimals_as_strings(spark):
+    # total 61312.04 -> "61312.04" (a string), NULLs kept.
+    df = spark.createDataFrame(
+        [(599, Decimal("61312.04"), None)],
+        T.StructType(
+            [
+                T.StructField("total_customers", T.LongType()),
+                T.StructField("total_revenue", T.DecimalType(38, 2)),
+                T.StructField("note", T.StringType()),
+            ]
+        ),
+    )
+    line = json_rows(df).collect()[0]["value"]
+    assert line == '{"total_customers":599,"total_revenue":"61312.04","note":null}'
+
+
+def test_json_document_bounded_and_ordered(spark):
+    df = spark.createDataFrame([(m, Decimal(f"{i}.50")) for i, m in enumerate(["2022-03", "2022-01", "2022-02"])],
+                               "month string, revenue decimal(10,2)")
+    doc = json.loads(json_document(df, [F.col("month")], max_rows=10, data_source="primary").collect()[0][0])
+    assert [d["month"] for d in doc["data"]] == ["2022-01", "2022-02", "2022-03"]
+    assert doc["data"][0]["revenue"] == "1.50" and doc["data_source"] == "primary"
+    with pytest.raises(Exception, match="more than 2 rows"):
+        json_document(df, [F.col("month")], max_rows=2).collect()
+
+
+def test_declared_schemas_match_test_tables(spark):
+    for name in TABLES:
+        read_table(spark, SF001, name, validate=True)
+
+
+def test_schema_mismatch_detected(spark):
+    df = spark.createDataFrame([(1,)], "event_id int")
+    with pytest.raises(SchemaMismatch):
+        check_schema(df, TABLES["events"], "events")
+
+
+def test_missing_table_fails_on_open(spark, workdir):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_table(spark, workdir, "orders")

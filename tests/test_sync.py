@@ -1,0 +1,210 @@
+"""Incremental sync: watermark, batches, idempotent insert, cycles, streaming (F11-F16)."""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerflow.operators import (
+    first_per_key,
+    high_watermark,
+    high_watermark_value,
+    incremental_batch,
+    insert_if_absent,
+    read_log,
+    run_sync,
+)
+from ledgerflow.operators import sync as sync_module
+from ledgerflow.plans import plan_text
+from ledgerflow.streaming import start_sync, stream_location, sync_until_caught_up
+
+RENTAL = T.StructType(
+    [
+        T.StructField("rental_id", T.LongType(), True),
+        T.StructField("rental_date", T.TimestampNTZType(), True),
+        T.StructField("inventory_id", T.LongType(), True),
+        T.StructField("customer_id", T.LongType(), True),
+        T.StructField("return_date", T.TimestampNTZType(), True),
+        T.StructField("staff_id", T.LongType(), True),
+        T.StructField("last_update", T.TimestampNTZType(), True),
+    ]
+)
+T0 = dt.datetime(2022, 5, 24, 22, 53, 30)
+
+
+def rentals(spark, ids, customer=1):
+    rows = [(i, T0 + dt.timedelta(minutes=int(i)), 100 + i, customer, None, 1, T0) for i in ids]
+    return spark.createDataFrame(rows, RENTAL)
+
+
+def ids_in(spark, path):
+    return sorted(r[0] for r in spark.read.schema(RENTAL).parquet(path).select("rental_id").collect())
+
+
+def test_watermark_default_and_empty(spark):
+    empty = spark.createDataFrame([], RENTAL)
+    assert high_watermark(empty, "rental_id").collect()[0][0] is None
+    assert high_watermark(empty, "rental_id", init=0).collect()[0][0] == 0
+    assert high_watermark_value(rentals(spark, [3, 9, 4]), "rental_id", init=0) == 9
+
+
+def test_batch_above_watermark_in_key_order_capped(spark):
+    src = rentals(spark, [5, 1, 3, 2, 4, 0])
+    assert [r[0] for r in incremental_batch(src, "rental_id", 1, limit=3).collect()] == [2, 3, 4]
+    # no lower bound: key 0 is part of the batch (F11)
+    assert [r[0] for r in incremental_batch(src, "rental_id", None, limit=2).collect()] == [0, 1]
+
+
+def test_batch_plan_pushes_bound_and_is_top_k(spark, workdir):
+    path = f"{workdir}/src"
+    rentals(spark, range(50)).write.parquet(path)
+    batch = incremental_batch(spark.read.schema(RENTAL).parquet(path), "rental_id", 10, limit=5)
+    text = plan_text(batch)
+    assert "PushedFilters: [IsNotNull(rental_id), GreaterThan(rental_id,10)]" in text
+    assert "TakeOrderedAndProject" in text
+
+
+def test_insert_overlap_and_replay(spark, workdir):
+    # target 1-5, batch 4-8 -> 3 inserted, existing rows unchanged; F14: replay inserts 0.
+    target = f"{workdir}/target"
+    original = rentals(spark, range(1, 6), customer=7)
+    original.write.parquet(target)
+    batch = rentals(spark, range(4, 9), customer=8)
+    assert insert_if_absent(spark, batch, target, "rental_id").inserted == 3
+    assert ids_in(spark, target) == list(range(1, 9))
+    kept = spark.read.schema(RENTAL).parquet(target).where("rental_id <= 5").select("customer_id").distinct()
+    assert [r[0] for r in kept.collect()] == [7]
+    assert insert_if_absent(spark, batch, target, "rental_id").inserted == 0
+    assert ids_in(spark, target) == list(range(1, 9))
+
+
+def test_insert_into_missing_target_and_null_keys(spark, workdir):
+    target = f"{workdir}/new_target"
+    batch = rentals(spark, [0, 1, 2]).unionByName(rentals(spark, [5]).withColumn("rental_id", F.lit(None).cast("long")))
+    res = insert_if_absent(spark, batch, target, "rental_id")
+    assert (res.inserted, res.batch_rows, res.first_key, res.last_key) == (3, 3, 0, 2)
+    assert ids_in(spark, target) == [0, 1, 2]
+
+
+def test_duplicate_key_keeps_first_by_stated_order(spark):
+    # key 9 twice -> one row, the first by the stated order (rental_date).
+    batch = rentals(spark, [9, 9, 10])
+    batch = batch.withColumn(
+        "rental_date", F.when(F.col("inventory_id") == 109, F.col("rental_date") - F.expr("INTERVAL 1 DAY"))
+        .otherwise(F.col("rental_date"))
+    ).withColumn("staff_id", F.monotonically_increasing_id())
+    firsts = first_per_key(batch, "rental_id", order_by=["staff_id"]).orderBy("rental_id").collect()
+    assert [r["rental_id"] for r in firsts] == [9, 10]
+    smallest_staff = batch.where("rental_id = 9").agg(F.min("staff_id")).collect()[0][0]
+    assert firsts[0]["staff_id"] == smallest_staff
+    assert first_per_key(batch, "rental_id").columns == batch.columns
+
+
+def test_first_per_key_uses_partial_aggregation(spark):
+    text = plan_text(first_per_key(rentals(spark, [1, 1, 2]), "rental_id"), "formatted")
+    assert "partial_min" in text
+
+
+def test_cycles_respect_cap_and_converge(spark, workdir):
+    # 250 new rows, cap 100 -> cycles of 100, 100, 50, then one that finds nothing.
+    source = rentals(spark, range(1000, 1250))
+    target, log = f"{workdir}/t", f"{workdir}/log"
+    results = run_sync(spark, source, target, "rental_id", cap=100, log_path=log)
+    assert [r.found for r in results] == [100, 100, 50, 0]
+    assert [r.inserted for r in results] == [100, 100, 50, 0]
+    assert [r.watermark for r in results] == [1099, 1199, 1249, 1249]
+    assert [r.remaining_lag for r in results] == [150, 50, 0, 0]
+    assert ids_in(spark, target) == list(range(1000, 1250))
+    logged = read_log(spark, log).orderBy("cycle").select("cycle", "found", "first_key", "last_key").collect()
+    assert [tuple(r) for r in logged] == [(1, 100, 1000, 1099), (2, 100, 1100, 1199), (3, 50, 1200, 1249), (4, 0, None, None)]
+
+
+def test_key_zero_synced_into_empty_target(spark, workdir):
+    # differs from a default watermark of 0 with a strict ">" (which skips key 0).
+    target = f"{workdir}/t0"
+    run_sync(spark, rentals(spark, [0, 1, 2]), target, "rental_id", cap=100, with_counts=False)
+    assert ids_in(spark, target) == [0, 1, 2]
+
+
+def test_failed_write_loses_nothing(spark, workdir, monkeypatch):
+    # F16: the first insert raises; the watermark must not move, a rerun completes.
+    source = rentals(spark, range(1, 31))
+    target = f"{workdir}/tf"
+    rentals(spark, range(1, 6)).write.parquet(target)
+    real = sync_module.insert_if_absent
+    calls = {"n": 0}
+
+    def flaky(*args, **kwargs):
+        calls["n"] += 1
+        if calls["n"] == 2:
+            raise RuntimeError("target unavailable")
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(sync_module, "insert_if_absent", flaky)
+    with pytest.raises(RuntimeError):
+        run_sync(spark, source, target, "rental_id", cap=10, with_counts=False)
+    assert ids_in(spark, target) == list(range(1, 16))
+    monkeypatch.setattr(sync_module, "insert_if_absent", real)
+    run_sync(spark, source, target, "rental_id", cap=10, with_counts=False)
+    assert ids_in(spark, target) == list(range(1, 31))
+
+
+def _landing(spark, workdir, ids, files):
+    path = f"{workdir}/landing-{files}"
+    rentals(spark, ids).repartitionByRange(files, "rental_id").write.parquet(path)
+    return path
+
+
+def test_stream_converges_replays_and_resumes(spark, workdir):
+    landing = _landing(spark, workdir, range(0, 60), 3)
+    target, log, ckpt = f"{workdir}/st", f"{workdir}/stlog", f"{workdir}/ckpt"
+    rentals(spark, range(0, 10)).write.parquet(target)
+    sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=ckpt, log_path=log,
+                         max_files_per_trigger=1)
+    assert ids_in(spark, target) == list(range(60))
+    entries = read_log(spark, log).orderBy("cycle").collect()
+    assert len(entries) == 3 and sum(r["inserted"] for r in entries) == 50
+    assert entries[-1]["remaining_lag"] == 0
+    # Same checkpoint: nothing new, no batch. Fresh checkpoint: replay inserts 0.
+    sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=ckpt, log_path=log)
+    assert read_log(spark, log).count() == 3
+    sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=f"{workdir}/ckpt2", log_path=log)
+    replayed = read_log(spark, log)
+    assert replayed.count() == 4 and replayed.agg(F.sum("inserted")).collect()[0][0] == 50
+    assert ids_in(spark, target) == list(range(60))
+
+
+def test_stream_file_split_does_not_change_result(spark, workdir):
+    results = []
+    for files in (1, 4):
+        landing = _landing(spark, workdir, range(100, 140), files)
+        target = f"{workdir}/split-{files}"
+        sync_until_caught_up(spark, landing, RENTAL, target, "rental_id",
+                             checkpoint=f"{workdir}/ck-{files}", max_files_per_trigger=1)
+        results.append(ids_in(spark, target))
+    assert results[0] == results[1] == list(range(100, 140))
+
+
+def test_stream_new_files_picked_up(spark, workdir):
+    landing = f"{workdir}/feed"
+    rentals(spark, range(0, 5)).write.parquet(landing)
+    target = f"{workdir}/feed_target"
+    q = start_sync(spark, landing, RENTAL, target, "rental_id",
+                   checkpoint=f"{workdir}/feed_ck", interval="1 second")
+    try:
+        q.processAllAvailable()
+        rentals(spark, range(5, 9)).write.mode("append").parquet(landing)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert ids_in(spark, target) == list(range(9))
+
+
+def test_stream_location_of_single_file():
+    assert stream_location("/data/events.parquet") == "/data/{events.parquet}"
+    assert stream_location("/data/landing/") == "/data/landing"
+    assert os.path.basename(stream_location("/a/b")) == "b"
