@@ -7,9 +7,11 @@ without rows are absent and a NULL date forms its own group, sorted last.
 The month-partitioned layout stores the ``yyyy-MM`` key as a directory
 partition column. Filtering on that column prunes directories
 (``PartitionFilters`` in the scan); filtering on an expression of the
-timestamp would not. The writer range-partitions by (month, timestamp,
-key) so a month holding a large share of the rows is spread over many
-tasks and files, instead of one task per month.
+timestamp would not. The writer uses a REBALANCE on the month: AQE sizes
+the write partitions to ``spark.sql.adaptive.advisoryPartitionSizeInBytes``,
+splitting a month that holds a large share of the rows over many tasks
+and files and merging small months, instead of one task per month or one
+file per (task, month).
 """
 
 from __future__ import annotations
@@ -50,12 +52,16 @@ def write_month_partitioned(
     month_col: str = "month",
     mode: str = "overwrite",
 ) -> None:
-    """Write ``df`` under ``path`` partitioned by the ``yyyy-MM`` month of ``date_col``."""
-    spread = [month_col, date_col] + ([key_col] if key_col else [])
+    """Write ``df`` under ``path`` partitioned by the ``yyyy-MM`` month of ``date_col``.
+
+    Rows are sorted by (month, date, key) inside each task, so Parquet
+    min/max statistics of the date and key columns are tight per file.
+    """
+    order = [month_col, date_col] + ([key_col] if key_col else [])
     (
         df.withColumn(month_col, month_key(date_col))
-        .repartitionByRange(*spread)
-        .sortWithinPartitions(month_col, date_col)
+        .hint("rebalance", month_col)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .partitionBy(month_col)
         .parquet(path)

@@ -125,14 +125,21 @@ def insert_if_absent(
     Within the batch the first row per key wins (``first_per_key``). Returns
     the number of rows written (an observed metric of the write itself, so
     the batch is not recounted) plus the batch's size and key range.
+
+    One pass over the key column gives the batch's size, key range and
+    exact number of distinct keys (hash aggregates with a map-side step);
+    the sort-based one-row-per-key step only runs when a key repeats.
     """
     keyed = batch.where(F.col(key).isNotNull())
     stats = keyed.agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.col(key)).alias("lo"), F.max(F.col(key)).alias("hi")
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.col(key)).alias("lo"),
+        F.max(F.col(key)).alias("hi"),
+        F.count_distinct(F.col(key)).alias("keys"),
     ).first()
     if not stats["n"]:
         return InsertResult(0, 0, None, None)
-    rows = first_per_key(keyed, key, order_by)
+    rows = keyed if stats["keys"] == stats["n"] else first_per_key(keyed, key, order_by)
     if path_exists(spark, target_path):
         existing = (
             spark.read.schema(batch.schema)

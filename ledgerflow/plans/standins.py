@@ -156,19 +156,19 @@ def q_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_ha_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Availability for each combination of a readable / absent source and replica."""
-    replica_base = shared_replica(spark, sf_dir)
     absent = f"{sf_dir.rstrip('/')}/absent-copy"
+    source = open_side(spark, "source", sf_dir, STATUS_TABLES)
+    replica = open_side(spark, "replica", shared_replica(spark, sf_dir), STATUS_TABLES)
+    missing = open_side(spark, "absent", absent, STATUS_TABLES)
     rows = []
-    for scenario, src_base, rep_base in (
-        ("both_readable", sf_dir, replica_base),
-        ("source_absent", absent, replica_base),
-        ("replica_absent", sf_dir, absent),
-        ("both_absent", absent, absent),
+    for scenario, src, rep in (
+        ("both_readable", source, replica),
+        ("source_absent", missing, replica),
+        ("replica_absent", source, missing),
+        ("both_absent", missing, missing),
     ):
-        source = open_side(spark, "source", src_base, STATUS_TABLES)
-        replica = open_side(spark, "replica", rep_base, STATUS_TABLES)
         rows.append(
-            ha_status(spark, source, replica, with_checked_at=False)
+            ha_status(spark, src, rep, with_checked_at=False)
             .select(F.lit(scenario).alias("scenario"), "source_status", "replica_status", "ha_status")
         )
     out = rows[0]

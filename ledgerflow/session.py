@@ -79,9 +79,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ledgerflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Bumped whenever the layout of a reused written table changes.
+LAYOUT_VERSION = "2"
+
+
 def stable_path(spark: SparkSession, name: str, *parts: str) -> str:
     """A location under the shared folder keyed by ``parts`` (e.g. a source path)."""
-    digest = hashlib.sha1("\x00".join(parts).encode()).hexdigest()[:16]
+    digest = hashlib.sha1("\x00".join((LAYOUT_VERSION, *parts)).encode()).hexdigest()[:16]
     return f"{shared_dir(spark)}/ledgerflow/{name}-{digest}"
 
 
