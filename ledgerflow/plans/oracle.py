@@ -27,6 +27,18 @@ GROUP BY 1
 ORDER BY month ASC NULLS LAST
 """
 
+_TOP_CUSTOMERS = f"""
+SELECT c.c_name || ' ' || c.c_mktsegment AS customer_name,
+       {_MONEY_TOTAL.format(col="o.o_totalprice")} AS total_spent,
+       COUNT(o.o_orderkey) AS rental_count
+FROM customer c
+JOIN orders o ON c.c_custkey = o.o_custkey
+GROUP BY c.c_custkey, c.c_name, c.c_mktsegment
+ORDER BY total_spent DESC NULLS FIRST, c.c_custkey ASC NULLS LAST, c.c_name ASC NULLS LAST,
+         c.c_mktsegment ASC NULLS LAST
+LIMIT 10
+"""
+
 _WATERMARK = f"(SELECT COALESCE(MAX(event_id), -1) FROM {_REPLICA_EVENTS} r)"
 
 _EVENTS_ALL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
@@ -71,17 +83,7 @@ ORDER BY rental_count DESC NULLS FIRST, c.c_custkey ASC NULLS LAST, r.r_name ASC
          c.c_name ASC NULLS LAST, c.c_acctbal ASC NULLS LAST
 LIMIT 10
 """,
-    "top_customers": f"""
-SELECT c.c_name || ' ' || c.c_mktsegment AS customer_name,
-       {_MONEY_TOTAL.format(col="o.o_totalprice")} AS total_spent,
-       COUNT(o.o_orderkey) AS rental_count
-FROM customer c
-JOIN orders o ON c.c_custkey = o.o_custkey
-GROUP BY c.c_custkey, c.c_name, c.c_mktsegment
-ORDER BY total_spent DESC NULLS FIRST, c.c_custkey ASC NULLS LAST, c.c_name ASC NULLS LAST,
-         c.c_mktsegment ASC NULLS LAST
-LIMIT 10
-""",
+    "top_customers": _TOP_CUSTOMERS,
     "monthly_revenue": _MONTHLY_REVENUE,
     "monthly_revenue_partitioned": _MONTHLY_REVENUE,
     "high_watermark": f"SELECT {_WATERMARK} AS high_watermark",
@@ -131,5 +133,15 @@ SELECT m.*, 'fallback' AS data_source FROM ({_MONTHLY_REVENUE}) m
 SELECT CAST(json_object('month', month, 'revenue', CAST(revenue AS VARCHAR),
                         'payment_count', payment_count) AS VARCHAR) AS value
 FROM ({_MONTHLY_REVENUE}) m
+""",
+    "json_document": f"""
+SELECT CAST(to_json({{
+           'data': list({{'customer_name': customer_name,
+                         'total_spent': CAST(total_spent AS VARCHAR),
+                         'rental_count': rental_count}}
+                        ORDER BY total_spent DESC NULLS FIRST, customer_name ASC NULLS LAST,
+                                 rental_count ASC NULLS LAST),
+           'data_source': 'primary'}}) AS VARCHAR) AS value
+FROM ({_TOP_CUSTOMERS}) t
 """,
 }

@@ -33,7 +33,8 @@ from ledgerflow.plans.replicas import fresh_target, shared_replica
 from ledgerflow.schemas import STATUS_TABLES, TABLES
 from ledgerflow.session import fresh_path, is_complete, stable_path
 from ledgerflow.sources.fallback import FALLBACK, PRIMARY, open_side, read_with_fallback, with_source
-from ledgerflow.sources.sinks import json_rows
+from ledgerflow.operators.topk import asc, desc
+from ledgerflow.sources.sinks import json_document, json_rows
 from ledgerflow.sources.tables import load_tables, read_table, table_path
 from ledgerflow.streaming.sync_stream import sync_until_caught_up
 
@@ -188,6 +189,13 @@ def q_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(q_monthly_revenue(spark, sf_dir))
 
 
+def q_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top customers as one ``{"data": [...], "data_source": ...}`` document."""
+    ranked = q_top_customers(spark, sf_dir)
+    order = [desc("total_spent"), asc("customer_name"), asc("rental_count")]
+    return json_document(ranked, order, max_rows=10, data_source=PRIMARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overview_totals": q_overview_totals,
     "top_items": q_top_items,
@@ -203,4 +211,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ha_status": q_ha_status,
     "fallback_source": q_fallback_source,
     "json_rows": q_json_rows,
+    "json_document": q_json_document,
 }

@@ -43,9 +43,11 @@ def json_document(
 
     Rows keep the order given by ``order_by``. The result must have at most
     ``max_rows`` rows (e.g. the ``k`` of a top-k); a larger input fails the
-    query instead of being cut.
+    query instead of being cut. At most ``max_rows + 1`` rows are ever
+    gathered into the document's single group (a per-task top-k), so even
+    an unexpectedly large input cannot overload one task.
     """
-    ordered = df.orderBy(*order_by).withColumn("_pos", F.monotonically_increasing_id())
+    ordered = df.orderBy(*order_by).limit(max_rows + 1).withColumn("_pos", F.monotonically_increasing_id())
     row = F.struct(*_json_safe_columns(df))
     packed = ordered.agg(F.sort_array(F.collect_list(F.struct(F.col("_pos"), row.alias("row")))).alias("_rows"))
     data = F.transform(F.col("_rows"), lambda x: x["row"])
