@@ -68,19 +68,23 @@ def top_items(
         .groupBy("_item")
         .agg(F.sum("_n").alias("_n"))
     )
+    # The item first meets its per-item counts (both keyed by the item key, so
+    # only the item side is exchanged), which also drops inactive items; the
+    # category labels are looked up afterwards. With small bridge / category
+    # tables those lookups are broadcast joins that keep the item-key
+    # partitioning, so the final regroup needs no further exchange.
     i, b, c = item.alias("i"), bridge.alias("b"), category.alias("c")
-    labelled = (
-        i.join(b, F.col(f"i.{item_link or item_key}") == F.col(f"b.{bridge_item_key}"))
+    active = i.join(per_item, F.col(f"i.{item_key}") == F.col("_item"))
+    counted = (
+        active.join(b, F.col(f"i.{item_link or item_key}") == F.col(f"b.{bridge_item_key}"))
         .join(c, F.col(f"b.{bridge_category_key}") == F.col(f"c.{category_key}"))
         .select(
-            F.col(f"i.{item_key}").alias("_item"),
+            F.col("_item"),
             F.col(f"i.{item_title}").alias(title_as),
             F.col(f"c.{category_name}").alias(category_as),
             F.col(f"i.{item_rate}").alias(rate_as),
+            F.col("_n"),
         )
-    )
-    counted = (
-        labelled.join(per_item, "_item")
         .groupBy("_item", title_as, category_as, rate_as)
         .agg(F.sum("_n").alias(count_as))
     )
