@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from decimal import Decimal
 
 import pytest
@@ -147,3 +148,14 @@ def test_schema_mismatch_detected(spark):
 def test_missing_table_fails_on_open(spark, workdir):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_table(spark, workdir, "orders")
+
+
+def test_corrupt_primary_falls_back(spark, workdir):
+    # The copy exists and lists fine, but its file cannot be read: the probe
+    # catches it while choosing the copy, not at the caller's first action.
+    broken = f"{workdir}/broken/orders.parquet"
+    os.makedirs(broken)
+    with open(f"{broken}/part-00000.parquet", "wb") as fh:
+        fh.write(b"not a parquet file" * 10)
+    df, used = read_with_fallback(spark, [("primary", f"{workdir}/broken"), ("fallback", SF001)], "orders")
+    assert used == "fallback" and df.count() == 1500

@@ -208,3 +208,19 @@ def test_stream_location_of_single_file():
     assert stream_location("/data/events.parquet") == "/data/{events.parquet}"
     assert stream_location("/data/landing/") == "/data/landing"
     assert os.path.basename(stream_location("/a/b")) == "b"
+
+
+def test_write_failing_mid_job_leaves_nothing_and_replays(spark, workdir):
+    # Some write tasks finish before another fails: the job aborts, none of the
+    # batch becomes visible, and a replay inserts every row exactly once.
+    target = f"{workdir}/mid"
+    rentals(spark, range(1, 11)).write.parquet(target)
+    clean = rentals(spark, range(1, 201)).repartition(4, "rental_id")
+    failing = clean.withColumn(
+        "staff_id", F.when(F.col("rental_id") == 150, F.raise_error(F.lit("disk full"))).otherwise(F.col("staff_id"))
+    )
+    with pytest.raises(Exception, match="disk full"):
+        insert_if_absent(spark, failing, target, "rental_id")
+    assert ids_in(spark, target) == list(range(1, 11))
+    assert insert_if_absent(spark, clean, target, "rental_id").inserted == 190
+    assert ids_in(spark, target) == list(range(1, 201))
