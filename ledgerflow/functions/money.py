@@ -17,8 +17,7 @@ from pyspark.sql import types as T
 MONEY = T.DecimalType(18, 2)
 TOTAL = T.DecimalType(38, 2)
 
-# Fixed output formats.
-MONTH_FORMAT = "yyyy-MM"
+# Fixed output format of timestamps.
 STAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -40,9 +39,14 @@ def round_total(column: str | Column) -> Column:
 
 
 def month_key(column: str | Column) -> Column:
-    """Calendar month of a timestamp as ``yyyy-MM`` (NULL stays NULL)."""
+    """Calendar month of a timestamp or date as ``yyyy-MM`` (NULL stays NULL).
+
+    Built from ``year`` and ``month``, which read a TIMESTAMP_NTZ's wall
+    clock directly; formatting would first convert it through the session
+    time zone, where a daylight-saving gap can move a value across midnight.
+    """
     col = F.col(column) if isinstance(column, str) else column
-    return F.date_format(col, MONTH_FORMAT)
+    return F.when(col.isNotNull(), F.format_string("%04d-%02d", F.year(col), F.month(col)))
 
 
 def utc_stamp(at: str | Column | None = None) -> Column:

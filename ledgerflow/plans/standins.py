@@ -123,9 +123,10 @@ def q_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(TABLES["events"]).parquet(target)
 
 
-def _stream_to_convergence(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+def _stream_to_convergence(spark: SparkSession, sf_dir: str, with_log: bool) -> tuple[str, str | None]:
+    """Stream the whole events table into a lagging replica until caught up."""
     target = fresh_target(spark, sf_dir, "events")
-    log = fresh_path(spark, "sync-log")
+    log = fresh_path(spark, "sync-log") if with_log else None
     sync_until_caught_up(
         spark, table_path(sf_dir, "events"), TABLES["events"], target, "event_id", log_path=log,
         checkpoint=fresh_path(spark, "sync-checkpoint"),
@@ -134,12 +135,12 @@ def _stream_to_convergence(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 
 
 def q_sync_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, _ = _stream_to_convergence(spark, sf_dir)
+    target, _ = _stream_to_convergence(spark, sf_dir, with_log=False)
     return spark.read.schema(TABLES["events"]).parquet(target)
 
 
 def q_sync_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, log = _stream_to_convergence(spark, sf_dir)
+    _, log = _stream_to_convergence(spark, sf_dir, with_log=True)
     keep = [f.name for f in LOG_SCHEMA.fields if f.name != "logged_at"]
     return read_log(spark, log).select(*keep)
 
