@@ -18,11 +18,12 @@ from pyspark.sql import SparkSession
 # Settings the operators are designed around. AQE re-plans joins at run time
 # (broadcast only when the measured side is under the threshold, otherwise
 # sort-merge), splits skewed join partitions and coalesces small shuffle
-# partitions, so no operator pins a join strategy.
+# partitions to the advisory size, so no operator pins a join strategy.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
