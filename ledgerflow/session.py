@@ -91,11 +91,27 @@ def stable_path(spark: SparkSession, name: str, *parts: str) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` exists on its file system (local, HDFS, object store)."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hadoop_path))
+    """True when ``path`` exists on its file system (local, HDFS, object store).
+
+    Uses the Hadoop file system of the session when the driver has one
+    (classic sessions); otherwise (Spark Connect) lists the path through a
+    ``binaryFile`` read, which fails with PATH_NOT_FOUND when it is absent.
+    """
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # noqa: BLE001 - no driver JVM (Spark Connect)
+        jvm = None
+    if jvm is not None:
+        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(hadoop_path.getFileSystem(conf).exists(hadoop_path))
+    try:
+        spark.read.format("binaryFile").load(path).schema
+        return True
+    except Exception as exc:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(exc):
+            return False
+        raise
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:

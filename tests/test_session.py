@@ -1,0 +1,38 @@
+"""Shared folder and path helpers."""
+
+from __future__ import annotations
+
+import os
+
+import ledgerflow.session as session
+
+
+def test_shared_dir_comes_from_the_session(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = session.shared_dir(spark)
+    if configured:
+        assert folder == configured.rstrip("/")
+    assert session.fresh_path(spark, "t") != session.fresh_path(spark, "t")
+    assert session.fresh_path(spark, "t").startswith(f"{folder}/ledgerflow/t-")
+
+
+def test_stable_path_keyed_by_parts(spark):
+    a = session.stable_path(spark, "layout", "/data/sf1")
+    assert a == session.stable_path(spark, "layout", "/data/sf1")
+    assert a != session.stable_path(spark, "layout", "/data/sf2")
+
+
+def test_path_exists_with_and_without_driver_jvm(spark, workdir, monkeypatch):
+    open(f"{workdir}/_SUCCESS", "w").close()
+    os.makedirs(f"{workdir}/empty")
+    cases = [workdir, f"{workdir}/_SUCCESS", f"{workdir}/empty", f"{workdir}/missing"]
+    expected = [True, True, True, False]
+    assert [session.path_exists(spark, p) for p in cases] == expected
+    assert session.is_complete(spark, workdir) and not session.is_complete(spark, f"{workdir}/empty")
+
+    class NoContext:
+        def __getattr__(self, name):
+            raise RuntimeError("no driver JVM")
+
+    monkeypatch.setattr(type(spark), "sparkContext", property(lambda self: NoContext()))
+    assert [session.path_exists(spark, p) for p in cases] == expected
