@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.schemas import KEYS, STATUS_TABLES
+from ledgerflow.schemas import KEYS, STATUS_TABLES, TABLES
 from ledgerflow.session import fresh_path, is_complete, stable_path
 from ledgerflow.sources.tables import read_table, table_path
 
@@ -30,7 +30,7 @@ def lagging_copy(df: DataFrame, key: str) -> DataFrame:
 
 
 def replica_rows(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = read_table(spark, sf_dir, table)
+    df = read_table(spark, sf_dir, table, TABLES[table])
     return lagging_copy(df, KEYS[table]) if table in LAGGING else df
 
 

@@ -35,7 +35,7 @@ from ledgerflow.session import fresh_path, is_complete, stable_path
 from ledgerflow.sources.fallback import FALLBACK, PRIMARY, open_side, read_with_fallback, with_source
 from ledgerflow.operators.topk import asc, desc
 from ledgerflow.sources.sinks import json_document, json_rows
-from ledgerflow.sources.tables import load_tables, read_table, table_path
+from ledgerflow.sources.tables import load_test_tables, read_table, table_path
 from ledgerflow.streaming.sync_stream import sync_until_caught_up
 
 # Watermark default used when the target is empty (below every event id).
@@ -45,7 +45,7 @@ BATCH_CAP = 100
 
 
 def q_overview_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load_tables(spark, sf_dir, ["customer", "part", "lineitem", "supplier", "orders"])
+    t = load_test_tables(spark, sf_dir, ["customer", "part", "lineitem", "supplier", "orders"])
     return overview_totals(
         spark,
         counted={
@@ -62,7 +62,7 @@ def q_overview_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load_tables(spark, sf_dir, ["customer", "nation", "region", "orders", "lineitem"])
+    t = load_test_tables(spark, sf_dir, ["customer", "nation", "region", "orders", "lineitem"])
     return top_items(
         t["customer"], t["nation"], t["region"], t["orders"], t["lineitem"],
         item_key="c_custkey", item_title="c_name", item_rate="c_acctbal", item_link="c_nationkey",
@@ -75,7 +75,7 @@ def q_top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load_tables(spark, sf_dir, ["customer", "orders"])
+    t = load_test_tables(spark, sf_dir, ["customer", "orders"])
     return top_customers(
         t["customer"], t["orders"],
         customer_key="c_custkey", first_name="c_name", last_name="c_mktsegment",
@@ -85,7 +85,7 @@ def q_top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders")
+    orders = read_table(spark, sf_dir, "orders", TABLES["orders"])
     return monthly_revenue(orders, date_col="o_orderdate", amount="o_totalprice", payment_id="o_orderkey")
 
 
@@ -94,7 +94,7 @@ def orders_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stable_path(spark, "orders-by-month", sf_dir)
     if not is_complete(spark, path):
         write_month_partitioned(
-            read_table(spark, sf_dir, "orders"), path, date_col="o_orderdate", key_col="o_orderkey"
+            read_table(spark, sf_dir, "orders", TABLES["orders"]), path, date_col="o_orderdate", key_col="o_orderkey"
         )
     return read_month_partitioned(spark, path, TABLES["orders"])
 
@@ -104,7 +104,7 @@ def q_monthly_revenue_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def _replica_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, shared_replica(spark, sf_dir), "events")
+    return read_table(spark, shared_replica(spark, sf_dir), "events", TABLES["events"])
 
 
 def q_high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +113,13 @@ def q_high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_incremental_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = high_watermark_value(_replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK)
-    return incremental_batch(read_table(spark, sf_dir, "events"), "event_id", since, BATCH_CAP)
+    return incremental_batch(read_table(spark, sf_dir, "events", TABLES["events"]), "event_id", since, BATCH_CAP)
 
 
 def q_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert the whole source into a lagging replica; the target afterwards."""
     target = fresh_target(spark, sf_dir, "events")
-    insert_if_absent(spark, read_table(spark, sf_dir, "events"), target, "event_id")
+    insert_if_absent(spark, read_table(spark, sf_dir, "events", TABLES["events"]), target, "event_id")
     return spark.read.schema(TABLES["events"]).parquet(target)
 
 
@@ -146,8 +146,8 @@ def q_sync_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str):
-    source = open_side(spark, "source", sf_dir, STATUS_TABLES)
-    replica = open_side(spark, "replica", shared_replica(spark, sf_dir), STATUS_TABLES)
+    source = open_side(spark, "source", sf_dir, STATUS_TABLES, schemas=TABLES)
+    replica = open_side(spark, "replica", shared_replica(spark, sf_dir), STATUS_TABLES, schemas=TABLES)
     return source, replica
 
 
@@ -159,9 +159,9 @@ def q_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_ha_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Availability for each combination of a readable / absent source and replica."""
     absent = f"{sf_dir.rstrip('/')}/absent-copy"
-    source = open_side(spark, "source", sf_dir, STATUS_TABLES)
-    replica = open_side(spark, "replica", shared_replica(spark, sf_dir), STATUS_TABLES)
-    missing = open_side(spark, "absent", absent, STATUS_TABLES)
+    source = open_side(spark, "source", sf_dir, STATUS_TABLES, schemas=TABLES)
+    replica = open_side(spark, "replica", shared_replica(spark, sf_dir), STATUS_TABLES, schemas=TABLES)
+    missing = open_side(spark, "absent", absent, STATUS_TABLES, schemas=TABLES)
     rows = []
     for scenario, src, rep in (
         ("both_readable", source, replica),
@@ -181,7 +181,7 @@ def q_ha_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fallback_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     absent = f"{sf_dir.rstrip('/')}/absent-copy"
-    orders, used = read_with_fallback(spark, [(PRIMARY, absent), (FALLBACK, sf_dir)], "orders")
+    orders, used = read_with_fallback(spark, [(PRIMARY, absent), (FALLBACK, sf_dir)], "orders", schema=TABLES["orders"])
     revenue = monthly_revenue(orders, date_col="o_orderdate", amount="o_totalprice", payment_id="o_orderkey")
     return with_source(revenue, used)
 

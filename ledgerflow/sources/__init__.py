@@ -14,6 +14,7 @@ from ledgerflow.sources.tables import (
     SchemaMismatch,
     check_schema,
     load_tables,
+    load_test_tables,
     read_jdbc_table,
     read_table,
     table_path,
@@ -32,6 +33,7 @@ __all__ = [
     "SchemaMismatch",
     "check_schema",
     "load_tables",
+    "load_test_tables",
     "read_jdbc_table",
     "read_table",
     "table_path",

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow.sources.tables import read_table
 
@@ -37,6 +38,7 @@ def read_with_fallback(
     candidates: Sequence[tuple[str, str]],
     table: str,
     probe: bool = True,
+    schema: T.StructType | None = None,
 ) -> tuple[DataFrame, str]:
     """Read ``table`` from the first readable ``(name, base_path)`` candidate.
 
@@ -46,7 +48,7 @@ def read_with_fallback(
     errors = []
     for name, base in candidates:
         try:
-            df = read_table(spark, base, table)
+            df = read_table(spark, base, table, schema)
             if probe:
                 _probe(df)
             return df, name
@@ -79,16 +81,19 @@ def open_side(
     base: str | None,
     tables: Mapping[str, str],
     probe: bool = False,
+    schemas: Mapping[str, T.StructType] | None = None,
 ) -> Side:
     """Open ``tables`` (alias -> table name) under ``base``; offline on any failure.
 
-    A missing path or a schema mismatch is detected while opening. With
+    A missing path is detected while opening. ``schemas`` (table name ->
+    declared schema) skips schema inference for those tables. With
     ``probe=True`` one row of each table is also read.
     """
     if base is None:
         return Side(name, error="no location configured")
     try:
-        frames = {alias: read_table(spark, base, table) for alias, table in tables.items()}
+        declared = schemas or {}
+        frames = {alias: read_table(spark, base, table, declared.get(table)) for alias, table in tables.items()}
         if probe:
             for df in frames.values():
                 _probe(df)

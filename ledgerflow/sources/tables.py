@@ -8,7 +8,7 @@ driver on the classpath.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -39,27 +39,43 @@ def check_schema(df: DataFrame, declared: T.StructType, name: str = "table") ->
     return df
 
 
-def read_table(spark: SparkSession, base: str, name: str, validate: bool = False) -> DataFrame:
-    """Read ``<base>/<name>.parquet`` with its declared schema.
-
-    With a declared schema Spark skips footer-based schema inference (a
-    separate job per read). Listing the path still happens here, so a
-    missing table raises immediately. ``validate=True`` instead infers the
-    file schema and checks it against the declared one; tables without a
-    declared schema are always inferred.
+def read_table(
+    spark: SparkSession,
+    base: str,
+    name: str,
+    schema: T.StructType | None = None,
+    validate: bool = False,
+) -> DataFrame:
+    """Read ``<base>/<name>.parquet``.
+
+    Without ``schema`` the file schema is inferred. With a declared
+    ``schema`` Spark skips that inference (a footer-reading job per read);
+    use it only for tables known to match, because a declared column the
+    files lack reads as NULL. ``validate=True`` infers and checks the file
+    schema against ``schema`` instead. Listing the path happens here in every
+    case, so a missing table raises immediately.
     """
     path = table_path(base, name)
-    declared = TABLES.get(name)
-    if declared is None:
+    if schema is None:
         return spark.read.parquet(path)
     if validate:
-        return check_schema(spark.read.parquet(path), declared, name)
-    return spark.read.schema(declared).parquet(path)
+        return check_schema(spark.read.parquet(path), schema, name)
+    return spark.read.schema(schema).parquet(path)
+
+
+def load_tables(
+    spark: SparkSession,
+    base: str,
+    names: Iterable[str],
+    schemas: Mapping[str, T.StructType] | None = None,
+) -> dict[str, DataFrame]:
+    """Read several tables from one base folder (declared schemas from ``schemas``)."""
+    return {name: read_table(spark, base, name, (schemas or {}).get(name)) for name in names}
 
 
-def load_tables(spark: SparkSession, base: str, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
-    """Read several tables from one base folder."""
-    return {name: read_table(spark, base, name) for name in (names or TABLES)}
+def load_test_tables(spark: SparkSession, base: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    """Read test tables with their declared schemas (``ledgerflow.schemas.TABLES``)."""
+    return load_tables(spark, base, names, TABLES)
 
 
 def read_jdbc_table(

@@ -136,7 +136,7 @@ def test_json_document_bounded_and_ordered(spark):
 
 def test_declared_schemas_match_test_tables(spark):
     for name in TABLES:
-        read_table(spark, SF001, name, validate=True)
+        read_table(spark, SF001, name, TABLES[name], validate=True)
 
 
 def test_schema_mismatch_detected(spark):
@@ -159,3 +159,12 @@ def test_corrupt_primary_falls_back(spark, workdir):
         fh.write(b"not a parquet file" * 10)
     df, used = read_with_fallback(spark, [("primary", f"{workdir}/broken"), ("fallback", SF001)], "orders")
     assert used == "fallback" and df.count() == 1500
+
+
+def test_schema_is_never_picked_by_table_name(spark, workdir):
+    # A table that shares a name with a declared test table keeps its own columns.
+    spark.createDataFrame([(1, "A")], "customer_id long, first_name string").write.parquet(f"{workdir}/customer.parquet")
+    df = read_table(spark, workdir, "customer")
+    assert df.columns == ["customer_id", "first_name"] and df.collect()[0]["first_name"] == "A"
+    with pytest.raises(SchemaMismatch):
+        read_table(spark, workdir, "customer", TABLES["customer"], validate=True)
