@@ -26,7 +26,7 @@ writer per target at a time.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -239,7 +239,7 @@ def sync_cycle(
 
 def run_sync(
     spark: SparkSession,
-    source: DataFrame,
+    source: DataFrame | Callable[[], DataFrame],
     target_path: str,
     key: str,
     cap: int | None = 100,
@@ -251,17 +251,22 @@ def run_sync(
 ) -> list[CycleResult]:
     """Run cycles until one finds nothing (or ``max_cycles``); returns each cycle's result.
 
+    ``source`` is a DataFrame (a snapshot: its file listing is fixed when it
+    is created) or a function returning one, called at every cycle so rows
+    that land during the run are picked up.
+
     The watermark is read from the target once, at the start; afterwards it
     only advances to the last key of each written batch, so keys written to
     the target by someone else cannot make this run skip source rows.
     """
+    load = source if callable(source) else (lambda: source)
     watermark = init
     if path_exists(spark, target_path):
-        watermark = high_watermark_value(spark.read.schema(source.schema).parquet(target_path), key, init)
+        watermark = high_watermark_value(spark.read.schema(load().schema).parquet(target_path), key, init)
     results: list[CycleResult] = []
     while max_cycles is None or len(results) < max_cycles:
         result = sync_cycle(
-            spark, source, target_path, key, watermark, cap, len(results) + 1, order_by, with_counts
+            spark, load(), target_path, key, watermark, cap, len(results) + 1, order_by, with_counts
         )
         results.append(result)
         if log_path:

@@ -224,3 +224,19 @@ def test_write_failing_mid_job_leaves_nothing_and_replays(spark, workdir):
     assert ids_in(spark, target) == list(range(1, 11))
     assert insert_if_absent(spark, clean, target, "rental_id").inserted == 190
     assert ids_in(spark, target) == list(range(1, 201))
+
+
+def test_cycles_see_rows_landing_during_the_run(spark, workdir):
+    landing, target = f"{workdir}/landing_live", f"{workdir}/live_target"
+    rentals(spark, range(0, 150)).write.parquet(landing)
+    cycles = {"n": 0}
+
+    def source():
+        cycles["n"] += 1
+        if cycles["n"] == 2:  # new rows land after the first cycle
+            rentals(spark, range(150, 170)).write.mode("append").parquet(landing)
+        return spark.read.schema(RENTAL).parquet(landing)
+
+    results = run_sync(spark, source, target, "rental_id", cap=100, with_counts=False)
+    assert [r.found for r in results] == [100, 70, 0]
+    assert ids_in(spark, target) == list(range(170))
