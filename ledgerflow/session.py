@@ -67,6 +67,12 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.conf.get("spark.master", "") or ""
+    if not master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a folder all executors share "
+            "(e.g. on HDFS or an object store) for the tables these jobs write"
+        )
     key = id(spark.sparkContext)
     if key not in _LOCAL_FALLBACK:
         folder = tempfile.mkdtemp(prefix="ledgerflow-")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
 import ledgerflow.session as session
 
 
@@ -36,3 +38,24 @@ def test_path_exists_with_and_without_driver_jvm(spark, workdir, monkeypatch):
 
     monkeypatch.setattr(type(spark), "sparkContext", property(lambda self: NoContext()))
     assert [session.path_exists(spark, p) for p in cases] == expected
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    # Without spark.checkpoint.dir a cluster session must not fall back to a local folder.
+    real_get = spark.conf.get
+
+    def fake_get(key, default=None):
+        if key == "spark.checkpoint.dir":
+            return None
+        if key == "spark.master":
+            return "yarn"
+        return real_get(key, default)
+
+    class NoDir:
+        def getCheckpointDir(self):
+            return None
+
+    monkeypatch.setattr(spark.conf, "get", fake_get)
+    monkeypatch.setattr(type(spark), "sparkContext", property(lambda self: NoDir()))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(spark)
