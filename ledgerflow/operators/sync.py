@@ -220,6 +220,8 @@ def sync_cycle(
     was found. Counts of both sides (and their difference) are taken after
     the write when ``with_counts``.
     """
+    # A capped batch is small; caching it keeps the top-k over the source from
+    # running twice (key-range pass, then the insert).
     batch = incremental_batch(source, key, watermark, cap, order_by=order_by).persist()
     try:
         res = insert_if_absent(spark, batch, target_path, key, order_by)

@@ -60,7 +60,12 @@ def start_sync(
     """Start streaming ``source_path`` into the Parquet table at ``target_path``.
 
     ``checkpoint`` defaults to a new folder under the shared folder
-    (``spark.checkpoint.dir``); pass the same one to resume.
+    (``spark.checkpoint.dir``); pass the same one to resume. With a
+    ``log_path`` each batch appends one metrics row; ``with_counts`` adds
+    whole-table counts of source and target (and their difference) to it,
+    which costs a scan of both tables' file footers per batch. For very
+    large tables pass ``with_counts=False`` and take the lag on demand from
+    ``ledgerflow.operators.sync_status``.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -70,12 +75,11 @@ def start_sync(
     stream = reader.parquet(stream_location(source_path))
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
+        # Not cached: the batch is a scan of its new files, so the key-range
+        # pass reads only the key column and the insert reads the rest once;
+        # caching would hold every column of a possibly large batch.
         session = batch.sparkSession
-        cached = batch.persist()
-        try:
-            res = insert_if_absent(session, cached, target_path, key, order_by)
-        finally:
-            cached.unpersist()
+        res = insert_if_absent(session, batch, target_path, key, order_by)
         if not log_path:
             return
         source_count = target_count = lag = None
