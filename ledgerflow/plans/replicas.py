@@ -12,6 +12,8 @@ fresh copy.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ from ledgerflow.sources.tables import read_table, table_path
 # Tables the replica holds only partly (the synced ones).
 LAGGING = ("events", "orders")
 
+# Serialises writing of reused layouts between threads of one driver.
+LAYOUT_LOCK = threading.Lock()
+
 
 def lagging_copy(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key is at most the middle of the key range."""
@@ -43,9 +48,10 @@ def write_replica_table(spark: SparkSession, sf_dir: str, table: str, base: str)
 def shared_replica(spark: SparkSession, sf_dir: str) -> str:
     """Base folder of the read-only replica of the status tables for ``sf_dir``."""
     base = stable_path(spark, "replica", sf_dir)
-    for table in STATUS_TABLES.values():
-        if not is_complete(spark, table_path(base, table)):
-            write_replica_table(spark, sf_dir, table, base)
+    with LAYOUT_LOCK:
+        for table in STATUS_TABLES.values():
+            if not is_complete(spark, table_path(base, table)):
+                write_replica_table(spark, sf_dir, table, base)
     return base
 
 

@@ -29,7 +29,7 @@ from ledgerflow.operators.sync import (
     read_log,
 )
 from ledgerflow.operators.totals import overview_totals
-from ledgerflow.plans.replicas import fresh_target, shared_replica
+from ledgerflow.plans.replicas import LAYOUT_LOCK, fresh_target, shared_replica
 from ledgerflow.schemas import STATUS_TABLES, TABLES
 from ledgerflow.session import fresh_path, is_complete, stable_path
 from ledgerflow.sources.fallback import FALLBACK, PRIMARY, open_side, read_with_fallback, with_source
@@ -92,10 +92,10 @@ def q_monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders table in its month-partitioned layout (written once per source folder)."""
     path = stable_path(spark, "orders-by-month", sf_dir)
-    if not is_complete(spark, path):
-        write_month_partitioned(
-            read_table(spark, sf_dir, "orders", TABLES["orders"]), path, date_col="o_orderdate", key_col="o_orderkey"
-        )
+    with LAYOUT_LOCK:
+        if not is_complete(spark, path):
+            orders = read_table(spark, sf_dir, "orders", TABLES["orders"])
+            write_month_partitioned(orders, path, date_col="o_orderdate", key_col="o_orderkey")
     return read_month_partitioned(spark, path, TABLES["orders"])
 
 
