@@ -158,7 +158,7 @@ def insert_if_absent(
 LOG_SCHEMA = T.StructType(
     [
         T.StructField("cycle", T.LongType(), False),
-        T.StructField("logged_at", T.TimestampType(), False),
+        T.StructField("logged_at", T.TimestampNTZType(), False),  # UTC wall clock
         T.StructField("found", T.LongType(), False),
         T.StructField("first_key", T.LongType(), True),
         T.StructField("last_key", T.LongType(), True),

@@ -240,3 +240,10 @@ def test_cycles_see_rows_landing_during_the_run(spark, workdir):
     results = run_sync(spark, source, target, "rental_id", cap=100, with_counts=False)
     assert [r.found for r in results] == [100, 70, 0]
     assert ids_in(spark, target) == list(range(170))
+
+
+def test_log_time_is_utc_wall_clock(spark, workdir):
+    before = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    run_sync(spark, rentals(spark, [1]), f"{workdir}/lt", "rental_id", log_path=f"{workdir}/lt_log", with_counts=False)
+    logged = read_log(spark, f"{workdir}/lt_log").agg(F.min("logged_at")).collect()[0][0]
+    assert before <= logged <= before + dt.timedelta(minutes=5)
