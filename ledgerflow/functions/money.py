@@ -50,13 +50,14 @@ def month_key(column: str | Column) -> Column:
 
 
 def utc_stamp(at: str | Column | None = None) -> Column:
-    """A timestamp as ``yyyy-MM-ddTHH:mm:ssZ``; the current time when ``at`` is None.
+    """A UTC time as ``yyyy-MM-ddTHH:mm:ssZ``; the current time when ``at`` is None.
 
-    Pass ``at`` to make results repeatable. The session time zone should be
-    UTC (``ledgerflow.session.DEFAULT_CONF``).
+    ``at`` (a UTC wall-clock string or column) makes results repeatable. The
+    current time is shifted from the session time zone to UTC before
+    formatting, so the ``Z`` holds whatever the session zone is.
     """
     if at is None:
-        ts = F.current_timestamp()
+        ts = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
     elif isinstance(at, str):
         ts = F.to_timestamp(F.lit(at))
     else:

@@ -32,10 +32,6 @@ def _error(side: Side) -> Column:
     return F.lit(side.error).cast(T.StringType())
 
 
-def _stamp(checked_at: str | Column | None) -> Column:
-    return utc_stamp(checked_at)
-
-
 def sync_status(
     spark: SparkSession,
     source: Side,
@@ -71,7 +67,7 @@ def sync_status(
         overall_label(F.col("source_status"), F.col("replica_status"), [F.col(f"lag_{n}") for n in names]),
     )
     if with_checked_at:
-        out = out.withColumn("checked_at", _stamp(checked_at))
+        out = out.withColumn("checked_at", utc_stamp(checked_at))
     return out
 
 
@@ -114,5 +110,5 @@ def ha_status(
     )
     row = with_availability(row)
     if with_checked_at:
-        row = row.withColumn("checked_at", _stamp(checked_at))
+        row = row.withColumn("checked_at", utc_stamp(checked_at))
     return row

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import os
 from decimal import Decimal
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from conftest import SF001
 from ledgerflow.functions.labels import availability_label, overall_label
+from ledgerflow.functions.money import utc_stamp
 from ledgerflow.operators import ha_status, nest_status, sync_status
 from ledgerflow.schemas import STATUS_TABLES, TABLES
 from ledgerflow.sources import (
@@ -168,3 +170,16 @@ def test_schema_is_never_picked_by_table_name(spark, workdir):
     assert df.columns == ["customer_id", "first_name"] and df.collect()[0]["first_name"] == "A"
     with pytest.raises(SchemaMismatch):
         read_table(spark, workdir, "customer", TABLES["customer"], validate=True)
+
+
+def test_checked_at_is_utc_in_any_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        stamp = spark.range(1).select(utc_stamp().alias("s")).collect()[0]["s"]
+        fixed = spark.range(1).select(utc_stamp("2026-04-21 10:30:00").alias("s")).collect()[0]["s"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    assert abs(dt.datetime.strptime(stamp, "%Y-%m-%dT%H:%M:%SZ") - now) < dt.timedelta(minutes=2)
+    assert fixed == "2026-04-21T10:30:00Z"
