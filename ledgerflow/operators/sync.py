@@ -220,13 +220,17 @@ def sync_cycle(
     was found. Counts of both sides (and their difference) are taken after
     the write when ``with_counts``.
     """
+    batch = incremental_batch(source, key, watermark, cap, order_by=order_by)
     # A capped batch is small; caching it keeps the top-k over the source from
-    # running twice (key-range pass, then the insert).
-    batch = incremental_batch(source, key, watermark, cap, order_by=order_by).persist()
+    # running twice (key-range pass, then the insert). An uncapped batch is a
+    # plain filtered scan: re-reading it costs less than caching every column.
+    if cap is not None:
+        batch = batch.persist()
     try:
         res = insert_if_absent(spark, batch, target_path, key, order_by)
     finally:
-        batch.unpersist()
+        if cap is not None:
+            batch.unpersist()
     new_watermark = res.last_key if res.batch_rows else watermark
     source_count = target_count = lag = None
     if with_counts:

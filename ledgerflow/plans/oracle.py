@@ -106,6 +106,23 @@ SELECT CAST(0 AS BIGINT) AS cycle,
        COUNT(*) AS target_count,
        CAST(0 AS BIGINT) AS remaining_lag
 FROM events
+""",
+    "sync_cycles": f"""
+SELECT CAST(1 AS BIGINT) AS cycle,
+       COUNT(*) AS found,
+       MIN(event_id) AS first_key,
+       MAX(event_id) AS last_key,
+       COUNT(*) AS inserted,
+       MAX(event_id) AS watermark,
+       (SELECT COUNT(*) FROM events) AS source_count,
+       (SELECT COUNT(*) FROM events) AS target_count,
+       CAST(0 AS BIGINT) AS remaining_lag
+FROM events
+WHERE event_id > (SELECT MAX(event_id) FROM {_REPLICA_EVENTS} r)
+UNION ALL
+SELECT CAST(2 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT),
+       (SELECT MAX(event_id) FROM events), (SELECT COUNT(*) FROM events), (SELECT COUNT(*) FROM events),
+       CAST(0 AS BIGINT)
 """,
     "sync_status": f"""
 SELECT s.*,

@@ -27,6 +27,7 @@ from ledgerflow.operators.sync import (
     incremental_batch,
     insert_if_absent,
     read_log,
+    run_sync,
 )
 from ledgerflow.operators.totals import overview_totals
 from ledgerflow.plans.replicas import LAYOUT_LOCK, fresh_target, shared_replica
@@ -145,6 +146,16 @@ def q_sync_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_log(spark, log).select(*keep)
 
 
+def q_sync_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded cycle loop, uncapped, over the whole table: its per-cycle log."""
+    target = fresh_target(spark, sf_dir, "events")
+    log = fresh_path(spark, "sync-cycles-log")
+    events = read_table(spark, sf_dir, "events", TABLES["events"])
+    run_sync(spark, events, target, "event_id", cap=None, log_path=log)
+    keep = [f.name for f in LOG_SCHEMA.fields if f.name != "logged_at"]
+    return read_log(spark, log).select(*keep)
+
+
 def _sides(spark: SparkSession, sf_dir: str):
     source = open_side(spark, "source", sf_dir, STATUS_TABLES, schemas=TABLES)
     replica = open_side(spark, "replica", shared_replica(spark, sf_dir), STATUS_TABLES, schemas=TABLES)
@@ -208,6 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insert_if_absent": q_insert_if_absent,
     "sync_converged": q_sync_converged,
     "sync_log": q_sync_log,
+    "sync_cycles": q_sync_cycles,
     "sync_status": q_sync_status,
     "ha_status": q_ha_status,
     "fallback_source": q_fallback_source,
