@@ -51,21 +51,26 @@ def write_month_partitioned(
     key_col: str | None = None,
     month_col: str = "month",
     mode: str = "overwrite",
+    replace_months_only: bool = False,
 ) -> None:
     """Write ``df`` under ``path`` partitioned by the ``yyyy-MM`` month of ``date_col``.
 
     Rows are sorted by (month, date, key) inside each task, so Parquet
     min/max statistics of the date and key columns are tight per file.
+    ``replace_months_only=True`` (with ``mode="overwrite"``) replaces only
+    the months present in ``df`` and keeps the others, for loading a month
+    at a time.
     """
     order = [month_col, date_col] + ([key_col] if key_col else [])
-    (
+    writer = (
         df.withColumn(month_col, month_key(date_col))
         .hint("rebalance", month_col)
         .sortWithinPartitions(*order)
         .write.mode(mode)
-        .partitionBy(month_col)
-        .parquet(path)
     )
+    if replace_months_only:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(month_col).parquet(path)
 
 
 def read_month_partitioned(

@@ -88,3 +88,14 @@ def test_partitioned_layout_same_answer_and_pruned(spark, workdir):
     assert [tuple(r) for r in one.collect()] == [("2022-03", Decimal("8.80"), 1)]
     text = plan_text(one)
     assert "PartitionFilters: [isnotnull(month" in text and "2022-03" in text
+
+
+def test_reload_one_month_keeps_the_others(spark, workdir):
+    pay = _payments(spark)
+    path = f"{workdir}/reload"
+    write_month_partitioned(pay, path, date_col="payment_date", key_col="payment_id")
+    march = spark.createDataFrame([(9, 4, Decimal("10.00"), dt.datetime(2022, 3, 20))], PAYMENT)
+    write_month_partitioned(march, path, date_col="payment_date", replace_months_only=True)
+    stored = read_month_partitioned(spark, path, PAYMENT)
+    rows = [tuple(r) for r in monthly_revenue_partitioned(stored, amount="amount", payment_id="payment_id").collect()]
+    assert rows == [("2022-01", Decimal("3.30"), 2), ("2022-03", Decimal("10.00"), 1), (None, Decimal("4.40"), 1)]
