@@ -247,3 +247,13 @@ def test_log_time_is_utc_wall_clock(spark, workdir):
     run_sync(spark, rentals(spark, [1]), f"{workdir}/lt", "rental_id", log_path=f"{workdir}/lt_log", with_counts=False)
     logged = read_log(spark, f"{workdir}/lt_log").agg(F.min("logged_at")).collect()[0][0]
     assert before <= logged <= before + dt.timedelta(minutes=5)
+
+
+def test_stream_batches_bounded_by_bytes(spark, workdir):
+    landing = _landing(spark, workdir, range(0, 80), 4)
+    sizes = [os.path.getsize(os.path.join(landing, f)) for f in os.listdir(landing) if f.endswith(".parquet")]
+    target, log = f"{workdir}/bytes_target", f"{workdir}/bytes_log"
+    sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=f"{workdir}/bytes_ck",
+                         log_path=log, max_bytes_per_trigger=str(min(sizes) + 1), with_counts=False)
+    assert read_log(spark, log).count() == len(sizes) == 4
+    assert ids_in(spark, target) == list(range(80))
