@@ -192,6 +192,22 @@ def table_count(spark: SparkSession, path: str, schema: T.StructType) -> int:
     return spark.read.schema(schema).parquet(path).count()
 
 
+def side_counts(spark: SparkSession, source: DataFrame, target_path: str) -> tuple[int, int]:
+    """Row counts of the source and of the target table, taken by one query.
+
+    Both counts are scalar subqueries of the same query, so they run
+    concurrently; each reads no columns.
+    """
+    target = (
+        spark.read.schema(source.schema).parquet(target_path) if path_exists(spark, target_path) else None
+    )
+    target_count = F.lit(0).cast(T.LongType()) if target is None else target.select(F.count(F.lit(1))).scalar()
+    row = spark.range(1).select(
+        source.select(F.count(F.lit(1))).scalar().alias("s"), target_count.alias("t")
+    ).first()
+    return int(row["s"]), int(row["t"])
+
+
 def append_log(spark: SparkSession, log_path: str, result: CycleResult) -> None:
     """Append one cycle's metrics to the log table."""
     spark.createDataFrame([tuple(asdict(result).values())], LOG_SCHEMA).coalesce(1).write.mode(
@@ -234,8 +250,7 @@ def sync_cycle(
     new_watermark = res.last_key if res.batch_rows else watermark
     source_count = target_count = lag = None
     if with_counts:
-        source_count = source.count()
-        target_count = table_count(spark, target_path, source.schema)
+        source_count, target_count = side_counts(spark, source, target_path)
         lag = source_count - target_count
     return CycleResult(
         cycle, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), res.batch_rows,

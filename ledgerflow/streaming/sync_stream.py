@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerflow.operators.sync import CycleResult, append_log, insert_if_absent, table_count
+from ledgerflow.operators.sync import CycleResult, append_log, insert_if_absent, side_counts
 from ledgerflow.session import fresh_path
 
 DEFAULT_INTERVAL = "30 seconds"
@@ -84,8 +84,9 @@ def start_sync(
             return
         source_count = target_count = lag = None
         if with_counts:
-            source_count = session.read.schema(schema).parquet(source_path).count()
-            target_count = table_count(session, target_path, schema)
+            source_count, target_count = side_counts(
+                session, session.read.schema(schema).parquet(source_path), target_path
+            )
             lag = source_count - target_count
         append_log(
             session,
