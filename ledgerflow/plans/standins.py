@@ -104,8 +104,16 @@ def q_monthly_revenue_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame
     return monthly_revenue_partitioned(orders_by_month(spark, sf_dir), amount="o_totalprice", payment_id="o_orderkey")
 
 
+def _events(spark: SparkSession, base: str) -> DataFrame:
+    return read_table(spark, base, "events", TABLES["events"])
+
+
 def _replica_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, shared_replica(spark, sf_dir), "events", TABLES["events"])
+    return _events(spark, shared_replica(spark, sf_dir))
+
+
+# Log columns compared by the registered queries (the log time varies per run).
+LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields if f.name != "logged_at"]
 
 
 def q_high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +122,13 @@ def q_high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_incremental_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = high_watermark_value(_replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK)
-    return incremental_batch(read_table(spark, sf_dir, "events", TABLES["events"]), "event_id", since, BATCH_CAP)
+    return incremental_batch(_events(spark, sf_dir), "event_id", since, BATCH_CAP)
 
 
 def q_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert the whole source into a lagging replica; the target afterwards."""
     target = fresh_target(spark, sf_dir, "events")
-    insert_if_absent(spark, read_table(spark, sf_dir, "events", TABLES["events"]), target, "event_id")
+    insert_if_absent(spark, _events(spark, sf_dir), target, "event_id")
     return spark.read.schema(TABLES["events"]).parquet(target)
 
 
@@ -142,18 +150,20 @@ def q_sync_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_sync_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, log = _stream_to_convergence(spark, sf_dir, with_log=True)
-    keep = [f.name for f in LOG_SCHEMA.fields if f.name != "logged_at"]
-    return read_log(spark, log).select(*keep)
+    return read_log(spark, log).select(*LOG_COLUMNS)
 
 
 def q_sync_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bounded cycle loop, uncapped, over the whole table: its per-cycle log."""
     target = fresh_target(spark, sf_dir, "events")
     log = fresh_path(spark, "sync-cycles-log")
-    events = read_table(spark, sf_dir, "events", TABLES["events"])
-    run_sync(spark, events, target, "event_id", cap=None, log_path=log)
-    keep = [f.name for f in LOG_SCHEMA.fields if f.name != "logged_at"]
-    return read_log(spark, log).select(*keep)
+    run_sync(spark, _events(spark, sf_dir), target, "event_id", cap=None, log_path=log)
+    return read_log(spark, log).select(*LOG_COLUMNS)
+
+
+def _absent(sf_dir: str) -> str:
+    """A copy location that does not exist (the test folder is read-only)."""
+    return f"{sf_dir.rstrip('/')}/absent-copy"
 
 
 def _sides(spark: SparkSession, sf_dir: str):
@@ -169,10 +179,8 @@ def q_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_ha_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Availability for each combination of a readable / absent source and replica."""
-    absent = f"{sf_dir.rstrip('/')}/absent-copy"
-    source = open_side(spark, "source", sf_dir, STATUS_TABLES, schemas=TABLES)
-    replica = open_side(spark, "replica", shared_replica(spark, sf_dir), STATUS_TABLES, schemas=TABLES)
-    missing = open_side(spark, "absent", absent, STATUS_TABLES, schemas=TABLES)
+    source, replica = _sides(spark, sf_dir)
+    missing = open_side(spark, "absent", _absent(sf_dir), STATUS_TABLES, schemas=TABLES)
     rows = []
     for scenario, src, rep in (
         ("both_readable", source, replica),
@@ -191,8 +199,8 @@ def q_ha_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fallback_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    absent = f"{sf_dir.rstrip('/')}/absent-copy"
-    orders, used = read_with_fallback(spark, [(PRIMARY, absent), (FALLBACK, sf_dir)], "orders", schema=TABLES["orders"])
+    candidates = [(PRIMARY, _absent(sf_dir)), (FALLBACK, sf_dir)]
+    orders, used = read_with_fallback(spark, candidates, "orders", schema=TABLES["orders"])
     revenue = monthly_revenue(orders, date_col="o_orderdate", amount="o_totalprice", payment_id="o_orderkey")
     return with_source(revenue, used)
 
