@@ -101,10 +101,12 @@ def ha_status(
     checked_at: str | Column | None = None,
     with_checked_at: bool = True,
 ) -> DataFrame:
-    """One row: ``source_status``, ``replica_status``, ``ha_status`` (and ``checked_at``)."""
+    """One row: each side's status, location and error, ``ha_status`` (and ``checked_at``)."""
     row = spark.range(1).select(
         _state(source).alias("source_status"),
         _state(replica).alias("replica_status"),
+        F.lit(source.location).cast(T.StringType()).alias("source_location"),
+        F.lit(replica.location).cast(T.StringType()).alias("replica_location"),
         _error(source).alias("source_error"),
         _error(replica).alias("replica_error"),
     )

@@ -69,6 +69,7 @@ class Side:
     name: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
     error: str | None = None
+    location: str | None = None
 
     @property
     def online(self) -> bool:
@@ -97,7 +98,7 @@ def open_side(
         if probe:
             for df in frames.values():
                 _probe(df)
-        return Side(name, frames)
+        return Side(name, frames, location=base)
     except Exception as exc:  # noqa: BLE001 - an unreadable copy is reported, not raised
         first_line = str(exc).splitlines()[0] if str(exc) else type(exc).__name__
-        return Side(name, error=first_line)
+        return Side(name, error=first_line, location=base)

@@ -183,3 +183,12 @@ def test_checked_at_is_utc_in_any_session_zone(spark):
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     assert abs(dt.datetime.strptime(stamp, "%Y-%m-%dT%H:%M:%SZ") - now) < dt.timedelta(minutes=2)
     assert fixed == "2026-04-21T10:30:00Z"
+
+
+def test_availability_reports_locations(spark, workdir):
+    source = open_side(spark, "source", SF001, STATUS_TABLES)
+    replica = open_side(spark, "replica", f"{workdir}/nowhere", STATUS_TABLES)
+    row = ha_status(spark, source, replica).collect()[0]
+    assert (row["source_location"], row["replica_location"]) == (SF001, f"{workdir}/nowhere")
+    assert row["source_error"] is None and "PATH_NOT_FOUND" in row["replica_error"]
+    assert row["ha_status"] == "REPLICA_DOWN"
