@@ -26,6 +26,7 @@ writer per target at a time.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
@@ -167,6 +168,7 @@ LOG_SCHEMA = T.StructType(
         T.StructField("source_count", T.LongType(), True),
         T.StructField("target_count", T.LongType(), True),
         T.StructField("remaining_lag", T.LongType(), True),
+        T.StructField("run", T.StringType(), True),  # one run_sync call, or a stream's checkpoint
     ]
 )
 
@@ -183,6 +185,7 @@ class CycleResult:
     source_count: int | None
     target_count: int | None
     remaining_lag: int | None
+    run: str | None = None
 
 
 def table_count(spark: SparkSession, path: str, schema: T.StructType) -> int:
@@ -208,8 +211,18 @@ def side_counts(spark: SparkSession, source: DataFrame, target_path: str) -> tup
     return int(row["s"]), int(row["t"])
 
 
-def append_log(spark: SparkSession, log_path: str, result: CycleResult) -> None:
-    """Append one cycle's metrics to the log table."""
+def append_log(spark: SparkSession, log_path: str, result: CycleResult, once: bool = False) -> None:
+    """Append one cycle's metrics to the log table.
+
+    With ``once=True`` nothing is written when the log already holds this
+    (run, cycle): a streaming batch replayed after a failure is logged once.
+    """
+    if once and path_exists(spark, log_path):
+        logged = read_log(spark, log_path).where(
+            (F.col("run") == F.lit(result.run)) & (F.col("cycle") == F.lit(result.cycle))
+        )
+        if logged.limit(1).count():
+            return
     spark.createDataFrame([tuple(asdict(result).values())], LOG_SCHEMA).coalesce(1).write.mode(
         "append"
     ).parquet(log_path)
@@ -229,6 +242,7 @@ def sync_cycle(
     cycle: int = 1,
     order_by: Sequence[str] | None = None,
     with_counts: bool = True,
+    run: str | None = None,
 ) -> CycleResult:
     """One cycle: fetch up to ``cap`` rows above ``watermark``, insert the absent ones.
 
@@ -254,7 +268,7 @@ def sync_cycle(
         lag = source_count - target_count
     return CycleResult(
         cycle, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), res.batch_rows,
-        res.first_key, res.last_key, res.inserted, new_watermark, source_count, target_count, lag,
+        res.first_key, res.last_key, res.inserted, new_watermark, source_count, target_count, lag, run,
     )
 
 
@@ -284,10 +298,11 @@ def run_sync(
     watermark = init
     if path_exists(spark, target_path):
         watermark = high_watermark_value(spark.read.schema(load().schema).parquet(target_path), key, init)
+    run = uuid.uuid4().hex
     results: list[CycleResult] = []
     while max_cycles is None or len(results) < max_cycles:
         result = sync_cycle(
-            spark, load(), target_path, key, watermark, cap, len(results) + 1, order_by, with_counts
+            spark, load(), target_path, key, watermark, cap, len(results) + 1, order_by, with_counts, run
         )
         results.append(result)
         if log_path:

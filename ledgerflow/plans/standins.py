@@ -112,8 +112,8 @@ def _replica_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, shared_replica(spark, sf_dir))
 
 
-# Log columns compared by the registered queries (the log time varies per run).
-LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields if f.name != "logged_at"]
+# Log columns compared by the registered queries (time and run id vary per run).
+LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields if f.name not in ("logged_at", "run")]
 
 
 def q_high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:

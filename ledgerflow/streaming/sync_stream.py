@@ -73,6 +73,7 @@ def start_sync(
     if max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     stream = reader.parquet(stream_location(source_path))
+    location = checkpoint or fresh_path(spark, "sync-checkpoint")
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         # Not cached: the batch is a scan of its new files, so the key-range
@@ -94,12 +95,14 @@ def start_sync(
             CycleResult(
                 batch_id, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), res.batch_rows,
                 res.first_key, res.last_key, res.inserted, res.last_key, source_count, target_count, lag,
+                location,
             ),
+            once=True,
         )
 
     writer = (
         stream.writeStream.foreachBatch(apply_batch)
-        .option("checkpointLocation", checkpoint or fresh_path(spark, "sync-checkpoint"))
+        .option("checkpointLocation", location)
     )
     if query_name:
         writer = writer.queryName(query_name)

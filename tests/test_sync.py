@@ -257,3 +257,30 @@ def test_stream_batches_bounded_by_bytes(spark, workdir):
                          log_path=log, max_bytes_per_trigger=str(min(sizes) + 1), with_counts=False)
     assert read_log(spark, log).count() == len(sizes) == 4
     assert ids_in(spark, target) == list(range(80))
+
+
+def test_replayed_stream_batch_logged_once(spark, workdir, monkeypatch):
+    # The process dies after a batch was written and logged but before the
+    # stream committed it: the restart replays it, inserts nothing, logs nothing new.
+    from ledgerflow.streaming import sync_stream
+
+    landing = _landing(spark, workdir, range(0, 30), 2)
+    target, log, ckpt = f"{workdir}/rp_target", f"{workdir}/rp_log", f"{workdir}/rp_ckpt"
+    real = sync_stream.append_log
+
+    def append_then_crash(*args, **kwargs):
+        real(*args, **kwargs)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(sync_stream, "append_log", append_then_crash)
+    with pytest.raises(Exception, match="driver lost"):
+        sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=ckpt, log_path=log,
+                             max_files_per_trigger=1, with_counts=False)
+    assert read_log(spark, log).count() == 1
+    monkeypatch.setattr(sync_stream, "append_log", real)
+    sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=ckpt, log_path=log,
+                         max_files_per_trigger=1, with_counts=False)
+    entries = read_log(spark, log).orderBy("cycle").collect()
+    assert [r["cycle"] for r in entries] == [0, 1]
+    assert sum(r["inserted"] for r in entries) == 30 and {r["run"] for r in entries} == {ckpt}
+    assert ids_in(spark, target) == list(range(30))
