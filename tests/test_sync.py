@@ -20,7 +20,7 @@ from ledgerflow.operators import (
 )
 from ledgerflow.operators import sync as sync_module
 from ledgerflow.plans import plan_text
-from ledgerflow.streaming import start_sync, stream_location, sync_until_caught_up
+from ledgerflow.streaming import start_sync, stream_location, sync_stream, sync_until_caught_up
 
 RENTAL = T.StructType(
     [
@@ -262,8 +262,6 @@ def test_stream_batches_bounded_by_bytes(spark, workdir):
 def test_replayed_stream_batch_logged_once(spark, workdir, monkeypatch):
     # The process dies after a batch was written and logged but before the
     # stream committed it: the restart replays it, inserts nothing, logs nothing new.
-    from ledgerflow.streaming import sync_stream
-
     landing = _landing(spark, workdir, range(0, 30), 2)
     target, log, ckpt = f"{workdir}/rp_target", f"{workdir}/rp_log", f"{workdir}/rp_ckpt"
     real = sync_stream.append_log
