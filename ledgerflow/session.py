@@ -28,6 +28,12 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
+    # Parquet through the V2 source, which can answer COUNT(*), MIN and MAX
+    # from file footers (``PushedAggregation`` in the plan): the whole-table
+    # counts of the totals / status / sync log and the watermark's MAX read
+    # no row groups.
+    "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text",
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
