@@ -70,11 +70,16 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        current = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no driver context (Spark Connect)
+        current, local_context = None, False
+    else:
+        local_context = True
     if current:
         return current.rstrip("/")
     master = spark.conf.get("spark.master", "") or ""
-    if not master.startswith("local"):
+    if not (local_context and master.startswith("local")):
         raise RuntimeError(
             "spark.checkpoint.dir is not set: name a folder all executors share "
             "(e.g. on HDFS or an object store) for the tables these jobs write"
