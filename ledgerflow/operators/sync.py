@@ -39,17 +39,33 @@ from ledgerflow.session import path_exists
 _ORDERABLE = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 
 
-def high_watermark(target: DataFrame, key: str, init: object = None, alias: str = "high_watermark") -> DataFrame:
-    """One row: ``COALESCE(MAX(key), init)`` over the target."""
+def high_watermark(
+    target: DataFrame,
+    key: str,
+    init: object = None,
+    alias: str = "high_watermark",
+    from_footers: bool = False,
+) -> DataFrame:
+    """One row: ``COALESCE(MAX(key), init)`` over the target.
+
+    By default the key column is scanned (NULL keys skipped), which works on
+    any files. ``from_footers=True`` leaves the MAX bare so that, with
+    Parquet aggregate pushdown on (``ledgerflow.session.DEFAULT_CONF``), it
+    is answered from file footers; use it only for tables whose files all
+    carry key statistics, such as targets written by ``insert_if_absent``
+    (which never writes a NULL key). A file whose key column chunk has no
+    min/max (e.g. all NULL) makes the pushed-down MAX fail.
+    """
     top = F.max(F.col(key))
     if init is not None:
         top = F.coalesce(top, F.lit(init))
-    return target.agg(top.alias(alias))
+    rows = target if from_footers else target.where(F.col(key).isNotNull())
+    return rows.agg(top.alias(alias))
 
 
-def high_watermark_value(target: DataFrame, key: str, init: object = None) -> object:
+def high_watermark_value(target: DataFrame, key: str, init: object = None, from_footers: bool = False) -> object:
     """The watermark as a Python value (a single aggregated value reaches the driver)."""
-    return high_watermark(target, key, init).first()[0]
+    return high_watermark(target, key, init, from_footers=from_footers).first()[0]
 
 
 def _tiebreak(df: DataFrame, key: str, order_by: Sequence[str] | None) -> list[str]:

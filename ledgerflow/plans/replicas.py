@@ -30,7 +30,7 @@ LAYOUT_LOCK = threading.Lock()
 
 def lagging_copy(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key is at most the middle of the key range."""
-    middle = df.select(F.expr(f"(min({key}) + max({key})) div 2")).scalar()
+    middle = df.where(F.col(key).isNotNull()).select(F.expr(f"(min({key}) + max({key})) div 2")).scalar()
     return df.where(F.col(key) <= middle)
 
 

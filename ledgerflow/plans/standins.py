@@ -117,7 +117,8 @@ LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields if f.name not in ("logged_at",
 
 
 def q_high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return high_watermark(_replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK)
+    # The replica is written by Spark with non-null keys: its footers hold the key statistics.
+    return high_watermark(_replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK, from_footers=True)
 
 
 def q_incremental_batch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,3 +282,14 @@ def test_replayed_stream_batch_logged_once(spark, workdir, monkeypatch):
     assert [r["cycle"] for r in entries] == [0, 1]
     assert sum(r["inserted"] for r in entries) == 30 and {r["run"] for r in entries} == {ckpt}
     assert ids_in(spark, target) == list(range(30))
+
+
+def test_watermark_over_files_without_key_statistics(spark, workdir):
+    # A file whose key chunk is all NULL has no min/max: the default watermark
+    # scans the key column instead of asking the footers, and still works.
+    path = f"{workdir}/nullkeys"
+    rentals(spark, [1, 2]).withColumn("rental_id", F.lit(None).cast("long")).write.parquet(path)
+    rentals(spark, [7, 3]).write.mode("append").parquet(path)
+    target = spark.read.schema(RENTAL).parquet(path)
+    assert high_watermark_value(target, "rental_id", init=0) == 7
+    assert "PushedAggregation" not in plan_text(high_watermark(target, "rental_id"))
