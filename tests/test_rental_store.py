@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import subprocess
+import sys
 from decimal import Decimal
 
 from pyspark.sql import types as T
@@ -86,3 +89,17 @@ def test_replication_and_failover_reports(spark, workdir):
     assert status["overall_status"] == "IN_SYNC"
     down = one(spark, "failover", base=f"{workdir}/src", replica=f"{workdir}/nowhere")
     assert (down["source_status"], down["replica_status"], down["ha_status"]) == ("online", "offline", "REPLICA_DOWN")
+
+
+def test_report_command_line(spark, workdir):
+    # The module entry point in its own process: prints the revenue document.
+    write_store(spark, f"{workdir}/cli_store")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run(
+        [sys.executable, "-m", "ledgerflow.plans.rental_store", "revenue", "--base", f"{workdir}/cli_store"],
+        cwd=root, capture_output=True, text=True, timeout=300,
+        env={**os.environ, "PYTHONPATH": root},
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    doc = json.loads(done.stdout)
+    assert doc["data_source"] == "primary" and [m["month"] for m in doc["data"]] == ["2022-01", "2022-02"]
