@@ -89,17 +89,25 @@ def incremental_batch(
     """Rows with ``key > since`` in key order, at most ``limit`` of them.
 
     ``since=None`` means no lower bound (rows with a NULL key are never
-    part of a batch). The literal bound is pushed to the Parquet scan. With
-    a limit the plan is a top-k (``TakeOrderedAndProject``), not a sort;
-    ``limit=None`` returns every newer row, unordered.
+    part of a batch). The literal bounds are pushed to the Parquet scan.
+    With a limit the plans are top-k (``TakeOrderedAndProject``), not
+    sorts, and one key value reaches the driver; ``limit=None`` returns
+    every newer row, unordered.
     """
     df = source.select(*(columns or source.columns))
     cond = F.col(key).isNotNull() if since is None else F.col(key) > F.lit(since)
     df = df.where(cond)
     if limit is None:
         return df
+    # Two passes: the limit-th smallest key above the bound is found on the
+    # key column alone (a per-task top-k that reads one column), then only
+    # rows up to that key are read in full. Both bounds are literals, so
+    # Parquet statistics skip row groups outside the range.
+    upper = df.select(key).orderBy(F.col(key).asc()).limit(limit).agg(F.max(F.col(key))).first()[0]
+    if upper is None:
+        return df.where(F.lit(False))
     order = [F.col(key).asc()] + [F.col(c).asc_nulls_last() for c in _tiebreak(df, key, order_by)]
-    return df.orderBy(*order).limit(limit)
+    return df.where(F.col(key) <= F.lit(upper)).orderBy(*order).limit(limit)
 
 
 def first_per_key(batch: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:

@@ -64,8 +64,10 @@ def test_batch_plan_pushes_bound_and_is_top_k(spark, workdir):
     rentals(spark, range(50)).write.parquet(path)
     batch = incremental_batch(spark.read.schema(RENTAL).parquet(path), "rental_id", 10, limit=5)
     text = plan_text(batch)
-    assert "PushedFilters: [IsNotNull(rental_id), GreaterThan(rental_id,10)]" in text
+    assert "GreaterThan(rental_id,10), LessThanOrEqual(rental_id,15)]" in text
     assert "TakeOrderedAndProject" in text
+    assert [r[0] for r in batch.collect()] == [11, 12, 13, 14, 15]
+    assert incremental_batch(spark.read.schema(RENTAL).parquet(path), "rental_id", 49, limit=5).count() == 0
 
 
 def test_insert_overlap_and_replay(spark, workdir):
