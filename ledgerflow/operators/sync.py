@@ -307,6 +307,7 @@ def run_sync(
     log_path: str | None = None,
     order_by: Sequence[str] | None = None,
     with_counts: bool = True,
+    watermark_from_footers: bool = False,
 ) -> list[CycleResult]:
     """Run cycles until one finds nothing (or ``max_cycles``); returns each cycle's result.
 
@@ -317,11 +318,14 @@ def run_sync(
     The watermark is read from the target once, at the start; afterwards it
     only advances to the last key of each written batch, so keys written to
     the target by someone else cannot make this run skip source rows.
+    ``watermark_from_footers`` reads that starting MAX from file footers
+    (see ``high_watermark``), for targets written only by this library.
     """
     load = source if callable(source) else (lambda: source)
     watermark = init
     if path_exists(spark, target_path):
-        watermark = high_watermark_value(spark.read.schema(load().schema).parquet(target_path), key, init)
+        target = spark.read.schema(load().schema).parquet(target_path)
+        watermark = high_watermark_value(target, key, init, from_footers=watermark_from_footers)
     run = uuid.uuid4().hex
     results: list[CycleResult] = []
     while max_cycles is None or len(results) < max_cycles:

@@ -295,3 +295,11 @@ def test_watermark_over_files_without_key_statistics(spark, workdir):
     target = spark.read.schema(RENTAL).parquet(path)
     assert high_watermark_value(target, "rental_id", init=0) == 7
     assert "PushedAggregation" not in plan_text(high_watermark(target, "rental_id"))
+
+
+def test_run_sync_watermark_from_footers(spark, workdir):
+    target = f"{workdir}/footer_target"
+    rentals(spark, range(0, 10)).write.parquet(target)
+    results = run_sync(spark, rentals(spark, range(0, 25)), target, "rental_id", cap=10,
+                       with_counts=False, watermark_from_footers=True)
+    assert [r.found for r in results] == [10, 5, 0] and ids_in(spark, target) == list(range(25))
