@@ -122,7 +122,9 @@ def q_high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_incremental_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    since = high_watermark_value(_replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK)
+    since = high_watermark_value(
+        _replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK, from_footers=True
+    )
     return incremental_batch(_events(spark, sf_dir), "event_id", since, BATCH_CAP)
 
 
