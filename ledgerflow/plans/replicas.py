@@ -56,5 +56,7 @@ def shared_replica(spark: SparkSession, sf_dir: str) -> str:
 
 
 def fresh_target(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """A new, writable replica copy of one table; returns its path."""
-    return write_replica_table(spark, sf_dir, table, fresh_path(spark, "target"))
+    """A new, writable replica copy of one table (copied from the shared replica); returns its path."""
+    path = table_path(fresh_path(spark, "target"), table)
+    read_table(spark, shared_replica(spark, sf_dir), table, TABLES[table]).write.parquet(path)
+    return path
