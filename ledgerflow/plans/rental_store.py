@@ -121,6 +121,19 @@ def open_store(spark: SparkSession, candidates: list[tuple[str, str]]) -> tuple[
     raise NoReadableSource("no readable copy of the store | " + " | ".join(errors))
 
 
+def register_views(spark: SparkSession, candidates: list[tuple[str, str]]) -> str:
+    """Register the store's tables as temporary views for ``spark.sql``; returns the copy used.
+
+    The copy is chosen as for the reports (first one whose tables are all
+    readable), so SQL written against the store runs on Spark unchanged
+    apart from dialect (e.g. ``CAST(x AS DECIMAL(38,2))``, ``date_format``).
+    """
+    tables, used = open_store(spark, candidates)
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return used
+
+
 def run_report(
     spark: SparkSession,
     report: str,

@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import types as T
 
 from ledgerflow.operators import run_sync
-from ledgerflow.plans.rental_store import SYNCED_KEY, run_report
+from ledgerflow.plans.rental_store import SYNCED_KEY, register_views, run_report
 
 L, S, TS = T.LongType(), T.StringType(), T.TimestampNTZType()
 RATE, AMOUNT = T.DecimalType(4, 2), T.DecimalType(5, 2)
@@ -103,3 +103,15 @@ def test_report_command_line(spark, workdir):
     assert done.returncode == 0, done.stderr[-2000:]
     doc = json.loads(done.stdout)
     assert doc["data_source"] == "primary" and [m["month"] for m in doc["data"]] == ["2022-01", "2022-02"]
+
+
+def test_store_as_sql_views(spark, workdir):
+    write_store(spark, f"{workdir}/sql_store")
+    assert register_views(spark, [("primary", f"{workdir}/gone"), ("fallback", f"{workdir}/sql_store")]) == "fallback"
+    row = spark.sql(
+        "SELECT c.first_name || ' ' || c.last_name AS customer_name, "
+        "CAST(ROUND(SUM(p.amount), 2) AS DECIMAL(38,2)) AS total_spent "
+        "FROM customer c JOIN payment p ON c.customer_id = p.customer_id "
+        "GROUP BY c.customer_id, c.first_name, c.last_name ORDER BY total_spent DESC LIMIT 1"
+    ).collect()[0]
+    assert (row["customer_name"], row["total_spent"]) == ("KARL SEAL", Decimal("7.98"))
