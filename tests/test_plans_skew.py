@@ -132,3 +132,11 @@ def test_hot_month_spread_over_files(spark, workdir):
     assert back.count() == 6060
     assert back.groupBy("month").count().orderBy("month").collect()[0]["count"] == 6000
     assert back.where(F.col("month") == "2022-02").count() == 60
+
+
+def test_plan_printer(spark):
+    from ledgerflow.plans.show import plans
+
+    text = plans(spark, SF01, ["top_customers", "insert_if_absent:write"])
+    assert "### top_customers" in text and "TakeOrderedAndProject" in text
+    assert "LeftAnti" in text
