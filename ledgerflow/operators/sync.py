@@ -212,13 +212,6 @@ class CycleResult:
     run: str | None = None
 
 
-def table_count(spark: SparkSession, path: str, schema: T.StructType) -> int:
-    """Row count of the Parquet table at ``path`` (0 when it does not exist yet)."""
-    if not path_exists(spark, path):
-        return 0
-    return spark.read.schema(schema).parquet(path).count()
-
-
 def side_counts(spark: SparkSession, source: DataFrame, target_path: str) -> tuple[int, int]:
     """Row counts of the source and of the target table, taken by one query.
 
