@@ -18,6 +18,7 @@ print a report:
 
     python -m ledgerflow.plans.rental_store overview --base /data/store [--fallback /data/copy]
     python -m ledgerflow.plans.rental_store replication --base /data/store --replica /data/copy
+    python -m ledgerflow.plans.rental_store sync --base /data/store --replica /data/copy [--cap 100]
 """
 
 from __future__ import annotations
@@ -25,16 +26,19 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Mapping
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow.operators.rankings import top_customers, top_items
 from ledgerflow.operators.revenue import monthly_revenue
 from ledgerflow.operators.status import ha_status, nest_status, sync_status
+from ledgerflow.operators.sync import run_sync
 from ledgerflow.operators.topk import asc, desc
 from ledgerflow.operators.totals import overview_totals
 from ledgerflow.sources.fallback import FALLBACK, PRIMARY, NoReadableSource, Side, open_side
 from ledgerflow.sources.sinks import json_document, json_rows
+from ledgerflow.sources.tables import read_table
 
 # Table names of the rental-store schema.
 TABLE_NAMES = ("customer", "payment", "film", "film_category", "category", "inventory", "rental", "actor")
@@ -134,6 +138,25 @@ def register_views(spark: SparkSession, candidates: list[tuple[str, str]]) -> st
     return used
 
 
+def sync_rentals(
+    spark: SparkSession,
+    base: str,
+    replica: str,
+    cap: int | None = 100,
+    log_path: str | None = None,
+) -> list[str]:
+    """Copy new ``rental`` rows from the source copy into the replica copy, in capped cycles.
+
+    Runs cycles until one finds nothing; returns one JSON object per cycle
+    (found, first/last key, inserted, watermark, counts, remaining lag).
+    """
+    read_table(spark, base, SYNCED_TABLE)  # fail fast when the source copy is missing
+    target = f"{replica.rstrip('/')}/{SYNCED_TABLE}.parquet"
+    results = run_sync(spark, lambda: read_table(spark, base, SYNCED_TABLE), target, SYNCED_KEY,
+                       cap=cap, log_path=log_path)
+    return [json.dumps({k: (str(v) if k == "logged_at" else v) for k, v in asdict(r).items()}) for r in results]
+
+
 def run_report(
     spark: SparkSession,
     report: str,
@@ -160,17 +183,27 @@ def run_report(
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="python -m ledgerflow.plans.rental_store")
-    parser.add_argument("report", choices=["overview", "films", "customers", "revenue", "replication", "failover"])
+    parser.add_argument(
+        "report", choices=["overview", "films", "customers", "revenue", "replication", "failover", "sync"]
+    )
     parser.add_argument("--base", required=True, help="folder holding <table>.parquet (the source)")
     parser.add_argument("--fallback", help="second copy read when the base copy is unreadable")
     parser.add_argument("--replica", help="replica copy for replication / failover")
     parser.add_argument("--max-rows", type=int, default=1000, help="largest list a document may hold")
+    parser.add_argument("--cap", type=int, default=100, help="rows per sync cycle")
+    parser.add_argument("--log", help="Parquet table receiving one row per sync cycle")
     args = parser.parse_args(argv)
 
     from ledgerflow.session import build_session
 
     spark = build_session(app_name=f"rental-store-{args.report}")
     try:
+        if args.report == "sync":
+            if not args.replica:
+                parser.error("sync needs --replica")
+            for line in sync_rentals(spark, args.base, args.replica, args.cap, args.log):
+                print(line)
+            return
         for text in run_report(spark, args.report, args.base, args.fallback, args.replica, args.max_rows):
             print(json.dumps(json.loads(text), indent=2))
     finally:

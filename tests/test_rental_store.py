@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import types as T
 
 from ledgerflow.operators import run_sync
-from ledgerflow.plans.rental_store import SYNCED_KEY, register_views, run_report
+from ledgerflow.plans.rental_store import SYNCED_KEY, register_views, run_report, sync_rentals
 
 L, S, TS = T.LongType(), T.StringType(), T.TimestampNTZType()
 RATE, AMOUNT = T.DecimalType(4, 2), T.DecimalType(5, 2)
@@ -115,3 +115,13 @@ def test_store_as_sql_views(spark, workdir):
         "GROUP BY c.customer_id, c.first_name, c.last_name ORDER BY total_spent DESC LIMIT 1"
     ).collect()[0]
     assert (row["customer_name"], row["total_spent"]) == ("KARL SEAL", Decimal("7.98"))
+
+
+def test_capped_rental_sync_command(spark, workdir):
+    write_store(spark, f"{workdir}/s_src", rentals=range(1, 251))
+    write_store(spark, f"{workdir}/s_rep", rentals=range(1, 11))
+    cycles = [json.loads(line) for line in sync_rentals(spark, f"{workdir}/s_src", f"{workdir}/s_rep", cap=100)]
+    assert [c["found"] for c in cycles] == [100, 100, 40, 0]
+    assert cycles[-1]["remaining_lag"] == 0 and cycles[-1]["target_count"] == 250
+    status = one(spark, "replication", base=f"{workdir}/s_src", replica=f"{workdir}/s_rep")
+    assert status["sync_lag"]["rentals"] == 0
