@@ -167,8 +167,10 @@ def run_report(
 ) -> list[str]:
     """The report's JSON text: one document, or one object for one-row reports."""
     if report in ("replication", "failover"):
-        source = open_side(spark, "source", base, COMPARED)
-        other = open_side(spark, "replica", replica, COMPARED)
+        # Availability means readable: the failover report reads a row of each table.
+        probe = report == "failover"
+        source = open_side(spark, "source", base, COMPARED, probe=probe)
+        other = open_side(spark, "replica", replica, COMPARED, probe=probe)
         out = json_rows((replication if report == "replication" else failover)(spark, source, other))
     else:
         candidates = [(PRIMARY, base)] + ([(FALLBACK, fallback)] if fallback else [])

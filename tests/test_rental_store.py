@@ -125,3 +125,15 @@ def test_capped_rental_sync_command(spark, workdir):
     assert cycles[-1]["remaining_lag"] == 0 and cycles[-1]["target_count"] == 250
     status = one(spark, "replication", base=f"{workdir}/s_src", replica=f"{workdir}/s_rep")
     assert status["sync_lag"]["rentals"] == 0
+
+
+def test_failover_treats_unreadable_copy_as_down(spark, workdir):
+    write_store(spark, f"{workdir}/ok")
+    write_store(spark, f"{workdir}/bad")
+    broken = f"{workdir}/bad/rental.parquet"
+    for name in os.listdir(broken):
+        if name.endswith(".parquet"):
+            with open(os.path.join(broken, name), "wb") as fh:
+                fh.write(b"garbage" * 20)
+    down = one(spark, "failover", base=f"{workdir}/bad", replica=f"{workdir}/ok")
+    assert (down["source_status"], down["replica_status"], down["ha_status"]) == ("offline", "online", "FAILOVER_ACTIVE")
