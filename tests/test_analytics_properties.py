@@ -1,0 +1,125 @@
+"""Randomised rankings and monthly revenue checked against brute-force models."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+
+from ledgerflow.operators import monthly_revenue, top_customers, top_items
+
+SETTINGS = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+L, S = T.LongType(), T.StringType()
+AMOUNT = T.DecimalType(7, 3)
+
+
+def _schema(*fields):
+    return T.StructType([T.StructField(n, t, True) for n, t in fields])
+
+
+def cents(value):
+    return None if value is None else value.quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
+
+
+amounts = st.one_of(st.none(), st.decimals(min_value=-50, max_value=500, places=3, allow_nan=False))
+names = st.one_of(st.none(), st.sampled_from(["ann", "bo", "cy"]))
+
+
+@SETTINGS
+@given(
+    customers=st.lists(st.tuples(names, names), min_size=1, max_size=12),
+    payments=st.lists(st.tuples(st.integers(0, 14), amounts), max_size=40),
+    k=st.integers(1, 6),
+)
+def test_top_customers_matches_model(spark, customers, payments, k):
+    cust_rows = [(i, f, l) for i, (f, l) in enumerate(customers)]
+    pay_rows = [(j, c, a) for j, (c, a) in enumerate(payments)]
+    customer = spark.createDataFrame(cust_rows, _schema(("customer_id", L), ("first_name", S), ("last_name", S)))
+    payment = spark.createDataFrame(pay_rows, _schema(("payment_id", L), ("customer_id", L), ("amount", AMOUNT)))
+    got = [tuple(r) for r in top_customers(
+        customer, payment, customer_key="customer_id", first_name="first_name", last_name="last_name",
+        payment_customer_key="customer_id", amount="amount", payment_id="payment_id", k=k,
+    ).collect()]
+
+    # model: inner join, SUM ignoring NULL (NULL if all NULL), COUNT(payment_id),
+    # ORDER BY total DESC NULLS FIRST, customer_id; LIMIT k
+    totals = {}
+    for _, c, a in pay_rows:
+        if c < len(cust_rows):
+            s, n = totals.get(c, (None, 0))
+            totals[c] = ((s or Decimal(0)) + a if a is not None else s, n + 1)
+    ranked = sorted(totals.items(), key=lambda kv: (kv[1][0] is not None, -(kv[1][0] or 0), kv[0]))
+    expected = []
+    for c, (s, n) in ranked[:k]:
+        f, l = cust_rows[c][1], cust_rows[c][2]
+        expected.append((None if f is None or l is None else f"{f} {l}", cents(s), n))
+    assert got == expected
+
+
+@SETTINGS
+@given(
+    film_categories=st.lists(st.tuples(st.integers(0, 5), st.integers(0, 2)), min_size=1, max_size=10, unique=True),
+    inventory=st.lists(st.integers(0, 6), max_size=12),
+    rentals=st.lists(st.integers(0, 14), max_size=40),
+    k=st.integers(1, 8),
+)
+def test_top_items_matches_model(spark, film_categories, inventory, rentals, k):
+    films = [(f, f"T{f % 3}", Decimal("0.99")) for f in range(6)]
+    categories = [(c, f"C{c}") for c in range(3)]
+    inv = [(i, f) for i, f in enumerate(inventory)]
+    ren = [(r, i) for r, i in enumerate(rentals)]
+    df = top_items(
+        spark.createDataFrame(films, _schema(("film_id", L), ("title", S), ("rental_rate", T.DecimalType(4, 2)))),
+        spark.createDataFrame(film_categories, _schema(("film_id", L), ("category_id", L))),
+        spark.createDataFrame(categories, _schema(("category_id", L), ("name", S))),
+        spark.createDataFrame(inv, _schema(("inventory_id", L), ("film_id", L))),
+        spark.createDataFrame(ren, _schema(("rental_id", L), ("inventory_id", L))),
+        item_key="film_id", item_title="title", item_rate="rental_rate",
+        bridge_item_key="film_id", bridge_category_key="category_id",
+        category_key="category_id", category_name="name",
+        unit_key="inventory_id", unit_item_key="film_id",
+        activity_unit_key="inventory_id", activity_id="rental_id", k=k,
+    )
+    got = [tuple(r) for r in df.collect()]
+
+    # model: the 4-way inner join, grouped by (film, title, category name, rate)
+    counts = defaultdict(int)
+    for _, i in ren:
+        if i < len(inv):
+            film = inv[i][1]
+            for f, c in film_categories:
+                if f == film and film < len(films):
+                    counts[(film, f"C{c}")] += 1
+    ranked = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0][0], kv[0][1]))
+    expected = [(films[f][1], cat, n, Decimal("0.99")) for (f, cat), n in ranked[:k]]
+    assert got == expected
+
+
+@SETTINGS
+@given(
+    payments=st.lists(
+        st.tuples(
+            st.one_of(st.none(), st.datetimes(min_value=dt.datetime(2021, 11, 1), max_value=dt.datetime(2022, 3, 1))),
+            amounts,
+            st.one_of(st.none(), st.integers(0, 10**6)),
+        ),
+        max_size=40,
+    )
+)
+def test_monthly_revenue_matches_model(spark, payments):
+    schema = _schema(("payment_date", T.TimestampNTZType()), ("amount", AMOUNT), ("payment_id", L))
+    got = [tuple(r) for r in monthly_revenue(
+        spark.createDataFrame(payments, schema), date_col="payment_date", amount="amount", payment_id="payment_id"
+    ).collect()]
+
+    groups = {}
+    for d, a, p in payments:
+        m = None if d is None else f"{d.year:04d}-{d.month:02d}"
+        s, n = groups.get(m, (None, 0))
+        groups[m] = ((s or Decimal(0)) + a if a is not None else s, n + (p is not None))
+    expected = [(m, cents(s), n) for m, (s, n) in sorted(groups.items(), key=lambda kv: (kv[0] is None, kv[0] or ""))]
+    assert got == expected
