@@ -1,8 +1,9 @@
-"""Randomised rankings and monthly revenue checked against brute-force models."""
+"""Randomised rankings, monthly revenue and JSON rows checked against brute-force models."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from ledgerflow.operators import monthly_revenue, top_customers, top_items
+from ledgerflow.sources import json_rows
 
 SETTINGS = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 L, S = T.LongType(), T.StringType()
@@ -123,3 +125,23 @@ def test_monthly_revenue_matches_model(spark, payments):
         groups[m] = ((s or Decimal(0)) + a if a is not None else s, n + (p is not None))
     expected = [(m, cents(s), n) for m, (s, n) in sorted(groups.items(), key=lambda kv: (kv[0] is None, kv[0] or ""))]
     assert got == expected
+
+
+@SETTINGS
+@given(
+    rows=st.lists(
+        st.tuples(st.one_of(st.none(), st.text(max_size=20)), amounts, st.one_of(st.none(), st.integers(-10**12, 10**12))),
+        min_size=1, max_size=20,
+    )
+)
+def test_json_rows_round_trip(spark, rows):
+    df = spark.createDataFrame(rows, _schema(("name", S), ("amount", AMOUNT), ("n", L)))
+    parsed = sorted(
+        (json.loads(r["value"]) for r in json_rows(df).collect()),
+        key=lambda d: (str(d["name"]), str(d["amount"]), str(d["n"])),
+    )
+    expected = sorted(
+        ({"name": a, "amount": None if b is None else str(b), "n": c} for a, b, c in rows),
+        key=lambda d: (str(d["name"]), str(d["amount"]), str(d["n"])),
+    )
+    assert parsed == expected
