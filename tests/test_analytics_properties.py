@@ -1,4 +1,5 @@
-"""Randomised rankings, monthly revenue and JSON rows checked against brute-force models."""
+"""Randomised rankings, monthly revenue (plain and month-partitioned) and JSON rows
+checked against brute-force models."""
 
 from __future__ import annotations
 
@@ -9,9 +10,17 @@ from decimal import ROUND_HALF_UP, Decimal
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.operators import monthly_revenue, top_customers, top_items
+from ledgerflow.operators import (
+    monthly_revenue,
+    monthly_revenue_partitioned,
+    read_month_partitioned,
+    top_customers,
+    top_items,
+    write_month_partitioned,
+)
 from ledgerflow.sources import json_rows
 
 SETTINGS = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -145,3 +154,30 @@ def test_json_rows_round_trip(spark, rows):
         key=lambda d: (str(d["name"]), str(d["amount"]), str(d["n"])),
     )
     assert parsed == expected
+
+
+@SETTINGS
+@given(
+    payments=st.lists(
+        st.tuples(
+            st.one_of(st.none(), st.datetimes(min_value=dt.datetime(2021, 11, 1), max_value=dt.datetime(2022, 3, 1))),
+            amounts,
+            st.integers(0, 10**6),
+        ),
+        min_size=1, max_size=40,
+    )
+)
+def test_month_partitioned_layout_matches_flat(spark, tmp_path_factory, payments):
+    schema = _schema(("payment_date", T.TimestampNTZType()), ("amount", AMOUNT), ("payment_id", L))
+    flat = spark.createDataFrame(payments, schema)
+    path = str(tmp_path_factory.mktemp("by_month"))
+    write_month_partitioned(flat, path, date_col="payment_date", key_col="payment_id")
+    stored = read_month_partitioned(spark, path, schema)
+    parted = monthly_revenue_partitioned(stored, amount="amount", payment_id="payment_id").collect()
+    plain = monthly_revenue(flat, date_col="payment_date", amount="amount", payment_id="payment_id").collect()
+    assert [tuple(r) for r in parted] == [tuple(r) for r in plain]
+    # every stored row sits in the directory of its own month
+    misplaced = stored.where(
+        F.col("payment_date").isNotNull() & (F.col("month") != F.date_format("payment_date", "yyyy-MM"))
+    )
+    assert misplaced.count() == 0 and stored.count() == len(payments)
