@@ -181,9 +181,13 @@ def q_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ha_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Availability for each combination of a readable / absent source and replica."""
-    source, replica = _sides(spark, sf_dir)
-    missing = open_side(spark, "absent", _absent(sf_dir), STATUS_TABLES, schemas=TABLES)
+    """Availability for each combination of a readable / absent source and replica.
+
+    Availability means readable: one row of every table of each copy is read.
+    """
+    source = open_side(spark, "source", sf_dir, STATUS_TABLES, probe=True, schemas=TABLES)
+    replica = open_side(spark, "replica", shared_replica(spark, sf_dir), STATUS_TABLES, probe=True, schemas=TABLES)
+    missing = open_side(spark, "absent", _absent(sf_dir), STATUS_TABLES, probe=True, schemas=TABLES)
     rows = []
     for scenario, src, rep in (
         ("both_readable", source, replica),
