@@ -181,7 +181,11 @@ def q_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ha_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Availability for each combination of a readable / absent source and replica."""
+    """Availability for each combination of a present / absent source and replica.
+
+    As in the original check, online means reachable (the copy lists and its
+    tables resolve); ``open_side(probe=True)`` also reads a row of each table.
+    """
     source, replica = _sides(spark, sf_dir)
     missing = open_side(spark, "absent", _absent(sf_dir), STATUS_TABLES, schemas=TABLES)
     rows = []
