@@ -6,14 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerflow.llm import bpe
 from ledgerflow.llm.common import read_documents
 from ledgerflow.llm.exact_dedup import dedup_report
+from ledgerflow.llm.packing import pack
 from ledgerflow.llm.rendezvous import with_shards, with_slots
 from ledgerflow.llm.simhash_dedup import simhash_report
 
 SHARDS = 16
 
 
+def tokenizer_file() -> str:
+    """The byte-level BPE among the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_documents(spark, sf_dir), tokenizer_file(), with_ids=False)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_documents(spark, sf_dir), tokenizer_file())
+
+
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -32,6 +49,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op6_bpe": op6_bpe,
     "op7_rendezvous": op7_rendezvous,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,

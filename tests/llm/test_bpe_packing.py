@@ -1,0 +1,117 @@
+"""BPE by prefixes against the tokenizers library; packing against the ids it must hold."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from ledgerflow.llm import bpe
+from ledgerflow.llm.packing import best_fit, pack
+from ledgerflow.llm.queries import tokenizer_file
+
+SCHEMA = "doc_id bigint, text string, ids string, bin int, piece string"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(tokenizer_file())
+
+
+def odd_texts(n: int = 600) -> list[str]:
+    rng = random.Random(1)
+    letters = "aab bcd  e\n\t'sté日本🙂123 !?"
+    texts = ["", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>", " " * 300, "a" * 3000, "é" * 500, "don't we'll I'VE", "\x00\x1f"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(n)]
+    planes = [(32, 127), (160, 0x2000), (0x3000, 0xD7FF), (0x10000, 0x1F9FF)]
+    return texts + ["".join(chr(rng.randrange(*rng.choice(planes))) for _ in range(30)) for _ in range(n)]
+
+
+def test_encode_and_decode_as_the_library_does(library):
+    mine = bpe.load(tokenizer_file())
+    for text in odd_texts():
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert mine.encode(text) == ids
+        assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
+    assert mine.decode([0xFF]) == library.decode([0xFF], skip_special_tokens=False)
+
+
+def test_small_caches_do_not_change_results(library):
+    mine = bpe.PrefixBpe(tokenizer_file())
+    mine.ids_of_piece.most = mine.fits.most = 3
+    for text in odd_texts(60):
+        assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def rows():
+    rng = random.Random(2)
+    words = ["alpha", "beta,", "gamma\n", "délta", "123"]
+    out = [(i, " ".join(rng.choices(words, k=rng.choice([1, 5, 60, 300, 900])))) for i in range(60)]
+    return out + [(100, None), (101, ""), (None, "a b"), (None, "a b"), (3, "again"), (102, "x " * 3000)]
+
+
+def frame(spark, given):
+    return spark.createDataFrame([(i, t, "x", 1, "y") for i, t in given], SCHEMA)
+
+
+def test_digests_and_ids(spark, library):
+    expected = []
+    for i, t in rows():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), t or "")]
+        expected.append((i, len(ids), *sha))
+    got = [tuple(r) for r in bpe.digests(frame(spark, rows()), tokenizer_file()).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    full = bpe.encoded(frame(spark, rows()), tokenizer_file()).collect()
+    assert sorted((r["doc_id"], len(r["ids"]), r["decoded"]) for r in full if r["doc_id"] is not None) == sorted(
+        (e[0], e[1], t or "") for e, (_, t) in zip(expected, rows()) if e[0] is not None
+    )
+    assert bpe.digests(frame(spark, []), tokenizer_file()).count() == 0
+
+
+@pytest.mark.parametrize("items_per_task", [4, 50_000])
+def test_pack_holds_every_id_once(spark, library, items_per_task):
+    given = rows()
+    packed = pack(frame(spark, given).repartition(6), tokenizer_file(), items_per_task=items_per_task).collect()
+    wanted = sorted([*library.encode(t or "", add_special_tokens=False).ids, 2] for _, t in given)
+    by_id = defaultdict(list)
+    for r in packed:
+        assert r["length"] == len(r["ids"]) <= 1024
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        by_id[r["doc_id"]].append(r)
+    unique = {i: t for i, t in given if [g[0] for g in given].count(i) == 1}
+    for i, text in unique.items():
+        pieces = sorted(by_id[i], key=lambda r: r["piece"])
+        ids = [x for r in pieces for x in r["ids"]]
+        assert ids == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert [r["start"] for r in pieces] == [0, *np.cumsum([r["length"] for r in pieces])[:-1]]
+        assert all(r["length"] == 1024 for r in pieces[1:])
+    assert sum(r["length"] for r in packed) == sum(map(len, wanted))
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in sequences.values():
+        spans.sort()
+        assert [s for s, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1]] and sum(n for _, n in spans) <= 1024
+    bound = -(-sum(map(len, wanted)) // 1024)
+    assert len(sequences) <= bound + (2 if items_per_task > 4 else 6)
+
+
+def test_pack_empty_table(spark):
+    assert pack(frame(spark, []), tokenizer_file()).count() == 0
+
+
+def test_best_fit_is_tight_and_exact():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 1025, 2000)
+    place, offset, fill = best_fit(sizes, 1024)
+    assert fill.max() <= 1024 and fill.sum() == sizes.sum()
+    assert len(fill) <= 1.02 * sizes.sum() / 1024 + 1
+    for b in range(len(fill)):
+        spans = sorted((int(o), int(s)) for o, s in zip(offset[place == b], sizes[place == b]))
+        assert [o for o, _ in spans] == [0, *np.cumsum([s for _, s in spans])[:-1]]
