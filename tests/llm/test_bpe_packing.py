@@ -99,7 +99,9 @@ def test_pack_holds_every_id_once(spark, library, items_per_task):
         spans.sort()
         assert [s for s, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1]] and sum(n for _, n in spans) <= 1024
     bound = -(-sum(map(len, wanted)) // 1024)
-    assert len(sequences) <= bound + (2 if items_per_task > 4 else 15)  # tasks of four items pack loosely
+    assert len(sequences) <= bound + 10  # tasks of eleven documents pack loosely
+    together = pack(frame(spark, given).coalesce(1), tokenizer_file(), items_per_task=items_per_task)
+    assert together.select("sequence_id").distinct().count() <= bound + 1
 
 
 def test_pack_empty_table(spark):
