@@ -98,10 +98,10 @@ def test_pack_holds_every_id_once(spark, library, items_per_task):
     for spans in sequences.values():
         spans.sort()
         assert [s for s, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1]] and sum(n for _, n in spans) <= 1024
-    bound = -(-sum(map(len, wanted)) // 1024)
-    assert len(sequences) <= bound + 10  # tasks of eleven documents pack loosely
+    alone = best_fit([r["length"] for r in packed], 1024)[2]  # best fit of all pieces at once
+    assert len(alone) <= len(sequences) <= len(alone) + 8
     together = pack(frame(spark, given).coalesce(1), tokenizer_file(), items_per_task=items_per_task)
-    assert together.select("sequence_id").distinct().count() <= bound + 1
+    assert together.select("sequence_id").distinct().count() <= len(alone)
 
 
 def test_pack_empty_table(spark):
