@@ -10,6 +10,7 @@ from ledgerflow.llm import bpe
 from ledgerflow.llm.common import read_documents
 from ledgerflow.llm.exact_dedup import dedup_report
 from ledgerflow.llm.packing import pack
+from ledgerflow.llm.resampling import fit, quality_report
 from ledgerflow.llm.rendezvous import with_shards, with_slots
 from ledgerflow.llm.simhash_dedup import simhash_report
 
@@ -27,6 +28,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), tokenizer_file(), with_ids=False)
 
 
+def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return quality_report(docs, fit(docs, read_documents(spark, sf_dir, "labels")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_documents(spark, sf_dir), tokenizer_file())
 
@@ -50,6 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_resampling": op4_resampling,
     "op6_bpe": op6_bpe,
     "op7_rendezvous": op7_rendezvous,
     "op8_exact_dedup": op8_exact_dedup,
