@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import bpe
+from ledgerflow.llm import bpe, toxicity
 from ledgerflow.llm.common import read_documents
 from ledgerflow.llm.exact_dedup import dedup_report
 from ledgerflow.llm.packing import pack
@@ -24,6 +24,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return toxicity.toxicity_report(docs, toxicity.fit(docs, read_documents(spark, sf_dir, "labels")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), tokenizer_file(), with_ids=False)
 
@@ -55,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_resampling": op4_resampling,
     "op6_bpe": op6_bpe,

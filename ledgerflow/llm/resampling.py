@@ -3,15 +3,18 @@
 Features of a text are its words and runs of other visible characters, in
 lower case, and each two that follow each other, hashed into ``BUCKETS``
 buckets; two equal ones in a row are one feature, whatever they are. The raw
-model counts the features of all documents, the target model those of
-``TARGET_ROWS`` rows at most that are labelled good (those with the smallest
-hashes of their ids; held-out rows never). The log weight of a document is
-the sum, over its features, of the log ratio of the two models.
+model counts the features of all documents. Of the rows labelled good,
+``TARGET_ROWS`` at most (those with the smallest hashes of their ids; held-out
+rows never) are the target sample: one half is counted for the target model,
+the other finds the cut. Where the target half says little the target model
+falls back to the raw one (a prior of ``PRIOR`` features dealt as the raw
+ones). The log weight of a document is the sum, over its features, of the log
+ratio of the two models.
 
 Adding Gumbel noise to log weights and taking the k largest draws k documents
 without replacement by their weights. The noise comes from a hash of the
 row's id and text, so a run can be repeated. k is the number of documents
-whose log weight reaches that which all but ``SPARED`` of the target rows
+whose log weight reaches that which all but ``SPARED`` of the second half
 reach: as many as pass for target text. The k-th largest value is found by
 counting, so no rows are sorted or gathered; rows equal to it all stay.
 
@@ -34,6 +37,7 @@ from ledgerflow.llm.common import text_of, unused, written
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
 SPARED = 0.001
+PRIOR = 10.0 * BUCKETS
 # Rows with crc32(id as text) mod HELD_OUT = 0 are never learnt from.
 HELD_OUT = 5
 SEED = 1
@@ -93,9 +97,12 @@ def steps(value: Column) -> Column:
 
 
 def _target_ids(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
+    """(target_id, role) of the target sample; role 1 is counted, role 2 finds the cut."""
     good = labels.where((F.col(f"`{label_col}`") == 1) & F.col(f"`{id_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`")))
     ids = good.select(F.col(f"`{id_col}`").alias("target_id")).distinct()
-    return ids.orderBy(F.xxhash64(F.col("target_id").cast("string")), "target_id").limit(most)
+    key = F.xxhash64(F.col("target_id").cast("string"))
+    role = F.when(F.xxhash64(key) % 2 == 0, F.lit(1)).otherwise(F.lit(2)).alias("role")
+    return ids.orderBy(key, "target_id").limit(most).select("target_id", role)
 
 
 def _kth_largest(values: DataFrame, k: int) -> int:
@@ -128,28 +135,28 @@ def fit(
     # Broadcast: target_rows ids at most.
     target = F.broadcast(written(_target_ids(labels, id_col, label_col, target_rows), "target-ids"))
     given = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-    marked = given.join(target, given["doc_id"] == target["target_id"], "left").select(
-        "doc_id", "text", F.col("target_id").isNotNull().cast("bigint").alias("target")
-    )
+    marked = given.join(target, given["doc_id"] == target["target_id"], "left").select("doc_id", "text", "role")
     counts = (
-        marked.select("target", F.explode(features(F.col("text"))).alias("bucket"))
+        marked.select("role", F.explode(features(F.col("text"))).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
+        .agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("role") == 1).alias("target"))
         .collect()
     )
-    raw, good = [1.0] * BUCKETS, [1.0] * BUCKETS
+    raw, good = [1.0] * BUCKETS, [0.0] * BUCKETS
     for row in counts:
         raw[row["bucket"]] += row["raw"]
         good[row["bucket"]] += row["target"]
-    if sum(good) == BUCKETS:
+    if not sum(good):
         return Resampler((), None, id_col, text_col)
-    shift = math.log(sum(raw)) - math.log(sum(good))
-    ratios = tuple(round(math.log(g) - math.log(r) + shift, 6) for g, r in zip(good, raw))
-    model = Resampler(ratios, None, "doc_id", "text")
-    weights = written(
-        marked.select("target", model.log_weight().alias("weight"), model.noise().alias("noise")), "weights"
+    all_raw, all_good = sum(raw), sum(good)
+    ratios = tuple(
+        round(math.log((g + PRIOR * r / all_raw) / (all_good + PRIOR)) - math.log(r / all_raw), 6) for g, r in zip(good, raw)
     )
-    least = weights.where("target = 1").select(F.expr(f"percentile_approx(weight, {spared}, 10000)")).first()[0]
+    model = Resampler(ratios, None, "doc_id", "text")
+    weights = written(marked.select("role", model.log_weight().alias("weight"), model.noise().alias("noise")), "weights")
+    least = weights.where("role = 2").select(F.expr(f"percentile_approx(weight, {spared}, 10000)")).first()[0]
+    if least is None:  # a sample of a single row
+        return Resampler(ratios, None, id_col, text_col)
     k = weights.where(F.col("weight") >= F.lit(least)).count()
     threshold = _kth_largest(weights.select(steps(F.col("weight") + F.col("noise")).alias("value")), k)
     return Resampler(ratios, threshold, id_col, text_col)
