@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerflow.llm import bpe, toxicity
 from ledgerflow.llm.common import read_documents
 from ledgerflow.llm.exact_dedup import dedup_report
+from ledgerflow.llm.imatch import imatch_report
+from ledgerflow.llm.merkle import fixity_report
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.resampling import fit, quality_report
 from ledgerflow.llm.rendezvous import with_shards, with_slots
@@ -38,13 +41,22 @@ def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(docs, fit(docs, read_documents(spark, sf_dir, "labels")))
 
 
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of the pages' archive against a replica with damage at known places.
+
+    Of the pages whose id mod 211 is 0 the replica's body differs in its first character; those whose mod is 1 are lost.
+    """
+    pages = read_documents(spark, sf_dir, "pages")
+    place = F.col("page_id") % 211
+    damaged = F.when(place == 0, F.overlay("html", F.lit("\x00"), F.lit(1), F.lit(1))).otherwise(F.col("html"))
+    return fixity_report(pages, damaged, place == 1)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_documents(spark, sf_dir), tokenizer_file())
 
 
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     sharded = with_slots(with_shards(read_documents(spark, sf_dir), [1.0] * SHARDS))
     return sharded.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("bigint"), "grown_shard"
@@ -55,6 +67,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(read_documents(spark, sf_dir))
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch_report(read_documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(read_documents(spark, sf_dir))
 
@@ -63,13 +79,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_resampling": op4_resampling,
+    "op5_merkle": op5_merkle,
     "op6_bpe": op6_bpe,
     "op7_rendezvous": op7_rendezvous,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_imatch": op9_imatch,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_merkle": r"""
+        WITH records AS (
+            SELECT page_id,
+                   'WARC/1.0' || e || 'WARC-Type: resource' || e
+                   || CASE WHEN page_id IS NULL THEN '' ELSE 'WARC-Record-ID: <urn:page:' || page_id || '>' || e END
+                   || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html' || e
+                   || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS record
+            FROM pages, (SELECT chr(13) || chr(10) AS e)
+        ), hashed AS (
+            SELECT min(page_id) AS page_id, count(*) AS copies, sha256(record) AS record_sha256, max(strlen(record)) AS length
+            FROM records GROUP BY sha256(record)
+        ), placed AS (
+            SELECT *, CAST(('0x' || substr(record_sha256, 1, 8))::BIGINT
+                      >> (32 - greatest(0, ceil(log2(greatest(1, count(*) OVER ()) / 1024.0)))::INT) AS INTEGER) AS segment
+            FROM hashed
+        )
+        SELECT page_id, copies, segment, length, record_sha256,
+               CAST(coalesce(sum(length) OVER (PARTITION BY segment ORDER BY record_sha256
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+               CASE page_id % 211 WHEN 0 THEN 'changed' WHEN 1 THEN 'lost' ELSE 'intact' END AS state
+        FROM placed
+    """,
     "op8_exact_dedup": r"""
         WITH normalised AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
