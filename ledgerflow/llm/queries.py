@@ -11,6 +11,7 @@ from ledgerflow.llm import bpe, toxicity
 from ledgerflow.llm.common import read_documents
 from ledgerflow.llm.exact_dedup import dedup_report
 from ledgerflow.llm.imatch import imatch_report
+from ledgerflow.llm.license_scan import license_report
 from ledgerflow.llm.merkle import fixity_report
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.resampling import fit, quality_report
@@ -36,6 +37,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), tokenizer_file(), with_ids=False)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read_documents(spark, sf_dir))
+
+
 def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     return quality_report(docs, fit(docs, read_documents(spark, sf_dir, "labels")))
@@ -78,6 +83,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_license_scan": op3_license_scan,
     "op4_resampling": op4_resampling,
     "op5_merkle": op5_merkle,
     "op6_bpe": op6_bpe,
