@@ -1,6 +1,6 @@
 """Column helpers built only from ``pyspark.sql.functions``."""
 
-from ledgerflow.functions.money import MONEY, TOTAL, money_sum, money_value, month_key, utc_stamp
+from ledgerflow.functions.money import TOTAL, WIDE, money_sum, money_value, month_key, utc_stamp
 from ledgerflow.functions.labels import (
     AVAILABILITY,
     OVERALL,
@@ -9,7 +9,7 @@ from ledgerflow.functions.labels import (
 )
 
 __all__ = [
-    "MONEY",
+    "WIDE",
     "TOTAL",
     "money_sum",
     "money_value",

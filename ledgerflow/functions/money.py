@@ -1,11 +1,11 @@
 """Exact money totals, month keys and timestamps.
 
 Money is summed as DECIMAL so totals do not depend on the order in which
-partial sums meet. Decimal inputs are summed at their own scale and
-rounded to cents afterwards (half away from zero); double inputs are cast
-to cents first, because doubles summed in arbitrary order are not exact.
-Totals are DECIMAL(38,2) so a sum over a very large fact cannot overflow
-the result type.
+partial sums meet, and rounded to cents once, after the sum (half away from
+zero). Decimal inputs are summed at their own scale; doubles, whose sums in
+arbitrary order are not exact, at eight decimal places. Totals are
+DECIMAL(38,2) so a sum over a very large fact cannot overflow the result
+type.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
+# Of doubles before the sum: 30 digits before the point, eight after it.
+WIDE = T.DecimalType(38, 8)
 TOTAL = T.DecimalType(38, 2)
 
 # Fixed output format of timestamps.
@@ -22,9 +23,9 @@ STAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def money_value(column: str | Column, dtype: T.DataType) -> Column:
-    """One money value as an exact decimal (doubles rounded to cents)."""
+    """One money value as a decimal to be summed (doubles to eight decimal places)."""
     col = F.col(column) if isinstance(column, str) else column
-    return col if isinstance(dtype, T.DecimalType) else col.cast(MONEY)
+    return col if isinstance(dtype, T.DecimalType) else col.cast(WIDE)
 
 
 def money_sum(column: str | Column, dtype: T.DataType) -> Column:

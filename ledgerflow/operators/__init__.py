@@ -7,7 +7,7 @@ from ledgerflow.operators.revenue import (
     read_month_partitioned,
     write_month_partitioned,
 )
-from ledgerflow.operators.status import ha_status, nest_status, sync_status, with_availability
+from ledgerflow.operators.status import count_side, ha_status, nest_status, sync_status, with_availability
 from ledgerflow.operators.sync import (
     CycleResult,
     InsertResult,
@@ -16,12 +16,13 @@ from ledgerflow.operators.sync import (
     high_watermark_value,
     incremental_batch,
     insert_if_absent,
+    logged_insert,
     read_log,
     run_sync,
     sync_cycle,
 )
 from ledgerflow.operators.topk import top_k
-from ledgerflow.operators.totals import count_of, money_total_of, overview_totals, table_counts
+from ledgerflow.operators.totals import count_of, money_total_of, overview_totals
 
 __all__ = [
     "top_customers",
@@ -30,6 +31,7 @@ __all__ = [
     "monthly_revenue_partitioned",
     "read_month_partitioned",
     "write_month_partitioned",
+    "count_side",
     "ha_status",
     "nest_status",
     "sync_status",
@@ -41,6 +43,7 @@ __all__ = [
     "high_watermark_value",
     "incremental_batch",
     "insert_if_absent",
+    "logged_insert",
     "read_log",
     "run_sync",
     "sync_cycle",
@@ -48,5 +51,4 @@ __all__ = [
     "count_of",
     "money_total_of",
     "overview_totals",
-    "table_counts",
 ]

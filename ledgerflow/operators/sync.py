@@ -2,9 +2,10 @@
 
 Primitives:
     high_watermark    highest key already in the target (with a default)
-    incremental_batch source rows above a watermark, in key order, capped
+    incremental_batch source rows above a watermark, optionally up to a number of rows
+    first_per_key     one row per key, by a stated order with NULLs last
     insert_if_absent  append the rows whose key the target lacks
-    sync_cycle        one capped cycle: batch -> insert -> new watermark
+    sync_cycle        one cycle: batch -> insert -> new watermark
     run_sync          cycles until the source has nothing above the watermark
 
 insert_if_absent is the "insert, skip on key conflict" write expressed as
@@ -14,6 +15,11 @@ failed or repeated cycle never duplicates rows. The target read is limited
 to the batch's key range, which Parquet min/max statistics turn into
 skipped files for the usual case of keys above everything in the target.
 
+A cycle copies everything above the watermark unless a cap is asked for.
+A cap only decides where a batch ends: rows that repeat a key stay in one
+batch, and the row that wins is chosen by the same order, so the target is
+the same whatever the cap.
+
 The watermark only moves after the write has committed; a failing write
 raises and the next run starts from the same position. With no default
 (``init=None``) an empty target means "no lower bound", so a key of 0 or
@@ -30,103 +36,83 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow.session import path_exists
 
-_ORDERABLE = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
-
 
-def high_watermark(
-    target: DataFrame,
-    key: str,
-    init: object = None,
-    alias: str = "high_watermark",
-    from_footers: bool = False,
-) -> DataFrame:
-    """One row: ``COALESCE(MAX(key), init)`` over the target.
-
-    By default the key column is scanned (NULL keys skipped), which works on
-    any files. ``from_footers=True`` leaves the MAX bare so that, with
-    Parquet aggregate pushdown on (``ledgerflow.session.DEFAULT_CONF``), it
-    is answered from file footers; use it only for tables whose files all
-    carry key statistics, such as targets written by ``insert_if_absent``
-    (which never writes a NULL key). A file whose key column chunk has no
-    min/max (e.g. all NULL) makes the pushed-down MAX fail.
-    """
+def high_watermark(target: DataFrame, key: str, init: object = None, alias: str = "high_watermark") -> DataFrame:
+    """One row: ``COALESCE(MAX(key), init)`` over the target; the key column is scanned, NULL keys skipped."""
     top = F.max(F.col(key))
     if init is not None:
         top = F.coalesce(top, F.lit(init))
-    rows = target if from_footers else target.where(F.col(key).isNotNull())
-    return rows.agg(top.alias(alias))
+    return target.where(F.col(key).isNotNull()).agg(top.alias(alias))
 
 
-def high_watermark_value(target: DataFrame, key: str, init: object = None, from_footers: bool = False) -> object:
+def high_watermark_value(target: DataFrame, key: str, init: object = None) -> object:
     """The watermark as a Python value (a single aggregated value reaches the driver)."""
-    return high_watermark(target, key, init, from_footers=from_footers).first()[0]
-
-
-def _tiebreak(df: DataFrame, key: str, order_by: Sequence[str] | None) -> list[str]:
-    explicit = [c for c in (order_by or []) if c != key]
-    rest = [
-        f.name
-        for f in df.schema.fields
-        if f.name != key and f.name not in explicit and isinstance(f.dataType, _ORDERABLE)
-    ]
-    return explicit + rest
+    return high_watermark(target, key, init).first()[0]
 
 
 def incremental_batch(
     source: DataFrame,
     key: str,
     since: object = None,
-    limit: int | None = 100,
+    limit: int | None = None,
     columns: Sequence[str] | None = None,
-    order_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows with ``key > since`` in key order, at most ``limit`` of them.
+    """Rows with ``key > since``; with a ``limit`` up to the limit-th smallest key, in key order.
 
-    ``since=None`` means no lower bound (rows with a NULL key are never
-    part of a batch). The literal bounds are pushed to the Parquet scan.
-    With a limit the plans are top-k (``TakeOrderedAndProject``), not
-    sorts, and one key value reaches the driver; ``limit=None`` returns
-    every newer row, unordered.
+    Rows that repeat the last key all belong to the batch, so with repeated
+    keys it can hold more than ``limit`` rows. ``since=None`` means no lower
+    bound (rows with a NULL key are never part of a batch). The literal
+    bounds are pushed to the Parquet scan.
     """
     df = source.select(*(columns or source.columns))
-    cond = F.col(key).isNotNull() if since is None else F.col(key) > F.lit(since)
-    df = df.where(cond)
+    df = df.where(F.col(key).isNotNull() if since is None else F.col(key) > F.lit(since))
     if limit is None:
         return df
-    # Two passes: the limit-th smallest key above the bound is found on the
-    # key column alone (a per-task top-k that reads one column), then only
-    # rows up to that key are read in full. Both bounds are literals, so
-    # Parquet statistics skip row groups outside the range.
+    # The limit-th smallest key is found on the key column alone (a per-task
+    # top-k); then only rows up to it are read in full. Both bounds are
+    # literals, so Parquet statistics skip row groups outside the range.
     upper = df.select(key).orderBy(F.col(key).asc()).limit(limit).agg(F.max(F.col(key))).first()[0]
     if upper is None:
         return df.where(F.lit(False))
-    order = [F.col(key).asc()] + [F.col(c).asc_nulls_last() for c in _tiebreak(df, key, order_by)]
-    return df.where(F.col(key) <= F.lit(upper)).orderBy(*order).limit(limit)
+    return df.where(F.col(key) <= F.lit(upper)).orderBy(F.col(key).asc())
+
+
+def _orderable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _orderable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_orderable(f.dataType) for f in dtype.fields)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def _place(df: DataFrame, key: str, order_by: Sequence[str] | None) -> Column | None:
+    """What rows of one key are ordered by: ``order_by``, then all other orderable columns, NULLs last."""
+    explicit = [c for c in (order_by or []) if c != key]
+    rest = [f.name for f in df.schema.fields if f.name != key and f.name not in explicit and _orderable(f.dataType)]
+    parts = [p for c in explicit + rest for p in (F.col(c).isNull(), F.col(c))]
+    return F.struct(*[p.alias(f"_{i}") for i, p in enumerate(parts)]) if parts else None
 
 
 def first_per_key(batch: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:
-    """One row per non-null key: the first by ``order_by``, then by the other columns.
+    """One row per non-null key: the first by ``order_by``, then by the other columns, NULLs last.
 
-    ``min`` over a struct is an ordinary aggregate with a map-side partial
-    step, so a key repeated in a large share of the batch is reduced inside
-    each task before the shuffle, never gathered into one task.
+    ``min_by`` is an ordinary aggregate with a map-side partial step, so a
+    key repeated in a large share of the batch is reduced inside each task
+    before the shuffle, never gathered into one task. Columns without an
+    order (maps) travel with the chosen row.
     """
+    keyed = batch.where(F.col(key).isNotNull())
     others = [c for c in batch.columns if c != key]
-    explicit = [c for c in (order_by or []) if c in others]
-    ranked = explicit + [c for c in others if c not in explicit]
-    if not ranked:
-        return batch.where(F.col(key).isNotNull()).select(key).distinct()
-    picked = (
-        batch.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(F.struct(*[F.col(c) for c in ranked])).alias("_first"))
-    )
+    if not others:
+        return keyed.select(key).distinct()
+    place, row = _place(batch, key, order_by), F.struct(*[F.col(c) for c in others])
+    picked = keyed.groupBy(key).agg((F.min_by(row, place) if place is not None else F.first(row)).alias("_first"))
     return picked.select(*[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in batch.columns])
 
 
@@ -138,63 +124,77 @@ class InsertResult:
     last_key: object
 
 
+def batch_range(batch: DataFrame, key: str) -> tuple[int, object, object]:
+    """(rows, smallest key, largest key) of the rows with a key: one pass over the key column, no shuffle."""
+    row = batch.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)), F.min(F.col(key)), F.max(F.col(key))).first()
+    return int(row[0]), row[1], row[2]
+
+
+def rows_between(df: DataFrame, key: str, low: object, high: object) -> DataFrame:
+    return df.where(F.col(key).between(F.lit(low), F.lit(high)))
+
+
+def absent_rows(batch: DataFrame, existing: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:
+    """The first row of each of the batch's keys that ``existing`` lacks.
+
+    The aggregate's partitioning by key also serves the anti-join, so the
+    batch is shuffled once.
+    """
+    return first_per_key(batch, key, order_by).join(existing.select(key), key, "left_anti")
+
+
 def insert_if_absent(
     spark: SparkSession,
     batch: DataFrame,
     target_path: str,
     key: str,
     order_by: Sequence[str] | None = None,
+    known_range: tuple[int, object, object] | None = None,
 ) -> InsertResult:
     """Append to the Parquet table at ``target_path`` the batch rows whose key it lacks.
 
     Within the batch the first row per key wins (``first_per_key``). Returns
     the number of rows written (an observed metric of the write itself, so
-    the batch is not recounted) plus the batch's size and key range.
-
-    One pass over the key column gives the batch's size, key range and
-    exact number of distinct keys (hash aggregates with a map-side step);
-    the sort-based one-row-per-key step only runs when a key repeats.
+    the batch is not recounted) plus the batch's size and key range
+    (``known_range``, if the caller has taken it already).
     """
-    keyed = batch.where(F.col(key).isNotNull())
-    stats = keyed.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.col(key)).alias("lo"),
-        F.max(F.col(key)).alias("hi"),
-        F.count_distinct(F.col(key)).alias("keys"),
-    ).first()
-    if not stats["n"]:
+    count, low, high = known_range or batch_range(batch, key)
+    if not count:
         return InsertResult(0, 0, None, None)
-    rows = keyed if stats["keys"] == stats["n"] else first_per_key(keyed, key, order_by)
     if path_exists(spark, target_path):
-        existing = (
-            spark.read.schema(batch.schema)
-            .parquet(target_path)
-            .select(key)
-            .where(F.col(key).between(F.lit(stats["lo"]), F.lit(stats["hi"])))
-        )
-        rows = rows.join(existing, key, "left_anti")
+        existing = rows_between(spark.read.schema(batch.schema).parquet(target_path), key, low, high)
+        rows = absent_rows(batch, existing, key, order_by)
+    else:
+        rows = first_per_key(batch, key, order_by)
     observation = Observation("insert_if_absent")
-    rows = rows.observe(observation, F.count(F.lit(1)).alias("inserted"))
-    rows.write.mode("append").parquet(target_path)
-    return InsertResult(int(observation.get["inserted"]), int(stats["n"]), stats["lo"], stats["hi"])
-
-
-# Per-cycle log (one row per cycle or streaming micro-batch).
-LOG_SCHEMA = T.StructType(
-    [
-        T.StructField("cycle", T.LongType(), False),
-        T.StructField("logged_at", T.TimestampNTZType(), False),  # UTC wall clock
-        T.StructField("found", T.LongType(), False),
-        T.StructField("first_key", T.LongType(), True),
-        T.StructField("last_key", T.LongType(), True),
-        T.StructField("inserted", T.LongType(), False),
-        T.StructField("watermark", T.LongType(), True),
-        T.StructField("source_count", T.LongType(), True),
-        T.StructField("target_count", T.LongType(), True),
-        T.StructField("remaining_lag", T.LongType(), True),
-        T.StructField("run", T.StringType(), True),  # one run_sync call, or a stream's checkpoint
-    ]
-)
+    rows.observe(observation, F.count(F.lit(1)).alias("inserted")).write.mode("append").parquet(target_path)
+    return InsertResult(int(observation.get["inserted"]), count, low, high)
+
+
+# Log of cycles and micro-batches: an intent row before the write, a result row after it.
+INTENT, RESULT = "intent", "result"
+
+
+def log_schema(key_type: T.DataType) -> T.StructType:
+    """Schema of a log whose key columns have the type of the synced key."""
+    long = T.LongType()
+    return T.StructType(
+        [
+            T.StructField("cycle", long, False),
+            T.StructField("logged_at", T.TimestampNTZType(), False),  # UTC wall clock
+            T.StructField("found", long, False),
+            T.StructField("first_key", key_type, True),
+            T.StructField("last_key", key_type, True),
+            T.StructField("inserted", long, True),
+            T.StructField("watermark", key_type, True),
+            T.StructField("source_count", long, True),  # NULL: not asked for, or the side is unreadable
+            T.StructField("target_count", long, True),
+            T.StructField("remaining_lag", long, True),
+            T.StructField("stage", T.StringType(), False),
+            T.StructField("range_before", long, True),  # target rows in the batch's key range before the write
+            T.StructField("run", T.StringType(), True),  # one run_sync call, or a stream's checkpoint
+        ]
+    )
 
 
 @dataclass
@@ -202,51 +202,111 @@ class CycleResult:
     cycle: int
     logged_at: _dt.datetime
     found: int
-    first_key: int | None
-    last_key: int | None
-    inserted: int
-    watermark: int | None
+    first_key: object
+    last_key: object
+    inserted: int | None
+    watermark: object
     source_count: int | None
     target_count: int | None
     remaining_lag: int | None
+    stage: str = RESULT
+    range_before: int | None = None
     run: str | None = None
 
 
-def side_counts(spark: SparkSession, source: DataFrame, target_path: str) -> tuple[int, int]:
-    """Row counts of the source and of the target table, taken by one query.
+def utc_now() -> _dt.datetime:
+    return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
-    Both counts are scalar subqueries of the same query, so they run
-    concurrently; each reads no columns.
-    """
-    target = (
-        spark.read.schema(source.schema).parquet(target_path) if path_exists(spark, target_path) else None
-    )
-    target_count = F.lit(0).cast(T.LongType()) if target is None else target.select(F.count(F.lit(1))).scalar()
-    row = spark.range(1).select(
-        source.select(F.count(F.lit(1))).scalar().alias("s"), target_count.alias("t")
-    ).first()
-    return int(row["s"]), int(row["t"])
 
+def count_or_none(open_table: Callable[[], DataFrame]) -> int | None:
+    """A table's row count; None when it cannot be read."""
+    try:
+        return open_table().count()
+    except Exception:  # noqa: BLE001 - an unreadable side has no count; the log says so by NULL
+        return None
 
-def append_log(spark: SparkSession, log_path: str, result: CycleResult, once: bool = False) -> None:
-    """Append one cycle's metrics to the log table.
 
-    With ``once=True`` nothing is written when the log already holds this
-    (run, cycle): a streaming batch replayed after a failure is logged once.
-    """
-    if once and path_exists(spark, log_path):
-        logged = read_log(spark, log_path).where(
-            (F.col("run") == F.lit(result.run)) & (F.col("cycle") == F.lit(result.cycle))
-        )
-        if logged.limit(1).count():
-            return
-    spark.createDataFrame([tuple(asdict(result).values())], LOG_SCHEMA).coalesce(1).write.mode(
-        "append"
-    ).parquet(log_path)
+def side_counts(
+    spark: SparkSession, source: Callable[[], DataFrame], target_path: str, schema: T.StructType
+) -> tuple[int | None, int | None, int | None]:
+    """(source rows, target rows, difference); None for a side that cannot be read, and for the difference then."""
+    source_count = count_or_none(source)
+    missing = not path_exists(spark, target_path)
+    target_count = 0 if missing else count_or_none(lambda: spark.read.schema(schema).parquet(target_path))
+    lag = None if source_count is None or target_count is None else source_count - target_count
+    return source_count, target_count, lag
+
+
+def append_log(spark: SparkSession, log_path: str, entry: CycleResult, key_type: T.DataType) -> None:
+    """Append one row to the log, a table partitioned by run."""
+    row = spark.createDataFrame([tuple(asdict(entry).values())], log_schema(key_type))
+    row.coalesce(1).write.mode("append").partitionBy("run").parquet(log_path)
+
+
+def _log_rows(spark: SparkSession, log_path: str) -> DataFrame:
+    found = spark.read.parquet(log_path).schema
+    # The run is text, whatever its partition folders' names look like.
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "run" else f.dataType) for f in found])
+    return spark.read.schema(schema).parquet(log_path)
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(log_path)
+    """The log's result rows."""
+    return _log_rows(spark, log_path).where(F.col("stage") == RESULT).drop("stage", "range_before")
+
+
+def logged_stages(spark: SparkSession, log_path: str, run: str, cycle: int) -> dict[str, int | None]:
+    """Stage -> range_before of what the log has of one cycle; only the run's partition is read."""
+    if not path_exists(spark, log_path):
+        return {}
+    rows = _log_rows(spark, log_path).where((F.col("run") == run) & (F.col("cycle") == cycle))
+    return {r["stage"]: r["range_before"] for r in rows.select("stage", "range_before").collect()}  # two rows at most
+
+
+def logged_insert(
+    spark: SparkSession,
+    batch: DataFrame,
+    target_path: str,
+    key: str,
+    log_path: str,
+    run: str,
+    cycle: int,
+    order_by: Sequence[str] | None = None,
+    previous_watermark: object = None,
+    source: Callable[[], DataFrame] | None = None,
+) -> CycleResult | None:
+    """``insert_if_absent`` with an intent row before the write and a result row after it.
+
+    A cycle whose result is logged is not run again (None). If only its
+    intent is logged, the process was lost in between: the rows may or may
+    not have landed, so ``inserted`` is what the batch's key range holds now
+    minus what the intent says it held. ``source`` asks for the counts of
+    both sides.
+    """
+    key_type = batch.schema[key].dataType
+    stages = logged_stages(spark, log_path, run, cycle)
+    if RESULT in stages:
+        return None
+    count, low, high = batch_range(batch, key)
+
+    def in_range() -> int:
+        if not count or not path_exists(spark, target_path):
+            return 0
+        return rows_between(spark.read.schema(batch.schema).parquet(target_path), key, low, high).count()
+
+    watermark = high if count else previous_watermark
+    if INTENT in stages:
+        before = stages[INTENT] or 0
+    else:
+        before = in_range()
+        intent = CycleResult(cycle, utc_now(), count, low, high, None, watermark, None, None, None, INTENT, before, run)
+        append_log(spark, log_path, intent, key_type)
+    written = insert_if_absent(spark, batch, target_path, key, order_by, (count, low, high))
+    inserted = in_range() - before if INTENT in stages else written.inserted
+    counts = side_counts(spark, source, target_path, batch.schema) if source is not None else (None, None, None)
+    result = CycleResult(cycle, utc_now(), count, low, high, inserted, watermark, *counts, RESULT, before, run)
+    append_log(spark, log_path, result, key_type)
+    return result
 
 
 def sync_cycle(
@@ -255,37 +315,31 @@ def sync_cycle(
     target_path: str,
     key: str,
     watermark: object,
-    cap: int | None = 100,
+    cap: int | None = None,
     cycle: int = 1,
     order_by: Sequence[str] | None = None,
     with_counts: bool = True,
     run: str | None = None,
+    log_path: str | None = None,
 ) -> CycleResult:
-    """One cycle: fetch up to ``cap`` rows above ``watermark``, insert the absent ones.
+    """One cycle: fetch the rows above ``watermark`` (``cap`` keys' worth, if given), insert the absent ones.
 
     The new watermark is the last key fetched, or the old one when nothing
     was found. Counts of both sides (and their difference) are taken after
     the write when ``with_counts``.
     """
-    batch = incremental_batch(source, key, watermark, cap, order_by=order_by)
-    # A capped batch is small; caching it keeps the top-k over the source from
-    # running twice (key-range pass, then the insert). An uncapped batch is a
-    # plain filtered scan: re-reading it costs less than caching every column.
-    if cap is not None:
-        batch = batch.persist()
-    try:
-        res = insert_if_absent(spark, batch, target_path, key, order_by)
-    finally:
-        if cap is not None:
-            batch.unpersist()
+    batch = incremental_batch(source, key, watermark, cap)
+    run = run or uuid.uuid4().hex
+    if log_path:
+        return logged_insert(
+            spark, batch, target_path, key, log_path, run, cycle, order_by, watermark,
+            (lambda: source) if with_counts else None,
+        )
+    res = insert_if_absent(spark, batch, target_path, key, order_by)
+    counts = side_counts(spark, lambda: source, target_path, source.schema) if with_counts else (None, None, None)
     new_watermark = res.last_key if res.batch_rows else watermark
-    source_count = target_count = lag = None
-    if with_counts:
-        source_count, target_count = side_counts(spark, source, target_path)
-        lag = source_count - target_count
     return CycleResult(
-        cycle, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), res.batch_rows,
-        res.first_key, res.last_key, res.inserted, new_watermark, source_count, target_count, lag, run,
+        cycle, utc_now(), res.batch_rows, res.first_key, res.last_key, res.inserted, new_watermark, *counts, run=run
     )
 
 
@@ -294,41 +348,33 @@ def run_sync(
     source: DataFrame | Callable[[], DataFrame],
     target_path: str,
     key: str,
-    cap: int | None = 100,
+    cap: int | None = None,
     init: object = None,
-    max_cycles: int | None = None,
     log_path: str | None = None,
     order_by: Sequence[str] | None = None,
     with_counts: bool = True,
-    watermark_from_footers: bool = False,
 ) -> list[CycleResult]:
-    """Run cycles until one finds nothing (or ``max_cycles``); returns each cycle's result.
+    """Run cycles until one finds nothing; returns each cycle's result.
 
-    ``source`` is a DataFrame (a snapshot: its file listing is fixed when it
-    is created) or a function returning one, called at every cycle so rows
-    that land during the run are picked up.
+    Uncapped, one cycle copies the backlog and the next finds nothing (or
+    what landed meanwhile). ``source`` is a DataFrame (a snapshot: its file
+    listing is fixed when it is created) or a function returning one, called
+    at every cycle so rows that land during the run are picked up.
 
     The watermark is read from the target once, at the start; afterwards it
     only advances to the last key of each written batch, so keys written to
     the target by someone else cannot make this run skip source rows.
-    ``watermark_from_footers`` reads that starting MAX from file footers
-    (see ``high_watermark``), for targets written only by this library.
     """
     load = source if callable(source) else (lambda: source)
     watermark = init
     if path_exists(spark, target_path):
-        target = spark.read.schema(load().schema).parquet(target_path)
-        watermark = high_watermark_value(target, key, init, from_footers=watermark_from_footers)
+        watermark = high_watermark_value(spark.read.schema(load().schema).parquet(target_path), key, init)
     run = uuid.uuid4().hex
     results: list[CycleResult] = []
-    while max_cycles is None or len(results) < max_cycles:
+    while not results or results[-1].found:
         result = sync_cycle(
-            spark, load(), target_path, key, watermark, cap, len(results) + 1, order_by, with_counts, run
+            spark, load(), target_path, key, watermark, cap, len(results) + 1, order_by, with_counts, run, log_path
         )
         results.append(result)
-        if log_path:
-            append_log(spark, log_path, result)
-        if result.found == 0:
-            break
         watermark = result.watermark
     return results

@@ -13,15 +13,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerflow.functions.money import money_sum
 
 
-def count_of(df: DataFrame | None) -> Column:
-    """``COUNT(*)`` of a table as a scalar column; NULL when the table is None."""
-    if df is None:
-        return F.lit(None).cast(T.LongType())
+def count_of(df: DataFrame) -> Column:
+    """``COUNT(*)`` of a table as a scalar column."""
     return df.select(F.count(F.lit(1))).scalar()
 
 
@@ -35,11 +32,6 @@ def one_row(spark: SparkSession, figures: Mapping[str, Column]) -> DataFrame:
     return spark.range(1).select(*[column.alias(name) for name, column in figures.items()])
 
 
-def table_counts(spark: SparkSession, tables: Mapping[str, DataFrame | None], prefix: str = "") -> DataFrame:
-    """One row with ``<prefix><alias>`` = row count of each table."""
-    return one_row(spark, {f"{prefix}{alias}": count_of(df) for alias, df in tables.items()})
-
-
 def overview_totals(
     spark: SparkSession,
     counted: Mapping[str, DataFrame],

@@ -1,19 +1,18 @@
 """SQL equivalents of the registered queries, runnable by DuckDB.
 
 The tables of the test folder are visible as views under their own names.
-Money is cast to DECIMAL(18,2) per row and totals to DECIMAL(38,2), as in
-the Spark operators; NULL placement is written out because the engines'
+Money (doubles) is cast to DECIMAL(38,8) per row and totals are rounded to
+DECIMAL(38,2), as in the Spark operators; NULL placement is written out because the engines'
 defaults differ.
 """
 
 from __future__ import annotations
 
-_MONEY_TOTAL = "CAST(ROUND(SUM(CAST({col} AS DECIMAL(18,2))), 2) AS DECIMAL(38,2))"
+_MONEY_TOTAL = "CAST(ROUND(SUM(CAST({col} AS DECIMAL(38,8))), 2) AS DECIMAL(38,2))"
 
 # Replica of the synced tables: keys up to the middle of the key range.
-_REPLICA_EVENTS = (
-    "(SELECT * FROM events WHERE event_id <= (SELECT (MIN(event_id) + MAX(event_id)) // 2 FROM events))"
-)
+_MIDDLE = "(SELECT (MIN(event_id) + MAX(event_id)) // 2 FROM events)"
+_REPLICA_EVENTS = f"(SELECT * FROM events WHERE event_id <= {_MIDDLE})"
 _REPLICA_ORDERS = (
     "(SELECT * FROM orders WHERE o_orderkey <= (SELECT (MIN(o_orderkey) + MAX(o_orderkey)) // 2 FROM orders))"
 )
@@ -30,7 +29,8 @@ ORDER BY month ASC NULLS LAST
 _TOP_CUSTOMERS = f"""
 SELECT c.c_name || ' ' || c.c_mktsegment AS customer_name,
        {_MONEY_TOTAL.format(col="o.o_totalprice")} AS total_spent,
-       COUNT(o.o_orderkey) AS rental_count
+       COUNT(o.o_orderkey) AS rental_count,
+       c.c_name AS email
 FROM customer c
 JOIN orders o ON c.c_custkey = o.o_custkey
 GROUP BY c.c_custkey, c.c_name, c.c_mktsegment
@@ -43,6 +43,12 @@ _WATERMARK = f"(SELECT COALESCE(MAX(event_id), -1) FROM {_REPLICA_EVENTS} r)"
 
 _EVENTS_ALL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 
+# A target that keeps the replica's rows, with the given value for new keys.
+_SYNCED = (
+    "SELECT event_id, ts, user_id, CASE WHEN event_id <= {middle} THEN 'replica' ELSE event_type END AS event_type, "
+    "CASE WHEN event_id <= {middle} THEN value + 1000 ELSE {new} END AS value, props FROM events"
+)
+
 _STATUS_COUNTS = f"""
 SELECT 'online' AS source_status,
        (SELECT COUNT(*) FROM customer) AS source_customers,
@@ -93,19 +99,29 @@ WHERE event_id > {_WATERMARK}
 ORDER BY event_id
 LIMIT 100
 """,
-    "insert_if_absent": _EVENTS_ALL,
-    "sync_converged": _EVENTS_ALL,
+    "insert_if_absent": _SYNCED.format(middle=_MIDDLE, new="CASE WHEN event_id % 3 = 0 THEN value - 1 ELSE value END"),
+    "sync_converged": _SYNCED.format(middle=_MIDDLE, new="value"),
     "sync_log": f"""
-SELECT CAST(0 AS BIGINT) AS cycle,
-       COUNT(*) AS found,
-       MIN(event_id) AS first_key,
-       MAX(event_id) AS last_key,
-       COUNT(*) - (SELECT COUNT(*) FROM {_REPLICA_EVENTS} r) AS inserted,
-       MAX(event_id) AS watermark,
-       COUNT(*) AS source_count,
-       COUNT(*) AS target_count,
-       CAST(0 AS BIGINT) AS remaining_lag
-FROM events
+WITH span AS (SELECT MIN(event_id) AS low, MAX(event_id) AS high FROM events),
+landed AS (
+    SELECT event_id, event_id > {_MIDDLE} AS fresh,
+           CASE WHEN event_id < low + (high + 1 - low) // 3 THEN 0
+                WHEN event_id < low + (high + 1 - low) * 2 // 3 THEN 1 ELSE 2 END AS cycle
+    FROM events, span
+),
+batches AS (
+    SELECT cycle, COUNT(*) AS found, MIN(event_id) AS first_key, MAX(event_id) AS last_key,
+           COUNT(*) FILTER (WHERE fresh) AS inserted
+    FROM landed GROUP BY cycle
+),
+counted AS (
+    SELECT *, CAST(SUM(found) OVER (ORDER BY cycle) AS BIGINT) AS source_count,
+           CAST((SELECT COUNT(*) FROM {_REPLICA_EVENTS} r) + SUM(inserted) OVER (ORDER BY cycle) AS BIGINT) AS target_count
+    FROM batches
+)
+SELECT CAST(cycle AS BIGINT) AS cycle, found, first_key, last_key, inserted, last_key AS watermark,
+       source_count, target_count, source_count - target_count AS remaining_lag
+FROM counted
 """,
     "sync_cycles": f"""
 SELECT CAST(1 AS BIGINT) AS cycle,
@@ -135,14 +151,20 @@ SELECT s.*,
             THEN 'IN_SYNC' ELSE 'LAG_DETECTED' END AS overall_status
 FROM ({_STATUS_COUNTS}) s
 """,
-    "ha_status": """
-SELECT * FROM (VALUES
-    ('both_readable', 'online', 'online', 'NORMAL'),
-    ('source_absent', 'offline', 'online', 'FAILOVER_ACTIVE'),
-    ('replica_absent', 'online', 'offline', 'REPLICA_DOWN'),
-    ('both_absent', 'offline', 'offline', 'BOTH_DOWN')
-) AS t(scenario, source_status, replica_status, ha_status)
+    "status_document": f"""
+SELECT CAST(to_json({{
+           'source': {{'status': source_status, 'customers': source_customers, 'rentals': source_rentals,
+                       'payments': source_payments, 'films': source_films, 'error': source_error}},
+           'replica': {{'status': replica_status, 'customers': replica_customers, 'rentals': replica_rentals,
+                        'payments': replica_payments, 'films': replica_films, 'error': replica_error}},
+           'sync_lag': {{'customers': source_customers - replica_customers, 'rentals': source_rentals - replica_rentals,
+                         'payments': source_payments - replica_payments, 'films': source_films - replica_films}},
+           'overall_status': CASE WHEN source_customers = replica_customers AND source_rentals = replica_rentals
+                                       AND source_payments = replica_payments AND source_films = replica_films
+                                  THEN 'IN_SYNC' ELSE 'LAG_DETECTED' END}}) AS VARCHAR) AS value
+FROM ({_STATUS_COUNTS}) s
 """,
+    "ha_status": f"SELECT *, 'NORMAL' AS ha_status FROM ({_STATUS_COUNTS}) s",
     "fallback_source": f"""
 SELECT m.*, 'fallback' AS data_source FROM ({_MONTHLY_REVENUE}) m
 """,
@@ -154,11 +176,10 @@ FROM ({_MONTHLY_REVENUE}) m
     "json_document": f"""
 SELECT CAST(to_json({{
            'data': list({{'customer_name': customer_name,
+                         'email': email,
                          'total_spent': CAST(total_spent AS VARCHAR),
-                         'rental_count': rental_count}}
-                        ORDER BY total_spent DESC NULLS FIRST, customer_name ASC NULLS LAST,
-                                 rental_count ASC NULLS LAST),
+                         'rental_count': rental_count}} ORDER BY place),
            'data_source': 'primary'}}) AS VARCHAR) AS value
-FROM ({_TOP_CUSTOMERS}) t
+FROM (SELECT *, row_number() OVER () AS place FROM ({_TOP_CUSTOMERS}) t) t
 """,
 }

@@ -18,7 +18,7 @@ print a report:
 
     python -m ledgerflow.plans.rental_store overview --base /data/store [--fallback /data/copy]
     python -m ledgerflow.plans.rental_store replication --base /data/store --replica /data/copy
-    python -m ledgerflow.plans.rental_store sync --base /data/store --replica /data/copy [--cap 100]
+    python -m ledgerflow.plans.rental_store sync --base /data/store --replica /data/copy [--cap N]
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from ledgerflow.operators.rankings import top_customers, top_items
 from ledgerflow.operators.revenue import monthly_revenue
 from ledgerflow.operators.status import ha_status, nest_status, sync_status
 from ledgerflow.operators.sync import run_sync
-from ledgerflow.operators.topk import asc, desc
 from ledgerflow.operators.totals import overview_totals
 from ledgerflow.sources.fallback import FALLBACK, PRIMARY, NoReadableSource, Side, open_side
 from ledgerflow.sources.sinks import json_document, json_rows
@@ -95,23 +94,16 @@ def replication(spark: SparkSession, source: Side, replica: Side) -> DataFrame:
 
 
 def failover(spark: SparkSession, source: Side, replica: Side) -> DataFrame:
-    return ha_status(spark, source, replica)
+    return ha_status(spark, source, replica, list(COMPARED))
 
 
-# Document order of each list report (the ranking order, then the labels).
-_ORDER = {
-    "films": [("rental_count", desc), ("film_title", asc), ("category", asc)],
-    "customers": [("total_spent", desc), ("customer_name", asc), ("email", asc)],
-    "revenue": [("month", asc)],
-}
+# Reports that are lists, in the order of their ranking.
+LIST_REPORTS = ("films", "customers", "revenue")
 
 
-def document(report: DataFrame, name: str, data_source: str | None, max_rows: int) -> DataFrame:
+def document(report: DataFrame, name: str, data_source: str | None) -> DataFrame:
     """The report as one JSON document (list reports) or one JSON object (one-row reports)."""
-    if name in _ORDER:
-        order = [direction(column) for column, direction in _ORDER[name]]
-        return json_document(report, order, max_rows=max_rows, data_source=data_source)
-    return json_rows(report)
+    return json_document(report, data_source) if name in LIST_REPORTS else json_rows(report)
 
 
 def open_store(spark: SparkSession, candidates: list[tuple[str, str]]) -> tuple[dict[str, DataFrame], str]:
@@ -142,19 +134,21 @@ def sync_rentals(
     spark: SparkSession,
     base: str,
     replica: str,
-    cap: int | None = 100,
+    cap: int | None = None,
     log_path: str | None = None,
 ) -> list[str]:
-    """Copy new ``rental`` rows from the source copy into the replica copy, in capped cycles.
+    """Copy new ``rental`` rows from the source copy into the replica copy.
 
-    Runs cycles until one finds nothing; returns one JSON object per cycle
-    (found, first/last key, inserted, watermark, counts, remaining lag).
+    Runs cycles (of ``cap`` rows each, if given) until one finds nothing;
+    returns one JSON object per cycle (found, first/last key, inserted,
+    watermark, counts, remaining lag).
     """
     read_table(spark, base, SYNCED_TABLE)  # fail fast when the source copy is missing
     target = f"{replica.rstrip('/')}/{SYNCED_TABLE}.parquet"
     results = run_sync(spark, lambda: read_table(spark, base, SYNCED_TABLE), target, SYNCED_KEY,
                        cap=cap, log_path=log_path)
-    return [json.dumps({k: (str(v) if k == "logged_at" else v) for k, v in asdict(r).items()}) for r in results]
+    shown = [{k: v for k, v in asdict(r).items() if k not in ("stage", "range_before")} for r in results]
+    return [json.dumps(r, default=str) for r in shown]
 
 
 def run_report(
@@ -163,14 +157,11 @@ def run_report(
     base: str,
     fallback: str | None = None,
     replica: str | None = None,
-    max_rows: int = 1000,
 ) -> list[str]:
     """The report's JSON text: one document, or one object for one-row reports."""
     if report in ("replication", "failover"):
-        # Availability means readable: the failover report reads a row of each table.
-        probe = report == "failover"
-        source = open_side(spark, "source", base, COMPARED, probe=probe)
-        other = open_side(spark, "replica", replica, COMPARED, probe=probe)
+        source = open_side(spark, "source", base, COMPARED)
+        other = open_side(spark, "replica", replica, COMPARED)
         out = json_rows((replication if report == "replication" else failover)(spark, source, other))
     else:
         candidates = [(PRIMARY, base)] + ([(FALLBACK, fallback)] if fallback else [])
@@ -179,7 +170,7 @@ def run_report(
             out = json_rows(overview(spark, tables, used))
         else:
             out = document({"films": films, "customers": customers, "revenue": revenue}[report](tables),
-                           report, used, max_rows)
+                           report, used)
     return [row[0] for row in out.collect()]  # one document or one object: bounded
 
 
@@ -191,8 +182,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--base", required=True, help="folder holding <table>.parquet (the source)")
     parser.add_argument("--fallback", help="second copy read when the base copy is unreadable")
     parser.add_argument("--replica", help="replica copy for replication / failover")
-    parser.add_argument("--max-rows", type=int, default=1000, help="largest list a document may hold")
-    parser.add_argument("--cap", type=int, default=100, help="rows per sync cycle")
+    parser.add_argument("--cap", type=int, help="rows per sync cycle (default: all that is new)")
     parser.add_argument("--log", help="Parquet table receiving one row per sync cycle")
     args = parser.parse_args(argv)
 
@@ -206,7 +196,7 @@ def main(argv: list[str] | None = None) -> None:
             for line in sync_rentals(spark, args.base, args.replica, args.cap, args.log):
                 print(line)
             return
-        for text in run_report(spark, args.report, args.base, args.fallback, args.replica, args.max_rows):
+        for text in run_report(spark, args.report, args.base, args.fallback, args.replica):
             print(json.dumps(json.loads(text), indent=2))
     finally:
         spark.stop()

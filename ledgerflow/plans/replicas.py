@@ -1,32 +1,27 @@
-"""Replica copies of the test tables, written under the shared folder.
+"""Replica copies of the test tables, written under the shared folder at every call.
 
 The replica of a table set lags its source: tables without a sync feed are
 full copies, synced tables hold only the rows with a key up to the middle
 of the source's key range (``(min + max) div 2``). The cut is computed from
-the data, so the replica and the backlog both grow with the tables.
-
-Read-only uses share one copy per source folder (written once, reused
-when its ``_SUCCESS`` marker exists); uses that modify the target write a
-fresh copy.
+the data, so the replica and the backlog both grow with the tables. The
+events a replica holds have values of their own, so a sync that overwrote
+them would show.
 """
 
 from __future__ import annotations
 
-import threading
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.schemas import KEYS, STATUS_TABLES, TABLES
-from ledgerflow.session import fresh_path, is_complete, stable_path
+from ledgerflow.schemas import KEYS, TABLES
+from ledgerflow.session import temporary_path
 from ledgerflow.sources.tables import read_table, table_path
 
 # Tables the replica holds only partly (the synced ones).
 LAGGING = ("events", "orders")
 
-# Serialises writing of reused layouts between threads of one driver.
-LAYOUT_LOCK = threading.Lock()
-
 
 def lagging_copy(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key is at most the middle of the key range."""
@@ -36,27 +31,21 @@ def lagging_copy(df: DataFrame, key: str) -> DataFrame:
 
 def replica_rows(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = read_table(spark, sf_dir, table, TABLES[table])
-    return lagging_copy(df, KEYS[table]) if table in LAGGING else df
-
-
-def write_replica_table(spark: SparkSession, sf_dir: str, table: str, base: str) -> str:
-    path = table_path(base, table)
-    replica_rows(spark, sf_dir, table).write.mode("overwrite").parquet(path)
-    return path
-
-
-def shared_replica(spark: SparkSession, sf_dir: str) -> str:
-    """Base folder of the read-only replica of the status tables for ``sf_dir``."""
-    base = stable_path(spark, "replica", sf_dir)
-    with LAYOUT_LOCK:
-        for table in STATUS_TABLES.values():
-            if not is_complete(spark, table_path(base, table)):
-                write_replica_table(spark, sf_dir, table, base)
+    if table in LAGGING:
+        df = lagging_copy(df, KEYS[table])
+    if table == "events":
+        df = df.withColumn("value", F.col("value") + 1000).withColumn("event_type", F.lit("replica"))
+    return df
+
+
+def write_replica(spark: SparkSession, sf_dir: str, tables: Iterable[str]) -> str:
+    """A new replica of ``tables``; returns its base folder."""
+    base = temporary_path(spark, "replica")
+    for table in tables:
+        replica_rows(spark, sf_dir, table).write.parquet(table_path(base, table))
     return base
 
 
 def fresh_target(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """A new, writable replica copy of one table (copied from the shared replica); returns its path."""
-    path = table_path(fresh_path(spark, "target"), table)
-    read_table(spark, shared_replica(spark, sf_dir), table, TABLES[table]).write.parquet(path)
-    return path
+    """A new, writable replica of one table; returns its path."""
+    return table_path(write_replica(spark, sf_dir, [table]), table)

@@ -13,8 +13,8 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ledgerflow.operators.sync import absent_rows, batch_range, rows_between
 from ledgerflow.plans.explain import plan_text
 from ledgerflow.plans.standins import QUERIES, _events, _replica_events
 
@@ -27,9 +27,8 @@ LARGE_TABLES = {
 def insert_write_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows ``insert_if_absent`` appends when the whole source meets the replica."""
     source = _events(spark, sf_dir)
-    lo, hi = source.agg(F.min("event_id"), F.max("event_id")).first()
-    existing = _replica_events(spark, sf_dir).select("event_id").where(F.col("event_id").between(lo, hi))
-    return source.join(existing, "event_id", "left_anti")
+    _, low, high = batch_range(source, "event_id")
+    return absent_rows(source, rows_between(_replica_events(spark, sf_dir), "event_id", low, high), "event_id")
 
 
 def plans(spark: SparkSession, sf_dir: str, keys: list[str], mode: str = "simple") -> str:

@@ -1,4 +1,4 @@
-"""The operators bound to the test tables (see ``ledgerflow.schemas.ROLES``).
+"""The operators bound to the test tables (roles: see the README).
 
 Each function takes ``(spark, sf_dir)`` and returns a DataFrame over the
 whole tables in ``sf_dir``. ``QUERIES`` maps the registered names to them;
@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow.operators.rankings import top_customers, top_items
 from ledgerflow.operators.revenue import (
@@ -19,22 +20,21 @@ from ledgerflow.operators.revenue import (
     read_month_partitioned,
     write_month_partitioned,
 )
-from ledgerflow.operators.status import ha_status, sync_status
+from ledgerflow.operators.status import ha_status, nest_status, sync_status
 from ledgerflow.operators.sync import (
-    LOG_SCHEMA,
     high_watermark,
     high_watermark_value,
     incremental_batch,
     insert_if_absent,
     read_log,
+    log_schema,
     run_sync,
 )
 from ledgerflow.operators.totals import overview_totals
-from ledgerflow.plans.replicas import LAYOUT_LOCK, fresh_target, shared_replica
+from ledgerflow.plans.replicas import fresh_target, write_replica
 from ledgerflow.schemas import STATUS_TABLES, TABLES
-from ledgerflow.session import fresh_path, is_complete, stable_path
+from ledgerflow.session import temporary_path
 from ledgerflow.sources.fallback import FALLBACK, PRIMARY, open_side, read_with_fallback, with_source
-from ledgerflow.operators.topk import asc, desc
 from ledgerflow.sources.sinks import json_document, json_rows
 from ledgerflow.sources.tables import load_test_tables, read_table, table_path
 from ledgerflow.streaming.sync_stream import sync_until_caught_up
@@ -43,6 +43,8 @@ from ledgerflow.streaming.sync_stream import sync_until_caught_up
 EMPTY_TARGET_WATERMARK = -1
 # Rows per incremental batch.
 BATCH_CAP = 100
+# Parts in which the streamed events land, a micro-batch each.
+LANDINGS = 3
 
 
 def q_overview_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def q_top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load_test_tables(spark, sf_dir, ["customer", "orders"])
     return top_customers(
         t["customer"], t["orders"],
-        customer_key="c_custkey", first_name="c_name", last_name="c_mktsegment",
+        customer_key="c_custkey", first_name="c_name", last_name="c_mktsegment", email="c_name",
         payment_customer_key="o_custkey", amount="o_totalprice", payment_id="o_orderkey",
         k=10,
     )
@@ -91,12 +93,10 @@ def q_monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders table in its month-partitioned layout (written once per source folder)."""
-    path = stable_path(spark, "orders-by-month", sf_dir)
-    with LAYOUT_LOCK:
-        if not is_complete(spark, path):
-            orders = read_table(spark, sf_dir, "orders", TABLES["orders"])
-            write_month_partitioned(orders, path, date_col="o_orderdate", key_col="o_orderkey")
+    """The orders table in its month-partitioned layout, written anew."""
+    path = temporary_path(spark, "orders-by-month")
+    orders = read_table(spark, sf_dir, "orders", TABLES["orders"])
+    write_month_partitioned(orders, path, date_col="o_orderdate", key_col="o_orderkey")
     return read_month_partitioned(spark, path, TABLES["orders"])
 
 
@@ -109,58 +109,71 @@ def _events(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _replica_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, shared_replica(spark, sf_dir))
+    return _events(spark, write_replica(spark, sf_dir, ["events"]))
 
 
 # Log columns compared by the registered queries (time and run id vary per run).
-LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields if f.name not in ("logged_at", "run")]
+_NOT_COMPARED = ("logged_at", "run", "stage", "range_before")
+LOG_COLUMNS = [f.name for f in log_schema(T.LongType()).fields if f.name not in _NOT_COMPARED]
 
 
 def q_high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The replica is written by Spark with non-null keys: its footers hold the key statistics.
-    return high_watermark(_replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK, from_footers=True)
+    return high_watermark(_replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK)
 
 
 def q_incremental_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    since = high_watermark_value(
-        _replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK, from_footers=True
-    )
+    since = high_watermark_value(_replica_events(spark, sf_dir), "event_id", init=EMPTY_TARGET_WATERMARK)
     return incremental_batch(_events(spark, sf_dir), "event_id", since, BATCH_CAP)
 
 
+def _with_repeats(events: DataFrame) -> DataFrame:
+    """The events, and for two keys of three another row whose value is lower or higher by 1."""
+    turn = F.pmod(F.col("event_id"), F.lit(3))
+    again = events.where(turn < 2).withColumn("value", F.col("value") + F.when(turn == 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
+    return events.unionByName(again)
+
+
 def q_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert the whole source into a lagging replica; the target afterwards."""
+    """Insert the whole source, keys repeated, into a lagging replica; the target afterwards.
+
+    The replica's rows stay as they are; of the rows of a new key the one with the lowest value is inserted.
+    """
     target = fresh_target(spark, sf_dir, "events")
-    insert_if_absent(spark, _events(spark, sf_dir), target, "event_id")
+    insert_if_absent(spark, _with_repeats(_events(spark, sf_dir)), target, "event_id", order_by=["value"])
     return spark.read.schema(TABLES["events"]).parquet(target)
 
 
-def _stream_to_convergence(spark: SparkSession, sf_dir: str, with_log: bool) -> tuple[str, str | None]:
-    """Stream the whole events table into a lagging replica until caught up."""
+def q_sync_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream the whole events table into a lagging replica until caught up; the target afterwards."""
     target = fresh_target(spark, sf_dir, "events")
-    log = fresh_path(spark, "sync-log") if with_log else None
     sync_until_caught_up(
-        spark, table_path(sf_dir, "events"), TABLES["events"], target, "event_id", log_path=log,
-        checkpoint=fresh_path(spark, "sync-checkpoint"),
+        spark, table_path(sf_dir, "events"), TABLES["events"], target, "event_id",
+        checkpoint=temporary_path(spark, "sync-checkpoint"),
     )
-    return target, log
-
-
-def q_sync_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, _ = _stream_to_convergence(spark, sf_dir, with_log=False)
     return spark.read.schema(TABLES["events"]).parquet(target)
 
 
 def q_sync_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, log = _stream_to_convergence(spark, sf_dir, with_log=True)
+    """The events land in parts of their key range, each streamed as a micro-batch before the next lands; the log."""
+    events = _events(spark, sf_dir)
+    span = events.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    low, high = span["low"] or 0, span["high"] or 0
+    edges = [low + (high + 1 - low) * i // LANDINGS for i in range(LANDINGS + 1)]
+    landing, checkpoint = temporary_path(spark, "landing"), temporary_path(spark, "sync-checkpoint")
+    target, log = fresh_target(spark, sf_dir, "events"), temporary_path(spark, "sync-log")
+    for first, after in zip(edges, edges[1:]):
+        part = events.where((F.col("event_id") >= first) & (F.col("event_id") < after))
+        part.write.mode("append").parquet(landing)
+        sync_until_caught_up(
+            spark, landing, TABLES["events"], target, "event_id", log_path=log, with_counts=True, checkpoint=checkpoint
+        )
     return read_log(spark, log).select(*LOG_COLUMNS)
 
 
 def q_sync_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bounded cycle loop, uncapped, over the whole table: its per-cycle log."""
-    target = fresh_target(spark, sf_dir, "events")
-    log = fresh_path(spark, "sync-cycles-log")
-    run_sync(spark, _events(spark, sf_dir), target, "event_id", cap=None, log_path=log)
+    """The cycle loop over the whole table: its per-cycle log."""
+    target, log = fresh_target(spark, sf_dir, "events"), temporary_path(spark, "sync-cycles-log")
+    run_sync(spark, _events(spark, sf_dir), target, "event_id", log_path=log)
     return read_log(spark, log).select(*LOG_COLUMNS)
 
 
@@ -170,39 +183,24 @@ def _absent(sf_dir: str) -> str:
 
 
 def _sides(spark: SparkSession, sf_dir: str):
+    replica_base = write_replica(spark, sf_dir, STATUS_TABLES.values())
     source = open_side(spark, "source", sf_dir, STATUS_TABLES, schemas=TABLES)
-    replica = open_side(spark, "replica", shared_replica(spark, sf_dir), STATUS_TABLES, schemas=TABLES)
-    return source, replica
+    return source, open_side(spark, "replica", replica_base, STATUS_TABLES, schemas=TABLES)
 
 
 def q_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, replica = _sides(spark, sf_dir)
-    return sync_status(spark, source, replica, list(STATUS_TABLES), with_checked_at=False)
+    return sync_status(spark, *_sides(spark, sf_dir), list(STATUS_TABLES), with_checked_at=False)
 
 
-def q_ha_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Availability for each combination of a present / absent source and replica.
+def q_status_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status row as one JSON object of ``source``, ``replica`` and ``sync_lag``."""
+    return json_rows(nest_status(q_sync_status(spark, sf_dir), list(STATUS_TABLES)))
 
-    As in the original check, online means reachable (the copy lists and its
-    tables resolve); ``open_side(probe=True)`` also reads a row of each table.
-    """
-    source, replica = _sides(spark, sf_dir)
-    missing = open_side(spark, "absent", _absent(sf_dir), STATUS_TABLES, schemas=TABLES)
-    rows = []
-    for scenario, src, rep in (
-        ("both_readable", source, replica),
-        ("source_absent", missing, replica),
-        ("replica_absent", source, missing),
-        ("both_absent", missing, missing),
-    ):
-        rows.append(
-            ha_status(spark, src, rep, with_checked_at=False)
-            .select(F.lit(scenario).alias("scenario"), "source_status", "replica_status", "ha_status")
-        )
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+
+def q_ha_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Availability from the counts of all compared tables on both sides."""
+    status = ha_status(spark, *_sides(spark, sf_dir), list(STATUS_TABLES), with_checked_at=False)
+    return status.drop("source_location", "replica_location")
 
 
 def q_fallback_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,10 +215,8 @@ def q_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top customers as one ``{"data": [...], "data_source": ...}`` document."""
-    ranked = q_top_customers(spark, sf_dir)
-    order = [desc("total_spent"), asc("customer_name"), asc("rental_count")]
-    return json_document(ranked, order, max_rows=10, data_source=PRIMARY)
+    """The top customers as one ``{"data": [...], "data_source": ...}`` document, in ranking order."""
+    return json_document(q_top_customers(spark, sf_dir), data_source=PRIMARY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -236,6 +232,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sync_log": q_sync_log,
     "sync_cycles": q_sync_cycles,
     "sync_status": q_sync_status,
+    "status_document": q_status_document,
     "ha_status": q_ha_status,
     "fallback_source": q_fallback_source,
     "json_rows": q_json_rows,

@@ -1,9 +1,8 @@
 """Declared schemas of the tables the operators read.
 
 ``TABLES`` holds the test tables (TPC-H-like star schema plus an event
-feed). ``ROLES`` records which of them plays each role of the
-transactional model the operators were written for (item, bridge,
-category, unit, activity, customer, payment, change feed).
+feed); the README says which of them plays which role of the transactional
+model the operators were written for.
 """
 
 from __future__ import annotations
@@ -41,19 +40,6 @@ TABLES: dict[str, T.StructType] = {
     ),
 }
 
-# Role of each table in the transactional model (see README).
-ROLES: dict[str, str] = {
-    "item": "customer",        # ranked entity of top_items
-    "bridge": "nation",        # item -> category link
-    "category": "region",
-    "unit": "orders",          # item -> activity link
-    "activity": "lineitem",    # counted rows of top_items
-    "customer": "customer",
-    "payment": "orders",       # money fact with a timestamp
-    "feed": "events",          # keyed change feed for sync
-    "counted": "supplier",     # counted only
-}
-
 # Tables compared between the source and replica sides by sync_status.
 STATUS_TABLES: dict[str, str] = {
     "customers": "customer",

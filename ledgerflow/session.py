@@ -2,15 +2,13 @@
 
 Written intermediate tables (month-partitioned layouts, replica copies,
 sync logs, streaming checkpoints) live under the folder the cluster names
-in ``spark.checkpoint.dir``. That folder is shared by all executors; a
-machine-local temporary folder is only used when the setting is absent
-(local tests), and then it is registered as the checkpoint folder too.
+in ``spark.checkpoint.dir``. That folder is shared by all executors. A local
+session without the setting (tests) uses a folder beside its warehouse.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,12 +26,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
-    # Parquet through the V2 source, which can answer COUNT(*), MIN and MAX
-    # from file footers (``PushedAggregation`` in the plan): the whole-table
-    # counts of the totals / status / sync log and the watermark's MAX read
-    # no row groups.
-    "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text",
-    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
@@ -58,14 +50,11 @@ def build_session(
     return spark
 
 
-_LOCAL_FALLBACK: dict[int, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for written tables: ``spark.checkpoint.dir``.
 
-    Only when the session has none (a local test session) is a local
-    temporary folder created and registered as the checkpoint folder.
+    Only a local session without one gets a folder beside its warehouse,
+    registered as its checkpoint folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -79,17 +68,14 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         return current.rstrip("/")
     master = spark.conf.get("spark.master", "") or ""
-    if not (local_context and master.startswith("local")):
+    if not (local_context and master.startswith("local")) or master.startswith("local-cluster"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set: name a folder all executors share "
             "(e.g. on HDFS or an object store) for the tables these jobs write"
         )
-    key = id(spark.sparkContext)
-    if key not in _LOCAL_FALLBACK:
-        folder = tempfile.mkdtemp(prefix="ledgerflow-")
-        spark.sparkContext.setCheckpointDir(folder)
-        _LOCAL_FALLBACK[key] = folder
-    return _LOCAL_FALLBACK[key]
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -97,13 +83,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ledgerflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-# Bumped whenever the layout of a reused written table changes.
-LAYOUT_VERSION = "2"
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new location under the shared folder that is deleted when the driver ends."""
+    path = fresh_path(spark, name)
+    try:
+        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    except Exception:  # noqa: BLE001 - no driver JVM (Spark Connect): the folder is left to the cluster
+        pass
+    return path
 
 
 def stable_path(spark: SparkSession, name: str, *parts: str) -> str:
-    """A location under the shared folder keyed by ``parts`` (e.g. a source path)."""
-    digest = hashlib.sha1("\x00".join((LAYOUT_VERSION, *parts)).encode()).hexdigest()[:16]
+    """A location under the shared folder keyed by ``parts`` (e.g. the target of a stream that resumes there)."""
+    digest = hashlib.sha1("\x00".join(parts).encode()).hexdigest()[:16]
     return f"{shared_dir(spark)}/ledgerflow/{name}-{digest}"
 
 
@@ -129,8 +122,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         if "PATH_NOT_FOUND" in str(exc):
             return False
         raise
-
-
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """True when a Spark write job to ``path`` committed (``_SUCCESS`` marker)."""
-    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")

@@ -2,9 +2,9 @@
 
 ``read_with_fallback`` tries the copies in order and returns the first
 readable one with its name, which callers attach to results as a
-``data_source`` column. ``open_side`` opens one copy of a table set for
-the source-versus-replica status; an unreadable copy becomes an offline
-side carrying the error text instead of raising.
+``data_source`` column. ``open_side`` opens one copy of a table set and
+``ledgerflow.operators.status.count_side`` counts its tables; a copy that
+fails at either becomes an offline side carrying the error text.
 """
 
 from __future__ import annotations
@@ -42,13 +42,14 @@ def read_with_fallback(
 ) -> tuple[DataFrame, str]:
     """Read ``table`` from the first readable ``(name, base_path)`` candidate.
 
-    Returns the DataFrame and the candidate's name. Raises
-    ``NoReadableSource`` listing every candidate's error when none works.
+    With a declared ``schema`` a copy that lacks a column or stores it with
+    another type is not readable either. Returns the DataFrame and the
+    candidate's name. Raises ``NoReadableSource`` listing every candidate's error when none works.
     """
     errors = []
     for name, base in candidates:
         try:
-            df = read_table(spark, base, table, schema)
+            df = read_table(spark, base, table, schema, validate=schema is not None)
             if probe:
                 _probe(df)
             return df, name
@@ -64,12 +65,13 @@ def with_source(df: DataFrame, name: str, column: str = "data_source") -> DataFr
 
 @dataclass
 class Side:
-    """One copy of a table set; ``tables`` is empty when the copy is offline."""
+    """One copy of a table set; ``tables`` is empty when the copy is offline, ``counts`` filled when they are taken."""
 
     name: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
     error: str | None = None
     location: str | None = None
+    counts: dict[str, int] | None = None
 
     @property
     def online(self) -> bool:
@@ -100,5 +102,8 @@ def open_side(
                 _probe(df)
         return Side(name, frames, location=base)
     except Exception as exc:  # noqa: BLE001 - an unreadable copy is reported, not raised
-        first_line = str(exc).splitlines()[0] if str(exc) else type(exc).__name__
-        return Side(name, error=first_line, location=base)
+        return Side(name, error=first_line(exc), location=base)
+
+
+def first_line(exc: Exception) -> str:
+    return str(exc).splitlines()[0] if str(exc) else type(exc).__name__

@@ -3,9 +3,9 @@
 ``json_rows`` turns each row into one JSON object on the executors (one
 string column ``value``), ready for ``write.text``. Decimals are written
 as strings so exact money survives JSON readers that parse numbers as
-floats. ``json_document`` wraps a small, bounded result (a top-k list, a
-monthly series) into one ``{"data": [...], "data_source": ...}`` document
-and fails, rather than truncating, if the result is larger than declared.
+floats. ``json_document`` wraps a report (a top-k list, a monthly series)
+into one ``{"data": [...], "data_source": ...}`` document; what has no
+natural bound belongs in ``json_rows``.
 """
 
 from __future__ import annotations
@@ -32,28 +32,15 @@ def json_rows(df: DataFrame, column: str = "value") -> DataFrame:
     return df.select(F.to_json(F.struct(*_json_safe_columns(df)), _JSON_OPTIONS).alias(column))
 
 
-def json_document(
-    df: DataFrame,
-    order_by: list[Column],
-    max_rows: int,
-    data_source: str | None = None,
-    column: str = "value",
-) -> DataFrame:
-    """One ``{"data": [...], "data_source": ...}`` document for a bounded result.
-
-    Rows keep the order given by ``order_by``. The result must have at most
-    ``max_rows`` rows (e.g. the ``k`` of a top-k); a larger input fails the
-    query instead of being cut. At most ``max_rows + 1`` rows are ever
-    gathered into the document's single group (a per-task top-k), so even
-    an unexpectedly large input cannot overload one task.
+def json_document(df: DataFrame, data_source: str | None = None, column: str = "value") -> DataFrame:
+    """One ``{"data": [...], "data_source": ...}`` document of an ordered report.
+
+    The rows keep the order ``df`` has them in, ties included, whatever it
+    was ordered by. The document is one row, packed by one task.
     """
-    ordered = df.orderBy(*order_by).limit(max_rows + 1).withColumn("_pos", F.monotonically_increasing_id())
+    placed = df.select("*", F.monotonically_increasing_id().alias("_place"))
     row = F.struct(*_json_safe_columns(df))
-    packed = ordered.agg(F.sort_array(F.collect_list(F.struct(F.col("_pos"), row.alias("row")))).alias("_rows"))
+    packed = placed.agg(F.sort_array(F.collect_list(F.struct(F.col("_place"), row.alias("row")))).alias("_rows"))
     data = F.transform(F.col("_rows"), lambda x: x["row"])
-    checked = F.when(
-        F.size(F.col("_rows")) > max_rows,
-        F.raise_error(F.lit(f"json_document: more than {max_rows} rows")),
-    ).otherwise(data)
-    doc = F.struct(checked.alias("data"), F.lit(data_source).cast("string").alias("data_source"))
+    doc = F.struct(data.alias("data"), F.lit(data_source).cast("string").alias("data_source"))
     return packed.select(F.to_json(doc, _JSON_OPTIONS).alias(column))

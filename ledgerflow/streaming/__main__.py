@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--interval", default=DEFAULT_INTERVAL)
     parser.add_argument("--available-now", action="store_true", help="process what is there, then stop")
     parser.add_argument("--max-files-per-trigger", type=int)
-    parser.add_argument("--no-counts", action="store_true", help="skip whole-table counts in the log")
+    parser.add_argument("--counts", action="store_true", help="whole-table counts of both sides in the log, at every batch")
     args = parser.parse_args(argv)
 
     spark = build_session(app_name="ledgerflow-sync")
@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> None:
         interval=args.interval,
         available_now=args.available_now,
         max_files_per_trigger=args.max_files_per_trigger,
-        with_counts=not args.no_counts,
+        with_counts=args.counts,
         query_name="ledgerflow_sync",
     )
     try:

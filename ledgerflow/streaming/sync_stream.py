@@ -5,7 +5,8 @@ goes through ``insert_if_absent`` inside ``foreachBatch`` and, optionally,
 appends one row of metrics to a log table. The stream's position lives in
 the checkpoint, so a restarted query resumes after the last committed
 batch; a batch replayed after a failure inserts nothing twice because the
-insert skips keys already present.
+insert skips keys already present, and its log row still tells how many rows
+the batch brought (``ledgerflow.operators.sync.logged_insert``).
 
 Batch size is bounded by ``max_files_per_trigger`` / ``max_bytes_per_trigger``
 (the file source has no row cap; the row-capped form is
@@ -15,14 +16,13 @@ Batch size is bounded by ``max_files_per_trigger`` / ``max_bytes_per_trigger``
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerflow.operators.sync import CycleResult, append_log, insert_if_absent, side_counts
+from ledgerflow.operators.sync import insert_if_absent, logged_insert
 from ledgerflow.session import fresh_path
 
 DEFAULT_INTERVAL = "30 seconds"
@@ -54,17 +54,17 @@ def start_sync(
     max_files_per_trigger: int | None = None,
     max_bytes_per_trigger: str | None = None,
     order_by: Sequence[str] | None = None,
-    with_counts: bool = True,
+    with_counts: bool = False,
     query_name: str | None = None,
 ) -> StreamingQuery:
     """Start streaming ``source_path`` into the Parquet table at ``target_path``.
 
     ``checkpoint`` defaults to a new folder under the shared folder
     (``spark.checkpoint.dir``); pass the same one to resume. With a
-    ``log_path`` each batch appends one metrics row; ``with_counts`` adds
+    ``log_path`` each batch appends its metrics; ``with_counts`` adds
     whole-table counts of source and target (and their difference) to it,
-    which costs a scan of both tables' file footers per batch. For very
-    large tables pass ``with_counts=False`` and take the lag on demand from
+    which lists both tables and reads their file footers at every batch. For
+    large tables leave it off and take the lag on demand from
     ``ledgerflow.operators.sync_status``.
     """
     reader = spark.readStream.schema(schema)
@@ -80,25 +80,11 @@ def start_sync(
         # pass reads only the key column and the insert reads the rest once;
         # caching would hold every column of a possibly large batch.
         session = batch.sparkSession
-        res = insert_if_absent(session, batch, target_path, key, order_by)
         if not log_path:
+            insert_if_absent(session, batch, target_path, key, order_by)
             return
-        source_count = target_count = lag = None
-        if with_counts:
-            source_count, target_count = side_counts(
-                session, session.read.schema(schema).parquet(source_path), target_path
-            )
-            lag = source_count - target_count
-        append_log(
-            session,
-            log_path,
-            CycleResult(
-                batch_id, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), res.batch_rows,
-                res.first_key, res.last_key, res.inserted, res.last_key, source_count, target_count, lag,
-                location,
-            ),
-            once=True,
-        )
+        counted = (lambda: session.read.schema(schema).parquet(source_path)) if with_counts else None
+        logged_insert(session, batch, target_path, key, log_path, location, batch_id, order_by, source=counted)
 
     writer = (
         stream.writeStream.foreachBatch(apply_batch)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from conftest import SF001
 from ledgerflow.functions.labels import availability_label, overall_label
 from ledgerflow.functions.money import utc_stamp
-from ledgerflow.operators import ha_status, nest_status, sync_status
+from ledgerflow.operators import ha_status, nest_status, sync_status, top_customers
 from ledgerflow.schemas import STATUS_TABLES, TABLES
 from ledgerflow.sources import (
     NoReadableSource,
@@ -50,14 +50,14 @@ def _side(spark, name, counts):
 )
 def test_status_truth_table(spark, source, replica, overall, availability, lags):
     src, rep = _side(spark, "source", source), _side(spark, "replica", replica)
-    row = sync_status(spark, src, rep, NAMES, checked_at="2026-04-21 10:30:00").collect()[0]
+    row = sync_status(spark, src, rep, NAMES, checked_at="2031-08-09 07:06:05").collect()[0]
     assert row["overall_status"] == overall
     assert (row["lag_customers"], row["lag_rentals"]) == lags
-    assert row["checked_at"] == "2026-04-21T10:30:00Z"
+    assert row["checked_at"] == "2031-08-09T07:06:05Z"
     assert row["source_status"] == ("offline" if source is None else "online")
     if source is None:
         assert row["source_customers"] is None and row["source_error"] == "connection refused"
-    ha = ha_status(spark, src, rep, checked_at="2026-04-21 10:30:00").collect()[0]
+    ha = ha_status(spark, src, rep, NAMES, checked_at="2031-08-09 07:06:05").collect()[0]
     assert ha["ha_status"] == availability
 
 
@@ -111,9 +111,9 @@ def test_fallback_keeps_every_cause(spark, workdir):
 
 
 def test_json_rows_decimals_as_strings(spark):
-    # total 61312.04 -> "61312.04" (a string), NULLs kept.
+    # total 70415.36 -> "70415.36" (a string), NULLs kept.
     df = spark.createDataFrame(
-        [(599, Decimal("61312.04"), None)],
+        [(417, Decimal("70415.36"), None)],
         T.StructType(
             [
                 T.StructField("total_customers", T.LongType()),
@@ -123,17 +123,23 @@ def test_json_rows_decimals_as_strings(spark):
         ),
     )
     line = json_rows(df).collect()[0]["value"]
-    assert line == '{"total_customers":599,"total_revenue":"61312.04","note":null}'
+    assert line == '{"total_customers":417,"total_revenue":"70415.36","note":null}'
 
 
-def test_json_document_bounded_and_ordered(spark):
+def test_json_document_keeps_the_order_of_the_report(spark):
     df = spark.createDataFrame([(m, Decimal(f"{i}.50")) for i, m in enumerate(["2022-03", "2022-01", "2022-02"])],
                                "month string, revenue decimal(10,2)")
-    doc = json.loads(json_document(df, [F.col("month")], max_rows=10, data_source="primary").collect()[0][0])
+    doc = json.loads(json_document(df.orderBy("month"), data_source="primary").collect()[0][0])
     assert [d["month"] for d in doc["data"]] == ["2022-01", "2022-02", "2022-03"]
     assert doc["data"][0]["revenue"] == "1.50" and doc["data_source"] == "primary"
-    with pytest.raises(Exception, match="more than 2 rows"):
-        json_document(df, [F.col("month")], max_rows=2).collect()
+    # Equal totals stay in the order of the ranking's key, which the document does not hold.
+    customer = spark.createDataFrame([(1, "Z", "z"), (2, "A", "a")], "id long, first string, last string")
+    payment = spark.createDataFrame([(10, 1, Decimal("5.00")), (11, 2, Decimal("5.00"))],
+                                    "pid long, cid long, amount decimal(5,2)")
+    ranked = top_customers(customer, payment, customer_key="id", first_name="first", last_name="last",
+                           payment_customer_key="cid", amount="amount", payment_id="pid")
+    doc = json.loads(json_document(ranked).collect()[0][0])
+    assert [d["customer_name"] for d in doc["data"]] == ["Z z", "A a"]
 
 
 def test_declared_schemas_match_test_tables(spark):
@@ -177,18 +183,44 @@ def test_checked_at_is_utc_in_any_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
     try:
         stamp = spark.range(1).select(utc_stamp().alias("s")).collect()[0]["s"]
-        fixed = spark.range(1).select(utc_stamp("2026-04-21 10:30:00").alias("s")).collect()[0]["s"]
+        fixed = spark.range(1).select(utc_stamp("2031-08-09 07:06:05").alias("s")).collect()[0]["s"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     assert abs(dt.datetime.strptime(stamp, "%Y-%m-%dT%H:%M:%SZ") - now) < dt.timedelta(minutes=2)
-    assert fixed == "2026-04-21T10:30:00Z"
+    assert fixed == "2031-08-09T07:06:05Z"
 
 
 def test_availability_reports_locations(spark, workdir):
     source = open_side(spark, "source", SF001, STATUS_TABLES)
     replica = open_side(spark, "replica", f"{workdir}/nowhere", STATUS_TABLES)
-    row = ha_status(spark, source, replica).collect()[0]
+    row = ha_status(spark, source, replica, list(STATUS_TABLES)).collect()[0]
     assert (row["source_location"], row["replica_location"]) == (SF001, f"{workdir}/nowhere")
     assert row["source_error"] is None and "PATH_NOT_FOUND" in row["replica_error"]
     assert row["ha_status"] == "REPLICA_DOWN"
+
+
+@pytest.mark.parametrize("which", [0, -1])
+def test_damaged_file_is_offline_not_a_crash(spark, workdir, which):
+    # First and last file alike: every file is opened while the side is counted.
+    for name, table in STATUS_TABLES.items():
+        read_table(spark, SF001, table, TABLES[table]).repartition(3).write.parquet(f"{workdir}/d{which}/{table}.parquet")
+    folder = f"{workdir}/d{which}/events.parquet"
+    files = sorted(f for f in os.listdir(folder) if f.endswith(".parquet"))
+    with open(f"{folder}/{files[which]}", "wb") as fh:
+        fh.write(b"garbage" * 50)
+    source = open_side(spark, "source", SF001, STATUS_TABLES, schemas=TABLES)
+    replica = open_side(spark, "replica", f"{workdir}/d{which}", STATUS_TABLES, schemas=TABLES)
+    row = sync_status(spark, source, replica, list(STATUS_TABLES)).collect()[0]
+    assert row["overall_status"] == "REPLICA_DOWN" and row["replica_error"]
+    assert row["source_rentals"] == 1000 and row["replica_customers"] is None and row["lag_rentals"] is None
+    ha = ha_status(spark, replica, source, list(STATUS_TABLES)).collect()[0]
+    assert ha["ha_status"] == "FAILOVER_ACTIVE"
+
+
+def test_fallback_skips_a_copy_that_lacks_a_column(spark, workdir):
+    orders = read_table(spark, SF001, "orders", TABLES["orders"])
+    orders.drop("o_totalprice").write.parquet(f"{workdir}/narrow/orders.parquet")
+    candidates = [("primary", f"{workdir}/narrow"), ("fallback", SF001)]
+    df, used = read_with_fallback(spark, candidates, "orders", schema=TABLES["orders"])
+    assert used == "fallback" and df.where("o_totalprice IS NOT NULL").count() == 1500

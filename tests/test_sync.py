@@ -15,12 +15,13 @@ from ledgerflow.operators import (
     high_watermark_value,
     incremental_batch,
     insert_if_absent,
+    logged_insert,
     read_log,
     run_sync,
 )
 from ledgerflow.operators import sync as sync_module
 from ledgerflow.plans import plan_text
-from ledgerflow.streaming import start_sync, stream_location, sync_stream, sync_until_caught_up
+from ledgerflow.streaming import start_sync, stream_location, sync_until_caught_up
 
 RENTAL = T.StructType(
     [
@@ -65,7 +66,6 @@ def test_batch_plan_pushes_bound_and_is_top_k(spark, workdir):
     batch = incremental_batch(spark.read.schema(RENTAL).parquet(path), "rental_id", 10, limit=5)
     text = plan_text(batch)
     assert "GreaterThan(rental_id,10), LessThanOrEqual(rental_id,15)]" in text
-    assert "TakeOrderedAndProject" in text
     assert [r[0] for r in batch.collect()] == [11, 12, 13, 14, 15]
     assert incremental_batch(spark.read.schema(RENTAL).parquet(path), "rental_id", 49, limit=5).count() == 0
 
@@ -108,7 +108,20 @@ def test_duplicate_key_keeps_first_by_stated_order(spark):
 
 def test_first_per_key_uses_partial_aggregation(spark):
     text = plan_text(first_per_key(rentals(spark, [1, 1, 2]), "rental_id"), "formatted")
-    assert "partial_min" in text
+    assert "partial_min_by" in text
+
+
+def test_first_per_key_puts_nulls_last_and_carries_maps(spark):
+    rows = [(1, None, {"a": 1}), (1, "x", {"b": 2}), (2, None, None), (None, "y", None)]
+    df = spark.createDataFrame(rows, "k long, payload string, extra map<string,int>")
+    got = {r["k"]: (r["payload"], r["extra"]) for r in first_per_key(df, "k").collect()}
+    assert got == {1: ("x", {"b": 2}), 2: (None, None)}
+
+
+def test_capped_batch_keeps_repeated_keys_whole(spark):
+    df = spark.createDataFrame([(5, i) for i in range(10)] + [(6, 0)], "k long, v long")
+    assert incremental_batch(df, "k", None, limit=3).count() == 10
+    assert incremental_batch(df, "k", 5, limit=3).count() == 1
 
 
 def test_cycles_respect_cap_and_converge(spark, workdir):
@@ -166,7 +179,7 @@ def test_stream_converges_replays_and_resumes(spark, workdir):
     target, log, ckpt = f"{workdir}/st", f"{workdir}/stlog", f"{workdir}/ckpt"
     rentals(spark, range(0, 10)).write.parquet(target)
     sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=ckpt, log_path=log,
-                         max_files_per_trigger=1)
+                         max_files_per_trigger=1, with_counts=True)
     assert ids_in(spark, target) == list(range(60))
     entries = read_log(spark, log).orderBy("cycle").collect()
     assert len(entries) == 3 and sum(r["inserted"] for r in entries) == 50
@@ -261,31 +274,67 @@ def test_stream_batches_bounded_by_bytes(spark, workdir):
     assert ids_in(spark, target) == list(range(80))
 
 
-def test_replayed_stream_batch_logged_once(spark, workdir, monkeypatch):
-    # The process dies after a batch was written and logged but before the
-    # stream committed it: the restart replays it, inserts nothing, logs nothing new.
+def _stream(spark, landing, target, log, ckpt):
+    sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=ckpt, log_path=log,
+                         max_files_per_trigger=1)
+
+
+@pytest.mark.parametrize("lost", ["after the insert", "after the log"])
+def test_lost_driver_then_replay_logs_what_landed(spark, workdir, monkeypatch, lost):
+    # The process dies before the stream commits a batch: the restart replays it,
+    # inserts nothing twice, and the log holds one row per batch with the rows it brought.
     landing = _landing(spark, workdir, range(0, 30), 2)
     target, log, ckpt = f"{workdir}/rp_target", f"{workdir}/rp_log", f"{workdir}/rp_ckpt"
-    real = sync_stream.append_log
+    name = "insert_if_absent" if lost == "after the insert" else "append_log"
+    real = getattr(sync_module, name)
 
-    def append_then_crash(*args, **kwargs):
-        real(*args, **kwargs)
+    def crash(*args, **kwargs):
+        out = real(*args, **kwargs)
+        if name == "append_log" and args[2].stage == sync_module.INTENT:
+            return out
         raise RuntimeError("driver lost")
 
-    monkeypatch.setattr(sync_stream, "append_log", append_then_crash)
+    monkeypatch.setattr(sync_module, name, crash)
     with pytest.raises(Exception, match="driver lost"):
-        sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=ckpt, log_path=log,
-                             max_files_per_trigger=1, with_counts=False)
-    assert read_log(spark, log).count() == 1
-    monkeypatch.setattr(sync_stream, "append_log", real)
-    sync_until_caught_up(spark, landing, RENTAL, target, "rental_id", checkpoint=ckpt, log_path=log,
-                         max_files_per_trigger=1, with_counts=False)
+        _stream(spark, landing, target, log, ckpt)
+    landed = len(ids_in(spark, target))
+    assert 0 < landed < 30 and read_log(spark, log).count() == (0 if lost == "after the insert" else 1)
+    monkeypatch.setattr(sync_module, name, real)
+    _stream(spark, landing, target, log, ckpt)
     entries = read_log(spark, log).orderBy("cycle").collect()
-    assert [r["cycle"] for r in entries] == [0, 1]
-    assert sum(r["inserted"] for r in entries) == 30 and {r["run"] for r in entries} == {ckpt}
+    assert [(r["cycle"], r["found"], r["inserted"]) for r in entries] == [(0, landed, landed), (1, 30 - landed, 30 - landed)]
+    assert {r["run"] for r in entries} == {ckpt}
     assert ids_in(spark, target) == list(range(30))
 
 
+def test_log_takes_the_type_of_the_key(spark, workdir):
+    source = spark.createDataFrame([("b", 1), ("a", 2)], "code string, v int")
+    run_sync(spark, source, f"{workdir}/codes", "code", log_path=f"{workdir}/codes_log")
+    rows = read_log(spark, f"{workdir}/codes_log").orderBy("cycle").collect()
+    assert [(r["first_key"], r["last_key"], r["inserted"], r["watermark"]) for r in rows] == [("a", "b", 2, "b"), (None, None, 0, "b")]
+
+
+def test_log_of_an_unreadable_side_has_no_count(spark, workdir):
+    batch, target = rentals(spark, range(40)), f"{workdir}/u_target"
+
+    def unreadable():
+        raise OSError("source unreachable")
+
+    result = logged_insert(spark, batch, target, "rental_id", f"{workdir}/u_log", "run", 1, source=unreadable)
+    assert (result.inserted, result.source_count, result.target_count, result.remaining_lag) == (40, None, 40, None)
+    (row,) = read_log(spark, f"{workdir}/u_log").collect()
+    assert (row["inserted"], row["source_count"], row["target_count"]) == (40, None, 40)
+
+
+def test_log_reads_one_run_only(spark, workdir):
+    log = f"{workdir}/part_log"
+    for _ in range(2):
+        run_sync(spark, rentals(spark, [1]), f"{workdir}/part_t", "rental_id", log_path=log, with_counts=False)
+    run = read_log(spark, log).first()["run"]
+    text = plan_text(sync_module._log_rows(spark, log).where(F.col("run") == run))
+    assert "PartitionFilters: [isnotnull(run" in text
+
+
 def test_watermark_over_files_without_key_statistics(spark, workdir):
     # A file whose key chunk is all NULL has no min/max: the default watermark
     # scans the key column instead of asking the footers, and still works.
@@ -297,9 +346,9 @@ def test_watermark_over_files_without_key_statistics(spark, workdir):
     assert "PushedAggregation" not in plan_text(high_watermark(target, "rental_id"))
 
 
-def test_run_sync_watermark_from_footers(spark, workdir):
-    target = f"{workdir}/footer_target"
-    rentals(spark, range(0, 10)).write.parquet(target)
-    results = run_sync(spark, rentals(spark, range(0, 25)), target, "rental_id", cap=10,
-                       with_counts=False, watermark_from_footers=True)
-    assert [r.found for r in results] == [10, 5, 0] and ids_in(spark, target) == list(range(25))
+def test_target_with_another_column_order(spark, workdir):
+    target = f"{workdir}/other_order"
+    columns = ["last_update", *[c for c in RENTAL.fieldNames() if c != "last_update"]]
+    rentals(spark, range(0, 10)).select(*columns).write.parquet(target)
+    results = run_sync(spark, rentals(spark, range(0, 20)), target, "rental_id", with_counts=False)
+    assert [r.found for r in results] == [10, 0] and ids_in(spark, target) == list(range(20))
