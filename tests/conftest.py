@@ -14,14 +14,20 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from ledgerflow.session import build_session
 
+    folder = tmp_path_factory.mktemp("session")
+
     session = build_session(
         "local[4]",
         app_name="ledgerflow-tests",
         shuffle_partitions=4,
-        conf={"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"},
+        conf={
+            "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": str(folder / "checkpoints"),
+            "spark.sql.warehouse.dir": str(folder / "warehouse"),
+        },
     )
     yield session
     session.stop()
