@@ -66,6 +66,10 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
+    def forget(self) -> None:
+        """Drop the table's name; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def append(self, rows: DataFrame) -> None:
         rows.select("digest", "keep_id", "keep_chars", "batch").write.insertInto(self.table)
 
@@ -113,10 +117,17 @@ def dedup_batch(
     return rows, written(resolved, "groups")
 
 
-def _fresh_index(docs: DataFrame, id_col: str) -> DigestIndex:
+def _deduplicated(docs: DataFrame, index: DigestIndex | None, batch: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``dedup_batch`` with the given index, or with one of its own."""
+    if index is not None:
+        return dedup_batch(docs, index, batch, id_col, text_col)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    return DigestIndex.open(spark, scratch_path(spark, "digest-index"), buckets_for(docs.count()), kind)
+    own = DigestIndex.open(spark, scratch_path(spark, "digest-index"), buckets_for(docs.count()), kind)
+    try:
+        return dedup_batch(docs, own, batch, id_col, text_col)
+    finally:
+        own.forget()
 
 
 def dedup_report(
@@ -132,7 +143,7 @@ def dedup_report(
     written tables, so the join's exchanges split a digest that fills a third
     of the rows.
     """
-    rows, groups = dedup_batch(docs, index or _fresh_index(docs, id_col), batch, id_col, text_col)
+    rows, groups = _deduplicated(docs, index, batch, id_col, text_col)
     stays = F.col("own") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
     return (
         rows.join(groups, "digest")
@@ -159,7 +170,7 @@ def drop_duplicates(
     The text moves once: rows are dealt out by (digest, id, length), where
     repeats of one row fall together, and meet the kept keys there.
     """
-    _, groups = dedup_batch(docs, index or _fresh_index(docs, id_col), batch, id_col, text_col)
+    _, groups = _deduplicated(docs, index, batch, id_col, text_col)
     (key,) = unused(docs, "key")
 
     def spelled(digest: Column, chars: Column, doc_id: Column) -> Column:

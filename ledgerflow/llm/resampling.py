@@ -6,10 +6,10 @@ buckets; two equal ones in a row are one feature, whatever they are. The raw
 model counts the features of all documents. Of the rows labelled good,
 ``TARGET_ROWS`` at most (those with the smallest hashes of their ids; held-out
 rows never) are the target sample: one half is counted for the target model,
-the other finds the cut. Where the target half says little the target model
-falls back to the raw one (a prior of ``PRIOR`` features dealt as the raw
-ones). The log weight of a document is the sum, over its features, of the log
-ratio of the two models.
+the other finds the cut. A bucket's log ratio compares its target count with
+the count that the raw model expects there, ``SMOOTHING`` added to either, so
+that a bucket with few of both says little. The log weight of a document is
+the sum of the log ratios of its features.
 
 Adding Gumbel noise to log weights and taking the k largest draws k documents
 without replacement by their weights. The noise comes from a hash of the
@@ -37,7 +37,7 @@ from ledgerflow.llm.common import text_of, unused, written
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
 SPARED = 0.001
-PRIOR = 10.0 * BUCKETS
+SMOOTHING = 20.0
 # Rows with crc32(id as text) mod HELD_OUT = 0 are never learnt from.
 HELD_OUT = 5
 SEED = 1
@@ -142,16 +142,13 @@ def fit(
         .agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("role") == 1).alias("target"))
         .collect()
     )
-    raw, good = [1.0] * BUCKETS, [0.0] * BUCKETS
+    raw, good = [0] * BUCKETS, [0] * BUCKETS
     for row in counts:
-        raw[row["bucket"]] += row["raw"]
-        good[row["bucket"]] += row["target"]
+        raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["target"]
     if not sum(good):
         return Resampler((), None, id_col, text_col)
-    all_raw, all_good = sum(raw), sum(good)
-    ratios = tuple(
-        round(math.log((g + PRIOR * r / all_raw) / (all_good + PRIOR)) - math.log(r / all_raw), 6) for g, r in zip(good, raw)
-    )
+    share = sum(good) / sum(raw)
+    ratios = tuple(round(math.log((g + SMOOTHING) / (r * share + SMOOTHING)), 6) for g, r in zip(good, raw))
     model = Resampler(ratios, None, "doc_id", "text")
     weights = written(marked.select("role", model.log_weight().alias("weight"), model.noise().alias("noise")), "weights")
     least = weights.where("role = 2").select(F.expr(f"percentile_approx(weight, {spared}, 10000)")).first()[0]

@@ -61,8 +61,7 @@ def corpus(n=300, seed=1):
     return rows, labels + [(None, 1, 0), (1, None, None), (5000, 1, 1)]
 
 
-def test_resampling_matches_brute_force_and_parts_good_from_bad(spark, monkeypatch):
-    monkeypatch.setattr(resampling, "PRIOR", 200.0)  # a few thousand features here
+def test_resampling_matches_brute_force_and_parts_good_from_bad(spark):
     rows, labels = corpus()
     docs = table(spark, rows)
     model = fit(docs, labels_of(spark, labels))
@@ -77,11 +76,8 @@ def test_resampling_matches_brute_force_and_parts_good_from_bad(spark, monkeypat
         raw.update(brute_features(t))
         if i in first:
             good.update(brute_features(t))
-    all_raw, all_good = sum(raw.values()) + BUCKETS, sum(good.values())
-    ratio = [
-        math.log((good[b] + resampling.PRIOR * (raw[b] + 1) / all_raw) / (all_good + resampling.PRIOR)) - math.log((raw[b] + 1) / all_raw)
-        for b in range(BUCKETS)
-    ]
+    share = sum(good.values()) / sum(raw.values())
+    ratio = [math.log((good[b] + resampling.SMOOTHING) / (raw[b] * share + resampling.SMOOTHING)) for b in range(BUCKETS)]
     weight = {(i, t): sum(ratio[b] for b in brute_features(t)) for i, t in rows}
     by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
     for (i, t), w in weight.items():
@@ -94,7 +90,7 @@ def test_resampling_matches_brute_force_and_parts_good_from_bad(spark, monkeypat
     kept = {r["doc_id"] for r in got if r["kept"]}
     assert not kept & {i for i, t in rows if t and "$" in t and len(t.split()) > 5}
     clean = {i for i, t in rows if i is not None and i < 300 and "$" not in t}
-    assert len(clean - kept) <= 0.05 * len(clean)  # the draw: short texts weigh about as much either way
+    assert len(clean - kept) <= 0.1 * len(clean)  # the draw: short texts weigh about as much either way
     stays = resampled(docs, model)
     assert stays.columns == docs.columns and stays.count() == sum(r["kept"] for r in got)
 
