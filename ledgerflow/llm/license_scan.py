@@ -5,8 +5,9 @@ Text
     Rules see the words of the whole text joined by single spaces.
 
 Rules
-    Every rule is a regex with a label, a priority, a weight and a keyword,
-    a literal without which it cannot match. They come from two hand-written
+    Every rule is a regex (whose spaces are those between words) with a
+    label, a priority, a weight and a keyword, a literal without which it
+    cannot match. They come from two hand-written
     tables: licence families (names, versions, wordings of a notice) and
     sentences of licence texts. Rules with the same keyword stand together,
     and only those whose keyword occurs in a text are run on it.
@@ -125,7 +126,7 @@ SENTENCES: tuple[tuple[str, str, str], ...] = (
     ("bsd", "source and binary forms", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "redistributions of source code", r"redistributions of source code must retain the above copyright notice"),
     ("bsd", "redistributions in binary form", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-3-clause", "endorse or promote products", r"(?:neither the name of .{1,80}|the names? of .{1,80}) may be used to endorse or promote products derived"),
+    ("bsd-3-clause", "endorse or promote products", r"(?:neither the name|the names?) of(?: [^ ]+){1,12} may be used to endorse or promote products derived"),
     ("bsd-4-clause", "all advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("apache-2.0", "apache org licenses license 2 0", r"(?:https? )?(?:www )?apache org licenses license 2 0"),
     ("apache-2.0", "except in compliance with the license", r"you may not use this (?:file|work) except in compliance with the license"),
@@ -163,8 +164,8 @@ ANCHORS = (
 )
 
 NOTICE = r"(?:licensed|released|distributed|available|published|covered|provided|made available|redistributed)(?: to you)? under (?:the )?(?:terms (?:and conditions )?of (?:the )?|conditions of (?:the )?)?"
-VERSION = r"(?: licen[sc]e)?(?: version | v ?| ?v| )"
-LATER = r"(?: only)?(?: or| and)?(?: \(?at your option\)?)? (?:any later version|later versions?|later)"
+VERSION = r"(?: licen[sc]e)?(?: version | v | v|v| )"
+LATER = r"(?: only)?(?: or| and)?(?: at your option)? (?:any later version|later versions?|later)"
 
 
 @dataclass(frozen=True)
@@ -186,7 +187,7 @@ def rules() -> tuple[Rule, ...]:
     """All rules: a name, a notice, a version, both, a later version, a tag; then the sentences."""
     found: list[Rule] = []
     for label, (names, versions) in FAMILIES.items():
-        found.append(Rule(label, "spdx license identifier", rf"spdx license identifier {label.replace('-', ' ')}(?: [0-9 ]+)?(?: only| or later)?", 6, 1.0))
+        found.append(Rule(label, "spdx license identifier", rf"spdx license identifier {label.replace('-', ' ')}(?: [0-9]+)*(?: only| or later)?", 6, 1.0))
         for name in names:
             found.append(Rule(label, name, name, 1, 0.5))
             found.append(Rule(label, name, NOTICE + name, 2, 0.8))

@@ -11,7 +11,7 @@ from ledgerflow.llm import bpe, toxicity
 from ledgerflow.llm.common import read_documents
 from ledgerflow.llm.exact_dedup import dedup_report
 from ledgerflow.llm.imatch import imatch_report
-from ledgerflow.llm.license_scan import license_report
+from ledgerflow.llm.license_scan import BASE_PHRASES, BASE_WEIGHT, license_report, rules
 from ledgerflow.llm.merkle import fixity_report
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.resampling import fit, quality_report
@@ -93,7 +93,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
+def license_sql() -> str:
+    """The license scan for DuckDB. Words stand between two spaces there, so that neighbouring matches share none."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def row(number: int, keyword: str, regex: str, label: str, priority: int, weight: float) -> str:
+        apart = lambda s: " " + s.replace(" ", "  ") + " "
+        return f"({number}, {quoted(apart(keyword))}, {quoted(apart(regex))}, {quoted(label)}, {priority}, {weight})"
+
+    listed = [row(n, r.keyword, r.regex, r.label, r.priority, r.weight) for n, r in enumerate(rules())]
+    # Base phrases: priority 0 marks them.
+    listed += [row(-n, phrase, phrase, label, 0, BASE_WEIGHT) for n, (phrase, label) in enumerate(BASE_PHRASES.items(), 1)]
+    priorities = sorted({r.priority for r in rules()})
+    contained = " OR ".join(
+        f"(priority <= {p} AND max(CASE WHEN priority >= {p} THEN last END) OVER before >= last)" for p in priorities
+    )
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+        WITH rules(number, keyword, regex, label, priority, weight) AS (VALUES {", ".join(listed)}),
+        texts AS (
+            SELECT doc_id, row_number() OVER () AS place,
+                   regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), lines AS (
+            SELECT *, CASE WHEN len(words) = 0 THEN '' ELSE ' ' || array_to_string(words, '  ') || ' ' END AS line FROM texts
+        ), matched AS (
+            SELECT place, number, label, priority, weight,
+                   list_transform(regexp_extract_all(line, regex), lambda m: (len(m) - len(replace(m, ' ', ''))) // 2) AS sizes,
+                   list_transform(string_split_regex(line, regex), lambda s: (len(s) - len(replace(s, ' ', ''))) // 2) AS gaps
+            FROM lines JOIN rules ON contains(line, keyword)
+        ), numbered AS (
+            SELECT *, unnest(range(1, len(sizes) + 1)) AS i FROM matched
+        ), found AS (
+            SELECT place, number, label, priority, weight,
+                   list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS first,
+                   list_sum(gaps[1:i]) + list_sum(sizes[1:i]) AS last
+            FROM numbered
+        ), judged AS (
+            SELECT *, coalesce({contained}, false) AS gone FROM found WHERE priority > 0
+            WINDOW before AS (PARTITION BY place ORDER BY first, last DESC, priority DESC, number
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), base AS (
+            SELECT place, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word,
+                   string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+            FROM found WHERE priority = 0 GROUP BY place
+        ), kept AS (
+            SELECT place, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight) AS score
+            FROM (SELECT place, label, weight FROM judged WHERE NOT gone
+                  UNION ALL SELECT place, label, weight FROM found WHERE priority = 0) GROUP BY place
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+               CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               CAST(coalesce(score, 0) AS DOUBLE) AS score
+        FROM lines LEFT JOIN base USING (place) LEFT JOIN kept USING (place)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": license_sql(),
     "op5_merkle": r"""
         WITH records AS (
             SELECT page_id,
@@ -116,6 +177,38 @@ ORACLE_SQL: dict[str, str] = {
                CASE page_id % 211 WHEN 0 THEN 'changed' WHEN 1 THEN 'lost' ELSE 'intact' END AS state
         FROM placed
     """,
+    "op7_rendezvous": r"""
+        WITH crc_table AS MATERIALIZED (
+            SELECT list(list_reduce(list_prepend(n, range(8)),
+                        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+            FROM range(256) r(n)
+        ), rows AS (
+            SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id IS NULL THEN 'n' ELSE 'k' || doc_id END AS key
+            FROM documents
+        ), bytes AS (
+            SELECT doc_id, key, strlen(text) + 1 AS size,
+                   list_transform(regexp_extract_all(hex(text), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS of_text,
+                   list_transform(regexp_extract_all(hex(key), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS of_key
+            FROM rows
+        ), hashed AS (
+            SELECT doc_id, key, size,
+                   xor(4294967295, list_reduce(list_prepend(4294967295, of_text),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
+                   xor(4294967295, list_reduce(list_prepend(4294967295, of_key),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS key_crc32
+            FROM bytes, crc_table
+        ), scores AS (
+            SELECT key, list(CAST('0x' || substr(sha256(key || '#' || s), 1, 13) AS BIGINT) ORDER BY s) AS score
+            FROM (SELECT DISTINCT key FROM rows), range(17) r(s) GROUP BY key
+        ), placed AS (
+            SELECT doc_id, size, text_crc32, (text_crc32 + key_crc32) % 1024 AS run, score[17] > list_max(score[1:16]) AS moves,
+                   CAST(list_position(score[1:16], list_max(score[1:16])) - 1 AS INTEGER) AS shard
+            FROM hashed JOIN scores USING (key)
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(CASE WHEN moves THEN 16 ELSE shard END AS INTEGER) AS grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY run, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+        FROM placed
+    """,
     "op8_exact_dedup": r"""
         WITH normalised AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,

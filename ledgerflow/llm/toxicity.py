@@ -212,7 +212,6 @@ class Model:
 def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     """The model of a bounded sample of whole texts."""
     y = np.asarray(labels, np.int64)
-    lists = [words_of(t) for t in texts]
     tables = (Tables(), Tables())
     if not (0 < y.sum() < len(y)):
         return Model(tables[0].known(), None)
@@ -221,53 +220,61 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     for label in (0, 1):
         own = rng.permutation(np.flatnonzero(y == label))
         half[own[::2]] = 1
-    for i, words in enumerate(lists):
-        tables[half[i]].add(words, int(y[i]))
+    for i, text in enumerate(texts):
+        tables[half[i]].add(words_of(text), int(y[i]))
+    # The words' inputs, texts end to end after a row for no word; a text's come from the other half's counts.
     known = [t.known() for t in tables]
-    x, mask, text, seeds = [], [], [], []
-    for i, words in enumerate(lists):  # a text's inputs come from the other half's counts
-        inputs = np.concatenate([np.zeros((1, INPUTS), np.float32), word_inputs(words, known[1 - half[i]])]) if words else np.zeros((1, INPUTS), np.float32)
-        places, _ = windows_of(np.arange(1, len(words) + 1), np.array([len(words)]))
-        x.append(inputs[places])
-        mask.append(places > 0)
-        text.append(np.full(len(places), i))
-        seeds.append((inputs[:, 0] * inputs[:, 1] + inputs[:, 2] * inputs[:, 3])[places].max(axis=1))
-    x, mask, text = np.concatenate(x), np.concatenate(mask).astype(np.float32), np.concatenate(text)
-    height = np.concatenate(seeds)  # of a window: first what its words' tables say, then its logit
+    inputs, sizes = [np.zeros((1, INPUTS), np.float32)], []
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        sizes.append(len(words))
+        if words:
+            inputs.append(word_inputs(words, known[1 - half[i]]))
+    inputs = np.concatenate(inputs)
+    places, text_of_window = windows_of(np.arange(1, len(inputs), dtype=np.int32), np.cumsum(sizes))
+    said = inputs[:, 0] * inputs[:, 1] + inputs[:, 2] * inputs[:, 3]
+    height = said[places].max(axis=1)  # of a window: first what its words' tables say, then its logit
     params = gru.initial(INPUTS, HIDDEN, seed)
     adam = gru.Adam(params)
 
-    def highest(most: int) -> np.ndarray:
-        order = np.lexsort((-height, text))
-        begin = np.searchsorted(text[order], text[order])
-        return order[np.arange(len(order)) - begin < most]
+    def highest() -> np.ndarray:
+        order = np.lexsort((-height, text_of_window))
+        first = np.r_[True, np.diff(text_of_window[order]) > 0]
+        return order[first]
 
     def measure() -> np.ndarray:
         out = []
-        for i in range(0, len(x), WINDOWS_AT_ONCE):
-            part = np.ascontiguousarray(x[i : i + WINDOWS_AT_ONCE].transpose(1, 0, 2))
-            f, b = (lambda t: part[t] @ params["Wf"] + params["cf"]), (lambda t: part[WINDOW - 1 - t] @ params["Wb"] + params["cb"])
-            out.append(gru.logits(params, f, b, np.ascontiguousarray(mask[i : i + WINDOWS_AT_ONCE].T)))
+        for i in range(0, len(places), WINDOWS_AT_ONCE):
+            at = places[i : i + WINDOWS_AT_ONCE].T
+            out.append(
+                gru.logits(
+                    params,
+                    lambda t: inputs[at[t]] @ params["Wf"] + params["cf"],
+                    lambda t: inputs[at[WINDOW - 1 - t]] @ params["Wb"] + params["cb"],
+                    (at > 0).astype(np.float32),
+                )
+            )
         return np.concatenate(out)
 
+    window_label = y[text_of_window]
     for turn in range(TURNS):
-        top = highest(1)
-        others = rng.permutation(np.flatnonzero(y[text] == 0))[: len(y)]
-        chosen = np.unique(np.concatenate([top, others]))
-        balance = np.where(y[text[chosen]] == 1, (y[text[chosen]] == 0).sum() / max(1, (y[text[chosen]] == 1).sum()), 1.0) ** 0.5
-        weight_of = dict(zip(chosen.tolist(), balance))
+        others = rng.permutation(np.flatnonzero(window_label == 0))[: len(y)]
+        chosen = np.unique(np.concatenate([highest(), others]))
+        toxic = window_label[chosen] == 1
+        # Between leaving the labels' shares as they are and making them equal.
+        heavier = np.float32(((~toxic).sum() / max(1, toxic.sum())) ** 0.5)
         adam.rate = 0.02 / (1 + turn)
-        rounds = max(1, -(-60 * BATCH // len(chosen)))  # small samples are gone over more often
-        for _ in range(rounds):
+        for _ in range(max(1, -(-60 * BATCH // len(chosen)))):  # small samples are gone over more often
             order = rng.permutation(chosen)
             for i in range(0, len(order), BATCH):
-                part = order[i : i + BATCH]
-                weights = np.array([weight_of[j] for j in part.tolist()], np.float32)
-                _, grad = gru.loss_and_gradient(params, x[part].transpose(1, 0, 2), mask[part].T, y[text[part]].astype(np.float32), weights)
+                at = places[order[i : i + BATCH]].T
+                target = window_label[order[i : i + BATCH]].astype(np.float32)
+                weight = np.where(target == 1, heavier, np.float32(1))
+                _, grad = gru.loss_and_gradient(params, inputs[at], (at > 0).astype(np.float32), target, weight)
                 adam.update(grad)
         height = measure()
     best = np.full(len(y), -np.inf)
-    np.maximum.at(best, text, height)
+    np.maximum.at(best, text_of_window, height)
     return Model(tables[0].joined(tables[1]).known(), params, _parting(best, y))
 
 

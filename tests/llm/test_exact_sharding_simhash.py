@@ -96,7 +96,7 @@ def test_exact_index_persists_and_replays(spark, workdir):
 
 def brute_shard(doc_id, shards):
     key = "n" if doc_id is None else f"k{doc_id}"
-    scores = [((xxhash.xxh64_intdigest(f"{key}#{s}".encode(), 42) >> 11) + 0.5, -s) for s in range(shards)]
+    scores = [(int(hashlib.sha256(f"{key}#{s}".encode()).hexdigest()[:13], 16), -s) for s in range(shards)]
     return -max(scores)[1]
 
 
