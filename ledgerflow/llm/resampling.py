@@ -3,10 +3,10 @@
 Features of a text are its words and runs of other visible characters, in
 lower case, and each two that follow each other, hashed into ``BUCKETS``
 buckets; two equal ones in a row are one feature, whatever they are. The raw
-model counts the features of all documents. Of the rows labelled good,
-``TARGET_ROWS`` at most (those with the smallest hashes of their ids; held-out
-rows never) are the target sample: one half is counted for the target model,
-the other finds the cut. A bucket's log ratio compares its target count with
+model counts the features of all documents. Of the rows labelled good and of
+those labelled bad, ``LABELLED_ROWS`` each at most (those with the smallest
+hashes of their ids; held-out rows never) are used: one half of the good ones
+is counted for the target model, the rest finds the cut. A bucket's log ratio compares its target count with
 the count that the raw model expects there, ``SMOOTHING`` added to either, so
 that a bucket with few of both says little. The log weight of a document is
 the sum of the log ratios of its features.
@@ -14,14 +14,15 @@ the sum of the log ratios of its features.
 Adding Gumbel noise to log weights and taking the k largest draws k documents
 without replacement by their weights. The noise comes from a hash of the
 row's id and text, so a run can be repeated. k is the number of documents
-whose log weight reaches that which all but ``SPARED`` of the second half
-reach: as many as pass for target text. The k-th largest value is found by
+whose log weight reaches the cut, the value that parts the uncounted good rows
+from the bad ones with the fewest on the wrong side: as many as pass for
+target text. The k-th largest value is found by
 counting, so no rows are sorted or gathered; rows equal to it all stay.
 
 Null text counts as empty: log weight 0. Rows repeated in full have equal
 values and stay or go together. Null labels and labels of unknown ids are
 not used; without any good label nothing tells target from raw and every
-row stays. An empty table gives an empty answer.
+row stays; without any bad one the lowest good row is the cut. An empty table gives an empty answer.
 """
 
 from __future__ import annotations
@@ -35,8 +36,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import text_of, unused, written
 
 BUCKETS = 10_000
-TARGET_ROWS = 20_000
-SPARED = 0.001
+LABELLED_ROWS = 20_000
 SMOOTHING = 20.0
 # Rows with crc32(id as text) mod HELD_OUT = 0 are never learnt from.
 HELD_OUT = 5
@@ -96,13 +96,33 @@ def steps(value: Column) -> Column:
     return F.floor(value * STEPS).cast("bigint")
 
 
-def _target_ids(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """(target_id, role) of the target sample; role 1 is counted, role 2 finds the cut."""
-    good = labels.where((F.col(f"`{label_col}`") == 1) & F.col(f"`{id_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`")))
-    ids = good.select(F.col(f"`{id_col}`").alias("target_id")).distinct()
-    key = F.xxhash64(F.col("target_id").cast("string"))
-    role = F.when(F.xxhash64(key) % 2 == 0, F.lit(1)).otherwise(F.lit(2)).alias("role")
-    return ids.orderBy(key, "target_id").limit(most).select("target_id", role)
+COUNTED, GOOD, BAD = 1, 2, 3
+
+
+def _labelled_ids(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
+    """(label_id, role) of the rows to use: good ones that are counted, good ones and bad ones that find the cut."""
+    identity = F.col(f"`{id_col}`")
+    known = (
+        labels.where(identity.isNotNull() & F.col(f"`{label_col}`").isin(0, 1) & ~held_out(identity))
+        .groupBy(identity.alias("label_id"))
+        .agg(F.min(f"`{label_col}`").alias("label"))
+    )
+    key = F.xxhash64(F.col("label_id").cast("string"))
+    role = F.when(F.col("label") == 0, F.lit(BAD)).when(F.xxhash64(key) % 2 == 0, F.lit(COUNTED)).otherwise(F.lit(GOOD))
+    good, bad = (known.where(F.col("label") == v).orderBy(key, "label_id").limit(most) for v in (1, 0))
+    return good.unionByName(bad).select("label_id", role.alias("role"))
+
+
+def _cut(good: list[float], bad: list[float]) -> float:
+    """The middle of the lowest gap at which fewest are on the wrong side."""
+    marked = sorted([(w, 1) for w in good] + [(w, 0) for w in bad])
+    wrong, best = len(bad), (len(bad) + 1, 0)
+    for i, (weight, is_good) in enumerate(marked):  # wrong: if the cut is just under marked[i]
+        if (not i or weight > marked[i - 1][0]) and wrong < best[0]:
+            best = (wrong, i)
+        wrong += 1 if is_good else -1
+    i = best[1]
+    return (marked[i - 1][0] + marked[i][0]) / 2 if i else marked[0][0]
 
 
 def _kth_largest(values: DataFrame, k: int) -> int:
@@ -128,18 +148,17 @@ def fit(
     label_col: str = "quality",
     id_col: str = "doc_id",
     text_col: str = "text",
-    target_rows: int = TARGET_ROWS,
-    spared: float = SPARED,
+    labelled_rows: int = LABELLED_ROWS,
 ) -> Resampler:
-    """Count both models over ``docs`` and find the cut; what reaches the driver is a row per bucket."""
-    # Broadcast: target_rows ids at most.
-    target = F.broadcast(written(_target_ids(labels, id_col, label_col, target_rows), "target-ids"))
+    """Count both models over ``docs`` and find the cut; a row per bucket and per labelled row used reach the driver."""
+    # Broadcast: twice labelled_rows ids at most.
+    known = F.broadcast(written(_labelled_ids(labels, id_col, label_col, labelled_rows), "labelled-ids"))
     given = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-    marked = given.join(target, given["doc_id"] == target["target_id"], "left").select("doc_id", "text", "role")
+    marked = given.join(known, given["doc_id"] == known["label_id"], "left").select("doc_id", "text", "role")
     counts = (
         marked.select("role", F.explode(features(F.col("text"))).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("role") == 1).alias("target"))
+        .agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("role") == COUNTED).alias("target"))
         .collect()
     )
     raw, good = [0] * BUCKETS, [0] * BUCKETS
@@ -151,10 +170,11 @@ def fit(
     ratios = tuple(round(math.log((g + SMOOTHING) / (r * share + SMOOTHING)), 6) for g, r in zip(good, raw))
     model = Resampler(ratios, None, "doc_id", "text")
     weights = written(marked.select("role", model.log_weight().alias("weight"), model.noise().alias("noise")), "weights")
-    least = weights.where("role = 2").select(F.expr(f"percentile_approx(weight, {spared}, 10000)")).first()[0]
-    if least is None:  # a sample of a single row
+    shown = weights.where(F.col("role").isin(GOOD, BAD)).select("role", "weight").collect()
+    good_weights, bad_weights = ([r["weight"] for r in shown if r["role"] == v] for v in (GOOD, BAD))
+    if not good_weights:
         return Resampler(ratios, None, id_col, text_col)
-    k = weights.where(F.col("weight") >= F.lit(least)).count()
+    k = weights.where(F.col("weight") >= F.lit(_cut(good_weights, bad_weights))).count()
     threshold = _kth_largest(weights.select(steps(F.col("weight") + F.col("noise")).alias("value")), k)
     return Resampler(ratios, threshold, id_col, text_col)
 
