@@ -14,6 +14,10 @@ Tree
     to the segment's root; then ``FANOUT`` neighbouring segments, up to the
     archive's root. A node's hash covers its children's places and hashes.
 
+Files
+    ``write_archive`` writes each segment as one WARC file, its records at
+    their offsets; ``file_leaves`` hashes what the files of a copy hold there.
+
 Audit
     Replica roots are compared; from a pair that differs only its children are
     compared, and so on down, so that branches that agree are never entered.
@@ -27,14 +31,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import written
+from ledgerflow.llm.common import one_per_key, written
 
 SEGMENT_RECORDS = 1024
 RANGE_BYTES = 65_536
 FANOUT = 16
+# Between two records of a file.
+GAP = "\r\n\r\n"
 
 
 def warc_record(url: Column, record_id: Column, body: Column) -> Column:
@@ -49,7 +55,7 @@ def warc_record(url: Column, record_id: Column, body: Column) -> Column:
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
         body,
-        F.lit("\r\n\r\n"),
+        F.lit(GAP),
     )
 
 
@@ -129,6 +135,58 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], segment_levels: int) -
     return found
 
 
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """Write the pages' archive under ``path``; returns its index (segment, offset, length, digest, copies, page_id).
+
+    Records meet their place by digest and are written by the task that has
+    their segment, in order of offset; each ends with the gap that the text
+    writer puts after it.
+    """
+    identity, url, body = (F.col(f"`{c}`") for c in (id_col, url_col, body_col))
+    record = warc_record(url, identity, body)
+    rows = pages.select(identity.alias("page_id"), record.alias("record"), F.sha2(record, 256).alias("digest"))
+    distinct = rows.groupBy("digest", F.octet_length("record").alias("length")).agg(
+        F.count(F.lit(1)).alias("copies"), F.min("page_id").alias("page_id")
+    )
+    index = written(laid_out(written(distinct, "records")), "index")
+    placed = one_per_key(rows.select("digest", "record"), "digest").join(index.select("digest", "segment", "offset"), "digest")
+    ended = F.expr(f"substring(record, 1, length(record) - {len(GAP)})").alias("value")
+    placed.repartition("segment").sortWithinPartitions("segment", "offset").select("segment", ended).write.option(
+        "lineSep", GAP
+    ).partitionBy("segment").text(path)
+    return index
+
+
+def file_leaves(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """(segment, offset, length, digest) of what the archive files at ``path`` hold at the index's places.
+
+    A file is met once, by the list of its places (about ``SEGMENT_RECORDS``);
+    a place past a file's end, or of a file that is gone, has no leaf.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("segment").cast("int").alias("segment"), "content")
+    places = index.groupBy("segment").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+
+    def read(place: Column) -> Column:
+        held = F.substr(F.col("content"), (place["offset"] + 1).cast("int"), place["length"].cast("int"))
+        whole = place["offset"] + place["length"] <= F.octet_length("content")
+        return F.struct(place["offset"].alias("offset"), place["length"].alias("length"), F.when(whole, F.sha2(held, 256)).alias("digest"))
+
+    leaves = places.join(files, "segment").select("segment", F.explode(F.transform("places", read)).alias("leaf"))
+    return leaves.select("segment", "leaf.*").where(F.col("digest").isNotNull())
+
+
+def audit_files(spark: SparkSession, path: str, other: str, index: DataFrame) -> DataFrame:
+    """(segment, offset, page_id, record_sha256, state) of the index's records that the two copies hold differently.
+
+    ``state``: changed, or lost where one of the copies has nothing.
+    """
+    levels = levels_of(index)
+    found = audit(tree(file_leaves(spark, path, index), levels), tree(file_leaves(spark, other, index), levels), levels[0])
+    state = F.when(F.col("ours").isNull() | F.col("theirs").isNull(), "lost").otherwise("changed").alias("state")
+    placed = found.withColumnRenamed("node", "offset")
+    return index.join(placed, ["segment", "offset"]).select("segment", "offset", "page_id", F.col("digest").alias("record_sha256"), state)
+
+
 def fixity_report(pages: DataFrame, replica_body: Column, replica_lost: Column, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Audit of an archive of ``pages`` against a replica that holds ``replica_body`` instead, without the ``replica_lost`` rows.
 

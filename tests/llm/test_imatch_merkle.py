@@ -175,6 +175,44 @@ def test_audit_enters_differing_branches_only(spark, monkeypatch):
     assert merkle.audit(ours, ours, levels[0]).count() == 0
 
 
+def test_files_hold_the_records_at_their_offsets_and_damage_is_found(spark, workdir, monkeypatch):
+    import glob
+    import shutil
+
+    monkeypatch.setattr(merkle, "SEGMENT_RECORDS", 32)
+    df, rows = pages(spark, 200)
+    one, two = f"{workdir}/one", f"{workdir}/two"
+    index = merkle.write_archive(df, one)
+    found = index.collect()
+    by_segment = {int(re.search(r"segment=(\d+)", f)[1]): f for f in glob.glob(f"{one}/segment=*/part-*")}
+    assert len(by_segment) == len({r["segment"] for r in found}) == 8  # a file each
+    for r in found:
+        with open(by_segment[r["segment"]], "rb") as file:
+            file.seek(r["offset"])
+            held = file.read(r["length"])
+        assert hashlib.sha256(held).hexdigest() == r["digest"] and held.startswith(b"WARC/1.0") and held.endswith(b"\r\n\r\n")
+    assert {r["digest"] for r in found} == {hashlib.sha256(record(*r).encode()).hexdigest() for r in rows}
+
+    assert merkle.audit_files(spark, one, one, index).count() == 0
+    first, second, third = sorted({r["segment"] for r in found})[:3]
+    # A copy without the third segment, and without the local file system's own checksums, which would stop the read.
+    shutil.copytree(one, two, ignore=shutil.ignore_patterns(".*.crc", f"segment={third}"))
+    files = {s: glob.glob(f"{two}/segment={s}/part-*")[0] for s in (first, second)}
+    hit = [r for r in found if r["segment"] == first][3]
+    with open(files[first], "r+b") as file:  # one byte
+        file.seek(hit["offset"] + hit["length"] // 2)
+        byte = file.read(1)
+        file.seek(-1, 1)
+        file.write(bytes([byte[0] ^ 1]))
+    last = max((r for r in found if r["segment"] == second), key=lambda r: r["offset"])
+    with open(files[second], "r+b") as file:  # cut short
+        file.truncate(last["offset"] + 5)
+    got = {(r["segment"], r["offset"]): r["state"] for r in merkle.audit_files(spark, one, two, index).collect()}
+    assert got == {(first, hit["offset"]): "changed", (second, last["offset"]): "lost"} | {
+        (third, r["offset"]): "lost" for r in found if r["segment"] == third
+    }
+
+
 def test_empty_archive(spark):
     empty = spark.createDataFrame([], PAGES)
     assert merkle.fixity_report(empty, F.col("html"), F.lit(False)).count() == 0
