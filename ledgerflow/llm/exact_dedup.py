@@ -31,6 +31,8 @@ from ledgerflow.llm.common import one_per_key, scratch_path, text_of, unused, wr
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 # Rows of a first batch per index bucket, when the number of buckets is not given.
 ROWS_PER_BUCKET = 200_000
+# Spark takes 100,000 buckets at most; beyond this buckets hold more rows.
+MOST_BUCKETS = 65_536
 
 
 def normalised(text: Column) -> Column:
@@ -75,8 +77,8 @@ class DigestIndex:
 
 
 def buckets_for(rows: int) -> int:
-    """A power of two from 16 on, for about ``ROWS_PER_BUCKET`` rows in a bucket."""
-    return max(16, 1 << (max(1, rows // ROWS_PER_BUCKET) - 1).bit_length())
+    """A power of two from 16 to ``MOST_BUCKETS``, for about ``ROWS_PER_BUCKET`` rows in a bucket."""
+    return min(MOST_BUCKETS, max(16, 1 << (max(1, rows // ROWS_PER_BUCKET) - 1).bit_length()))
 
 
 def _batch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,6 +104,8 @@ def dedup_batch(
     rows = written(_batch_rows(docs, id_col, text_col), "batch")
     best = F.min(F.struct((-F.col("chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id")))
     groups = rows.groupBy("digest").agg(F.sum("copies").alias("group_size"), best.alias("best"))
+    # Dealt out as the index's buckets are: the index is not shuffled, and each task appends to one bucket.
+    groups = groups.repartition(index.buckets, "digest")
     fresh = groups.select(
         "digest",
         F.col("best.doc_id").alias("keep_id"),

@@ -85,8 +85,8 @@ class Resampler:
 
     def noise(self) -> Column:
         key = F.coalesce(F.col(f"`{self.id_col}`").cast("string"), F.lit("null"))
-        bits = F.shiftrightunsigned(F.xxhash64(key, text_of(self.text_col), F.lit(SEED)), 11)
-        return -F.log(-F.log((bits.cast("double") + 0.5) * F.lit(2.0**-53)))
+        bits = F.shiftrightunsigned(F.xxhash64(key, text_of(self.text_col), F.lit(SEED)), 12)
+        return -F.log(-F.log((bits.cast("double") + 0.5) * F.lit(2.0**-52)))
 
     def kept(self, perturbed: Column) -> Column:
         return F.lit(True) if self.threshold is None else steps(perturbed) >= F.lit(self.threshold)
