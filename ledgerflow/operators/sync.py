@@ -157,15 +157,21 @@ def insert_if_absent(
     the number of rows written (an observed metric of the write itself, so
     the batch is not recounted) plus the batch's size and key range
     (``known_range``, if the caller has taken it already).
+
+    A batch whose key range is free in the target is not joined to it; one
+    that overlaps is first compared by its keys alone, and nothing is written
+    (not even an empty file) if the target has them all.
     """
     count, low, high = known_range or batch_range(batch, key)
     if not count:
         return InsertResult(0, 0, None, None)
+    rows = first_per_key(batch, key, order_by)
     if path_exists(spark, target_path):
-        existing = rows_between(spark.read.schema(batch.schema).parquet(target_path), key, low, high)
-        rows = absent_rows(batch, existing, key, order_by)
-    else:
-        rows = first_per_key(batch, key, order_by)
+        existing = rows_between(spark.read.schema(batch.schema).parquet(target_path), key, low, high).select(key)
+        if not existing.isEmpty():
+            if batch.select(key).where(F.col(key).isNotNull()).join(existing, key, "left_anti").isEmpty():
+                return InsertResult(0, count, low, high)
+            rows = absent_rows(batch, existing, key, order_by)
     observation = Observation("insert_if_absent")
     rows.observe(observation, F.count(F.lit(1)).alias("inserted")).write.mode("append").parquet(target_path)
     return InsertResult(int(observation.get["inserted"]), count, low, high)

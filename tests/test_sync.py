@@ -80,8 +80,10 @@ def test_insert_overlap_and_replay(spark, workdir):
     assert ids_in(spark, target) == list(range(1, 9))
     kept = spark.read.schema(RENTAL).parquet(target).where("rental_id <= 5").select("customer_id").distinct()
     assert [r[0] for r in kept.collect()] == [7]
+    files = sorted(os.listdir(target))
     assert insert_if_absent(spark, batch, target, "rental_id").inserted == 0
     assert ids_in(spark, target) == list(range(1, 9))
+    assert sorted(os.listdir(target)) == files  # a replay adds no file
 
 
 def test_insert_into_missing_target_and_null_keys(spark, workdir):
