@@ -13,6 +13,7 @@ from ledgerflow.llm.exact_dedup import dedup_report
 from ledgerflow.llm.imatch import imatch_report
 from ledgerflow.llm.license_scan import BASE_PHRASES, BASE_WEIGHT, license_report, rules
 from ledgerflow.llm.merkle import fixity_report
+from ledgerflow.llm.oracle_hashing import imatch_sql, simhash_sql
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.resampling import fit, quality_report
 from ledgerflow.llm.rendezvous import with_shards, with_slots
@@ -223,4 +224,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM normalised
         WINDOW best AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST)
     """,
+    "op9_imatch": imatch_sql(),
+    "op10_simhash": simhash_sql(),
 }
