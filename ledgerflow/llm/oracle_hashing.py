@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries whose rows rest on XXH64, which DuckDB lacks.
+"""DuckDB SQL of the queries whose rows rest on XXH64 and CRC-32, which DuckDB lacks.
 
 XXH64 is spelled out on UHUGEINT modulo 2^64. Values used twice are bound to
 a name by a lambda over a one-element list. Constants are those of the hash.
@@ -6,7 +6,7 @@ a name by a lambda over a one-element list. Constants are those of the hash.
 
 from __future__ import annotations
 
-from ledgerflow.llm import imatch, simhash_dedup
+from ledgerflow.llm import imatch, resampling, simhash_dedup
 
 _WRAP = 1 << 64
 _P1, _P2, _P3, _P4, _P5 = (
@@ -188,3 +188,85 @@ def imatch_sql() -> str:
                CAST({likeness("a", "b")} AS DOUBLE) AS near_edited, CAST({likeness("a", "c")} AS DOUBLE) AS near_next
         FROM joined
     """
+
+
+CRC_TABLE = """crc_table AS MATERIALIZED (
+            SELECT list(list_reduce(list_prepend(n, range(8)),
+                        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+            FROM range(256) r(n)
+        )"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8, beside ``crc_table`` in the same FROM."""
+    numbers = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {numbers}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+def _signed(h: str) -> str:
+    return f"(CASE WHEN {h} >= {1 << 63} THEN {h}::HUGEINT - {_WRAP} ELSE {h}::HUGEINT END)"
+
+
+def resampling_sql() -> str:
+    """``op4_resampling``: both models, the cut between good and bad rows, and the k largest perturbed weights."""
+    r = resampling
+    bucket = lambda h: f"(({_signed(h)} % {r.BUCKETS} + {r.BUCKETS}) % {r.BUCKETS})::INTEGER"
+    paired = f"xor({_wrapped('h::UHUGEINT * 2')}::UBIGINT, following)"
+    return rf"""
+        WITH {CRC_TABLE}, rows AS MATERIALIZED (
+            SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS place FROM documents
+        ), tokens AS MATERIALIZED (
+            SELECT place, unnest(words) AS s, unnest(range(len(words))) AS i
+            FROM (SELECT place, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\s\p{{L}}\p{{M}}\p{{N}}_]+') AS words FROM rows)
+        ), known AS (
+            SELECT doc_id AS label_id, min(quality) AS label FROM labels, crc_table
+            WHERE doc_id IS NOT NULL AND quality IN (0, 1) AND {crc32("CAST(doc_id AS VARCHAR)")} % {r.HELD_OUT} <> 0 GROUP BY doc_id
+        ), strings AS (
+            SELECT s FROM tokens UNION SELECT text FROM rows UNION SELECT CAST(label_id AS VARCHAR) FROM known
+        ), {hashed_strings("strings", "hashed")},
+        used AS MATERIALIZED (
+            SELECT label_id, CASE WHEN label = 0 THEN {r.BAD} WHEN {_hashed_longs("[h::UHUGEINT]")} % 2::UHUGEINT = 0 THEN {r.COUNTED} ELSE {r.GOOD} END AS role
+            FROM known JOIN hashed ON s = CAST(label_id AS VARCHAR)
+            QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_signed("h")}, label_id) <= {r.LABELLED_ROWS}
+        ), noisy AS (
+            SELECT place, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || lower(to_hex(h)) || '#{r.SEED}' AS s
+            FROM rows JOIN hashed ON s = text
+        ), noise_strings AS (SELECT DISTINCT s FROM noisy), {hashed_strings("noise_strings", "noise_hashed")},
+        noises AS (
+            SELECT place, -ln(-ln(((h >> 12)::DOUBLE + 0.5) * pow(2, -52))) AS noise FROM noisy JOIN noise_hashed USING (s)
+        ), neighbours AS (
+            SELECT place, h, lead(h) OVER (PARTITION BY place ORDER BY i) AS following FROM tokens JOIN hashed USING (s)
+        ), features AS MATERIALIZED (
+            SELECT place, {bucket("h")} AS bucket FROM neighbours
+            UNION ALL SELECT place, CASE WHEN h = following THEN 0 ELSE {bucket(paired)} END FROM neighbours WHERE following IS NOT NULL
+        ), roles AS (SELECT place, role FROM rows LEFT JOIN used ON doc_id = label_id),
+        counts AS (
+            SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE role = {r.COUNTED}) AS good FROM features JOIN roles USING (place) GROUP BY bucket
+        ), ratios AS (
+            SELECT bucket, CAST(round(ln((good + {r.SMOOTHING}::DOUBLE)
+                   / (raw * (SELECT sum(good)::DOUBLE / sum(raw)::DOUBLE FROM counts) + {r.SMOOTHING}::DOUBLE)) * {r.UNITS}) AS BIGINT) AS ratio
+            FROM counts
+        ), totals AS (SELECT place, sum(ratio) AS units FROM features JOIN ratios USING (bucket) GROUP BY place),
+        weights AS MATERIALIZED (
+            SELECT place, doc_id, role, coalesce(units, 0)::BIGINT / {float(r.UNITS)!r}::DOUBLE AS weight, noise
+            FROM rows JOIN roles USING (place) JOIN noises USING (place) LEFT JOIN totals USING (place)
+        ), marked AS (
+            SELECT weight, lag(weight) OVER by_weight AS under,
+                   count(*) FILTER (WHERE role = {r.BAD}) OVER from_here + count(*) FILTER (WHERE role = {r.GOOD}) OVER before AS wrong
+            FROM weights WHERE role IN ({r.GOOD}, {r.BAD})
+            WINDOW by_weight AS (ORDER BY weight), from_here AS (ORDER BY weight RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+                   before AS (ORDER BY weight RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)
+        ), cut AS (
+            SELECT coalesce((weight + under) / 2, weight) AS cut FROM marked
+            WHERE under IS NULL OR under < weight ORDER BY wrong, weight LIMIT 1
+        ), stepped AS (
+            SELECT *, floor((weight + noise) * {r.STEPS})::BIGINT AS step, weight >= (SELECT cut FROM cut) AS passes FROM weights
+        ), least AS (
+            SELECT step FROM (SELECT step, row_number() OVER (ORDER BY step DESC) AS n FROM stepped)
+            WHERE n = (SELECT count(*) FILTER (WHERE passes) FROM stepped)
+        )
+        SELECT doc_id, weight AS log_weight, round(1.0 / (1.0 + exp(-weight)), 6) AS score, step / {float(r.STEPS)!r}::DOUBLE AS perturbed,
+               step >= (SELECT step FROM least) AS kept,
+               doc_id IS NOT NULL AND {crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % {r.HELD_OUT} = 0 AS held_out
+        FROM stepped, crc_table
+    """

@@ -13,7 +13,7 @@ from ledgerflow.llm.exact_dedup import dedup_report
 from ledgerflow.llm.imatch import imatch_report
 from ledgerflow.llm.license_scan import BASE_PHRASES, BASE_WEIGHT, license_report, rules
 from ledgerflow.llm.merkle import fixity_report
-from ledgerflow.llm.oracle_hashing import imatch_sql, simhash_sql
+from ledgerflow.llm.oracle_hashing import CRC_TABLE, crc32, imatch_sql, resampling_sql, simhash_sql
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.resampling import fit, quality_report
 from ledgerflow.llm.rendezvous import with_shards, with_slots
@@ -156,6 +156,7 @@ def license_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": license_sql(),
+    "op4_resampling": resampling_sql(),
     "op5_merkle": r"""
         WITH records AS (
             SELECT page_id,
@@ -178,26 +179,13 @@ ORACLE_SQL: dict[str, str] = {
                CASE page_id % 211 WHEN 0 THEN 'changed' WHEN 1 THEN 'lost' ELSE 'intact' END AS state
         FROM placed
     """,
-    "op7_rendezvous": r"""
-        WITH crc_table AS MATERIALIZED (
-            SELECT list(list_reduce(list_prepend(n, range(8)),
-                        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
-            FROM range(256) r(n)
-        ), rows AS (
+    "op7_rendezvous": f"""
+        WITH {CRC_TABLE}, rows AS (
             SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id IS NULL THEN 'n' ELSE 'k' || doc_id END AS key
             FROM documents
-        ), bytes AS (
-            SELECT doc_id, key, strlen(text) + 1 AS size,
-                   list_transform(regexp_extract_all(hex(text), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS of_text,
-                   list_transform(regexp_extract_all(hex(key), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS of_key
-            FROM rows
         ), hashed AS (
-            SELECT doc_id, key, size,
-                   xor(4294967295, list_reduce(list_prepend(4294967295, of_text),
-                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
-                   xor(4294967295, list_reduce(list_prepend(4294967295, of_key),
-                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS key_crc32
-            FROM bytes, crc_table
+            SELECT doc_id, key, strlen(text) + 1 AS size, {crc32("text")} AS text_crc32, {crc32("key")} AS key_crc32
+            FROM rows, crc_table
         ), scores AS (
             SELECT key, list(CAST('0x' || substr(sha256(key || '#' || s), 1, 13) AS BIGINT) ORDER BY s) AS score
             FROM (SELECT DISTINCT key FROM rows), range(17) r(s) GROUP BY key

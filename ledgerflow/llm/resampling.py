@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import text_of, unused, written
+from ledgerflow.llm.common import row_key, text_of, unused, written
 
 BUCKETS = 10_000
 LABELLED_ROWS = 20_000
@@ -41,6 +41,8 @@ SMOOTHING = 20.0
 # Rows with crc32(id as text) mod HELD_OUT = 0 are never learnt from.
 HELD_OUT = 5
 SEED = 1
+# Log ratios are whole numbers of 1 / UNITS, so that their sums do not depend on an order.
+UNITS = 1_000_000
 # Perturbed weights are compared in steps of 1 / STEPS.
 STEPS = 1024
 TOKENS = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]+"
@@ -54,24 +56,25 @@ def features(text: Column, buckets: int = BUCKETS) -> Column:
     """array<int> of the buckets of all features of a text, repeats included."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKENS), F.lit(0))
 
-    def of_tokens(tokens: Column) -> Column:
+    def of_hashes(hashes: Column) -> Column:
         def pair(following: Column, i: Column) -> Column:
-            here = F.get(tokens, i)
-            return F.when(here == following, F.lit(0)).otherwise(F.pmod(F.xxhash64(here, following), F.lit(buckets)).cast("int"))
+            here = F.get(hashes, i)
+            both = F.pmod(F.shiftleft(here, 1).bitwiseXOR(following), F.lit(buckets)).cast("int")
+            return F.when(here == following, F.lit(0)).otherwise(both)
 
-        one = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
-        two = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), pair)
+        one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+        two = F.transform(F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), pair)
         return F.concat(one, two)
 
-    # A one-element array binds the tokens to a name: they are cut once, not in every place they occur.
-    return F.get(F.transform(F.array(tokens), of_tokens), 0)
+    # A one-element array binds the hashes to a name: tokens are cut and hashed once.
+    return F.get(F.transform(F.array(F.transform(tokens, lambda t: F.xxhash64(t))), of_hashes), 0)
 
 
 @dataclass(frozen=True)
 class Resampler:
-    """Log ratios of the buckets and the cut found on the documents they were counted on."""
+    """Log ratios of the buckets (in ``UNITS``) and the cut found on the documents they were counted on."""
 
-    log_ratio: tuple[float, ...]
+    log_ratio: tuple[int, ...]
     threshold: int | None
     id_col: str = "doc_id"
     text_col: str = "text"
@@ -79,13 +82,14 @@ class Resampler:
     def log_weight(self) -> Column:
         if not self.log_ratio:
             return F.lit(0.0)
-        table = F.split(F.lit(",".join(map(repr, self.log_ratio))), ",").cast("array<double>")
+        table = F.split(F.lit(",".join(map(str, self.log_ratio))), ",").cast("array<bigint>")
         found = features(text_of(self.text_col), len(self.log_ratio))
-        return F.aggregate(found, F.lit(0.0), lambda total, bucket: total + F.get(table, bucket))
+        total = F.aggregate(found, F.lit(0).cast("bigint"), lambda total, bucket: total + F.get(table, bucket))
+        return total / F.lit(float(UNITS))
 
     def noise(self) -> Column:
-        key = F.coalesce(F.col(f"`{self.id_col}`").cast("string"), F.lit("null"))
-        bits = F.shiftrightunsigned(F.xxhash64(key, text_of(self.text_col), F.lit(SEED)), 12)
+        key = F.concat(row_key(self.id_col, self.text_col), F.lit(f"#{SEED}"))
+        bits = F.shiftrightunsigned(F.xxhash64(key), 12)
         return -F.log(-F.log((bits.cast("double") + 0.5) * F.lit(2.0**-52)))
 
     def kept(self, perturbed: Column) -> Column:
@@ -167,7 +171,7 @@ def fit(
     if not sum(good):
         return Resampler((), None, id_col, text_col)
     share = sum(good) / sum(raw)
-    ratios = tuple(round(math.log((g + SMOOTHING) / (r * share + SMOOTHING)), 6) for g, r in zip(good, raw))
+    ratios = tuple(round(math.log((g + SMOOTHING) / (r * share + SMOOTHING)) * UNITS) for g, r in zip(good, raw))
     model = Resampler(ratios, None, "doc_id", "text")
     weights = written(marked.select("role", model.log_weight().alias("weight"), model.noise().alias("noise")), "weights")
     shown = weights.where(F.col("role").isin(GOOD, BAD)).select("role", "weight").collect()
@@ -185,13 +189,13 @@ def _perturbed(docs: DataFrame, model: Resampler) -> tuple[DataFrame, str, str]:
 
 
 def quality_report(docs: DataFrame, model: Resampler) -> DataFrame:
-    """One row per row of ``docs``: doc_id, log_weight, score (0 to 1), perturbed, kept, held_out."""
+    """One row per row of ``docs``: doc_id, log_weight, score (0 to 1), perturbed (in steps), kept, held_out."""
     rows, weight, value = _perturbed(docs, model)
     return rows.select(
         F.col(f"`{model.id_col}`").alias("doc_id"),
         F.col(weight).alias("log_weight"),
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(weight)))).alias("score"),
-        F.col(value).alias("perturbed"),
+        F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(weight))), 6).alias("score"),
+        (steps(F.col(value)) / F.lit(float(STEPS))).alias("perturbed"),
         model.kept(F.col(value)).alias("kept"),
         held_out(F.col(f"`{model.id_col}`")).alias("held_out"),
     )

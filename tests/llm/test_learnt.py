@@ -35,9 +35,9 @@ def signed(x: int) -> int:
 
 def brute_features(text):
     tokens = re.findall(r"\w+|[^\w\s]+", (text or "").lower())
-    h = lambda s, seed=42: xxhash.xxh64_intdigest(s.encode(), seed)
-    one = [signed(h(t)) % BUCKETS for t in tokens]
-    return one + [0 if a == b else signed(h(b, h(a))) % BUCKETS for a, b in zip(tokens, tokens[1:])]
+    hashes = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+    one = [signed(h) % BUCKETS for h in hashes]
+    return one + [0 if a == b else signed((a << 1) % 2**64 ^ b) % BUCKETS for a, b in zip(hashes, hashes[1:])]
 
 
 def test_features_match_brute_force(spark):
