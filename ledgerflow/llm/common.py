@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow.session import fresh_path
 
@@ -83,15 +84,21 @@ def row_key(id_col: str, text_col: str) -> Column:
     )
 
 
+def _hashable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _hashable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_hashable(f.dataType) for f in dtype.fields)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """One row of each ``key``: the smallest by its other plain columns.
+    """One row of each ``key``, chosen by a hash of its other columns (but maps).
 
     ``row_number() = 1`` plans a group limit before the shuffle, so a key that
     fills a third of the rows leaves each task as one row.
     """
-    from pyspark.sql import Window
-
-    plain = [f.name for f in df.schema.fields if f.name != key and f.dataType.typeName() not in ("map", "variant")]
+    plain = [f.name for f in df.schema.fields if f.name != key and _hashable(f.dataType)]
     order = [F.xxhash64(*[F.col(f"`{c}`") for c in plain])] if plain else [F.lit(0)]
     (rank,) = unused(df, "rank")
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(

@@ -65,3 +65,11 @@ def test_packing_and_scan(docs):
     assert sum(r["count"] for r in per_text) == 3 * N
     assert max(r[0] for r in packed.groupBy("sequence_id").agg({"length": "sum"}).select("sum(length)").collect()) <= 1024
     assert license_report(docs).where("labels = 'mit'").count() == N
+
+
+def test_rows_with_maps_and_nested_columns_travel_along(spark):
+    rows = [(1, "a b", {"k": 1}, [{"m": 2}]), (1, "a b", {"k": 2}, None), (2, "ab", None, []), (3, "c", {}, [{}])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string,int>, nested array<map<string,int>>")
+    for filtered in (drop_duplicates(docs), drop_near_duplicates(docs)):
+        assert filtered.dtypes == docs.dtypes
+    assert sorted(r["doc_id"] for r in drop_duplicates(docs).collect()) == [1, 3]
