@@ -29,6 +29,7 @@ nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -232,19 +233,14 @@ def _places(words: Column, regex: Column) -> Column:
 
 
 def _rule_table() -> Column:
-    """array<struct<keyword, rules: array<struct<regex, label, priority, weight, number>>>>, constant."""
-    by_keyword: dict[str, list[Column]] = {}
+    """array<struct<keyword, rules>>, constant: one literal, parsed when the query is planned."""
+    by_keyword: dict[str, list[dict]] = {}
     for number, rule in enumerate(rules()):
-        by_keyword.setdefault(rule.keyword, []).append(
-            F.struct(
-                F.lit(_whole_words(rule.regex)).alias("regex"),
-                F.lit(rule.label).alias("label"),
-                F.lit(rule.priority).alias("priority"),
-                F.lit(rule.weight).alias("weight"),
-                F.lit(number).alias("number"),
-            )
-        )
-    return F.array(*[F.struct(F.lit(f" {k} ").alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
+        spelled = {"regex": _whole_words(rule.regex), "label": rule.label, "priority": rule.priority, "weight": rule.weight, "number": number}
+        by_keyword.setdefault(rule.keyword, []).append(spelled)
+    table = json.dumps([{"keyword": f" {k} ", "rules": v} for k, v in by_keyword.items()])
+    rule_type = "struct<regex:string,label:string,priority:int,weight:double,number:int>"
+    return F.from_json(F.lit(table), f"array<struct<keyword:string,rules:array<{rule_type}>>>")
 
 
 def _detections(words: Column, lowered: Column, table: Column) -> Column:

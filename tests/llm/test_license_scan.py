@@ -69,7 +69,7 @@ def test_rules_and_plan(spark):
         re.compile(rule.regex)
     report = license_report(table(spark, texts()))
     plan = report._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|Exchange|Join", plan)
+    assert not re.search("Python|Pandas|Arrow|Exchange|Join|from_json", plan)  # the rule table is a constant
     assert license_report(table(spark, [])).count() == 0
 
 
