@@ -53,7 +53,7 @@ def texts():
              "free software", "AGPL", "GNU LGPL 2.1 or later", "Kelvin", "gnu general public license"]
     rows = [(i, p) for i, p in enumerate(parts)]
     rows += [(100 + i, " ".join(rng.choices(parts, k=rng.choice([2, 5, 9])))) for i in range(80)]
-    rows += [(300, None), (301, ""), (302, " .,! "), (None, parts[0]), (None, parts[0]), (3, parts[3]), (303, "word " * 20_000 + "MIT License " * 500)]
+    rows += [(300, None), (301, ""), (302, " .,! "), (None, parts[0]), (None, parts[0]), (3, parts[3]), (303, "word " * 20_000 + "MIT License " * 60)]
     return rows
 
 
