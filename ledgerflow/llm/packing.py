@@ -36,6 +36,8 @@ END_ID = 2
 # Free tokens up to which a bin counts as nearly full.
 SLACK = 4
 ITEMS_PER_TASK = 50_000
+# Documents whose ids a task holds besides the pieces it has yet to pack.
+DOCS_AT_ONCE = 500
 LEAST_GAIN = 0.002
 
 
@@ -125,7 +127,7 @@ def _first_round(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, sl
                 arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in batches:
+        for batch in (b.slice(i, DOCS_AT_ONCE) for b in batches for i in range(0, b.num_rows, DOCS_AT_ONCE)):
             id_type = batch.column(0).type
             whole: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
