@@ -1,12 +1,15 @@
 """I-Match fingerprints: hashes of randomised subsets of the lexicon's terms.
 
 Lexicon
-    Terms are runs of letters and digits in lower case. They are counted by
-    class, the low ``CLASS_BITS`` bits of a term's XXH64: the number of
-    documents with a term of the class, over all documents. The lexicon is
-    the classes within the band of inverse document frequency, that is those
-    in ``LOW_DOCS`` documents at least and in ``HIGH_SHARE`` of all at most.
-    It is a bitmap of 2^CLASS_BITS bits, however large the corpus.
+    Terms are runs of letters and digits in lower case, told apart by their
+    XXH64. The lexicon is the terms within the band of inverse document
+    frequency, that is those in ``LOW_DOCS`` documents at least and in
+    ``HIGH_SHARE`` of all at most; all 64 bits are counted, so a rare term
+    stays out however large the corpus. Every document's terms are counted
+    once, and no table of all (document, term) pairs is joined with it: the
+    few terms above the band go to each task, a term below it is sent to the
+    one document that has it, and the terms that only a cut made in an edited
+    text (of its last words) are looked up.
 
 Fingerprint
     A text keeps its distinct terms of the lexicon (all its terms, if fewer
@@ -63,8 +66,15 @@ def term_class(term: Column) -> Column:
     return term.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).cast("int")
 
 
+def counted_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, docs, owner): the number of rows with each term, and the hash of the row key of one of them. Written."""
+    owner = F.xxhash64(row_key(id_col, text_col)).alias("owner")
+    terms = docs.select(owner, F.explode(term_hashes(text_of(text_col))).alias("term"))
+    return written(terms.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.min("owner").alias("owner")), "terms")
+
+
 def lexicon(docs: DataFrame, text_col: str = "text", low_docs: int = LOW_DOCS, high_share: float = HIGH_SHARE) -> list[int]:
-    """The bitmap of the classes within the band, as 2^CLASS_BITS / 64 signed longs."""
+    """The bitmap of the band by classes of terms, their low CLASS_BITS bits; the report counts whole terms instead."""
     classes = F.array_distinct(F.transform(term_hashes(text_of(text_col)), term_class))
     counted = docs.select(F.explode(classes).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     band = counted.where((F.col("docs") >= low_docs) & (F.col("docs") <= F.lit(high_share * docs.count())))
@@ -85,12 +95,26 @@ def _bits(term: Column, start: int, count: int | Column) -> Column:
     return F.shiftrightunsigned(term, start).bitwiseAND(_power_of_two(count if isinstance(count, Column) else F.lit(count)) - 1)
 
 
-def fingerprint(text: Column, bitmap: Column) -> Column:
-    """struct<level int, here array<string>, above array<string>> of a text."""
+def _longs(values: list[int]) -> Column:
+    listed = F.split(F.lit(",".join(map(str, values))), ",") if values else F.array()
+    return listed.cast("array<bigint>")
+
+
+def _level(n: Column) -> Column:
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / F.lit(SUBSETS))).cast("int"))
+
+
+def _at_level(terms: Column, level: Column) -> Column:
+    return F.filter(terms, lambda t: _bits(t, CLASS_BITS + SUBSET_BITS, level) == 0)
+
+
+def thinned(terms: Column) -> Column:
+    """struct<n int, terms array<long>>: how many terms there are, and those that a fingerprint of so many or more reads."""
+    return F.struct(F.size(terms).alias("n"), _at_level(terms, _level(F.size(terms))).alias("terms"))
 
-    def in_lexicon(term: Column) -> Column:
-        word = F.get(bitmap, _bits(term, 6, CLASS_BITS - 6).cast("int"))
-        return F.getbit(word, term.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+def fingerprint(n: Column, terms: Column) -> Column:
+    """struct<level int, here array<string>, above array<string>> of ``n`` terms, given thinned."""
 
     def subset_hashes(terms: Column) -> Column:
         def of_subset(subset: Column) -> Column:
@@ -100,26 +124,20 @@ def fingerprint(text: Column, bitmap: Column) -> Column:
 
         return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), of_subset)
 
-    def at_level(terms: Column, level: Column) -> Column:
-        return F.filter(terms, lambda t: _bits(t, CLASS_BITS + SUBSET_BITS, level) == 0)
-
-    def of_terms(terms: Column) -> Column:
-        level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(terms), F.lit(1)) / F.lit(SUBSETS))).cast("int"))
+    def of_level(level: Column) -> Column:
+        def of_here(here: Column) -> Column:
+            above = subset_hashes(_at_level(here, level + 1))
+            return F.struct(level.alias("level"), subset_hashes(here).alias("here"), above.alias("above"))
 
-        def of_level(level: Column) -> Column:
-            def of_here(here: Column) -> Column:
-                above = subset_hashes(at_level(here, level + 1))
-                return F.struct(level.alias("level"), subset_hashes(here).alias("here"), above.alias("above"))
+        return let(F.array_sort(_at_level(terms, level)), of_here)
 
-            return let(F.array_sort(at_level(terms, level)), of_here)
+    return let(_level(n), of_level)
 
-        return let(level, of_level)
 
-    def of_all(all_terms: Column) -> Column:
-        banded = F.filter(all_terms, in_lexicon)
-        return let(banded, lambda kept: let(F.when(F.size(kept) < FEW_TERMS, all_terms).otherwise(kept), of_terms))
-
-    return let(term_hashes(text), of_all)
+def _of_document(every: Column, high: Column, rare: Column) -> Column:
+    """The terms of a document's fingerprint, thinned: without those above and below the band, or all if too few are left."""
+    kept = F.array_except(F.array_except(every, high), rare)
+    return let(kept, lambda kept: let(F.when(F.size(kept) < FEW_TERMS, every).otherwise(kept), thinned))
 
 
 def spelled(print_: Column) -> Column:
@@ -182,31 +200,98 @@ def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def imatch_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    bitmap = F.split(F.lit(",".join(map(str, lexicon(docs, text_col)))), ",").cast("array<bigint>")
-    text = text_of(text_col)
+    if LOW_DOCS > 2:
+        raise ValueError("a term below the band is sent to one document only")
+    counted = counted_terms(docs, id_col, text_col)
+    above = F.col("docs") > F.lit(HIGH_SHARE * docs.count())
+    # At most 1 / HIGH_SHARE times the mean number of a document's terms.
+    high = _longs([r["term"] for r in counted.where(above).select("term").collect()])
+    band = counted.where((F.col("docs") >= LOW_DOCS) & ~above).select("term")
+    # Rows whose keys' hashes are equal share a list; a term in it is in one document all the same.
+    rare = counted.where(F.col("docs") < LOW_DOCS).groupBy("owner").agg(F.collect_list("term").alias("rare"))
+    none = _longs([])
+
     texts = (
-        docs.select(row_key(id_col, text_col).alias("key"), text.alias("text"), fingerprint(text, bitmap).alias("print"))
+        docs.select(row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
         .groupBy("key")
-        .agg(F.first("text").alias("text"), F.first("print").alias("print"))
+        .agg(F.first("text").alias("text"))
     )
     steps = successors(docs, id_col, text_col).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
+    for key, name in (("row_key", "own_rare"), ("next_key", "next_rare")):
+        listed = rare.select("owner", F.col("rare").alias(name))
+        steps = (
+            steps.withColumn("owner", F.xxhash64(key)).join(listed, "owner", "left").drop("owner")
+            .withColumn(name, F.coalesce(name, none))
+        )
+    ending = F.col("text").substr(F.lit(1), F.col("cut"))
+
+    def of_next(every: Column) -> Column:
+        def of_ending(ended: Column) -> Column:
+            return F.struct(
+                _of_document(every, high, F.col("next_rare")).alias("print_terms"),
+                F.array_except(ended, every).alias("made"),
+                F.array_intersect(F.col("next_rare"), ended).alias("rare"),
+            )
+
+        return let(term_hashes(ending), of_ending)
+
     brought = steps.join(texts, steps["next_key"] == texts["key"]).select(
-        "doc_id", "row_key", "n_chars", "cut", "copies",
-        F.col("text").substr(F.lit(1), F.col("cut")).alias("ending"),
-        F.col("print").alias("next_print"),
+        "doc_id", "row_key", "n_chars", "cut", "copies", "own_rare", ending.alias("ending"),
+        let(term_hashes(F.col("text")), of_next).alias("next"),
     )
-    both = brought.join(texts.select("key", "text", "print"), brought["row_key"] == F.col("key"))
+    both = brought.join(texts.select("key", "text"), brought["row_key"] == F.col("key"))
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n_chars") - F.col("cut")), F.col("ending"))
-    hashed = both.select("doc_id", "n_chars", "copies", "print", "next_print", edited.alias("edited")).withColumn(
-        "edited_print", fingerprint(F.col("edited"), bitmap)
+
+    def of_terms(own: Column) -> Column:
+        def of_edited(every: Column) -> Column:
+            of_either = F.array_except(term_hashes(F.col("ending")), F.col("next.made"))
+            made = F.array_except(F.array_except(F.array_except(every, own), of_either), high)
+
+            def of_made(made: Column) -> Column:
+                kept = every
+                for out in (high, F.col("own_rare"), F.col("next.rare"), made):
+                    kept = F.array_except(kept, out)
+                return let(kept, lambda kept: F.struct(
+                    _of_document(own, high, F.col("own_rare")).alias("own"),
+                    made.alias("made"),
+                    thinned(kept).alias("edited"),
+                    F.when(F.size(kept) < FEW_TERMS, thinned(every)).alias("all_edited"),
+                ))
+
+            return let(made, of_made)
+
+        return let(term_hashes(edited), of_edited)
+
+    found = both.select(
+        "doc_id", "n_chars", "copies", F.unhex(F.sha2(edited, 256)).alias("edited_sha256"), F.col("next.print_terms").alias("next_terms"),
+        let(term_hashes(F.col("text")), of_terms).alias("terms"),
+    )
+    near_next = likeness(*[fingerprint(F.col(f"{side}.n"), F.col(f"{side}.terms")) for side in ("terms.own", "next_terms")])
+    # Written, so that a row's number is settled once.
+    numbered = written(
+        found.select("doc_id", "n_chars", "copies", "edited_sha256", "terms", near_next.alias("near_next"))
+        .withColumn("row", F.monotonically_increasing_id()),
+        "edited",
+    )
+    # A term that many edited texts end in is not gathered: its rows are a skewed side of a join with a unique key.
+    looked_up = numbered.select("row", F.explode("terms.made").alias("term")).join(band, "term")
+    more = looked_up.groupBy("row").agg(F.collect_list("term").alias("more"))
+    whole = numbered.join(more, "row", "left").withColumn("more", F.coalesce("more", none))
+    n, all_terms = F.col("terms.edited.n") + F.size("more"), F.col("terms.all_edited")
+    few = n < FEW_TERMS
+    kept = F.concat(F.col("terms.edited.terms"), F.col("more"))
+    printed = whole.select(
+        "doc_id", "n_chars", "copies", "edited_sha256", "near_next",
+        fingerprint(F.col("terms.own.n"), F.col("terms.own.terms")).alias("print"),
+        fingerprint(F.when(few, all_terms["n"]).otherwise(n), F.when(few, all_terms["terms"]).otherwise(kept)).alias("edited_print"),
     )
-    return hashed.select(
+    return printed.select(
         "doc_id",
         F.col("n_chars").cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
         spelled(F.col("print")).alias("fingerprint"),
         spelled(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        "near_next",
         F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"),
     ).drop("copy")

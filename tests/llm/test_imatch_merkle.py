@@ -113,6 +113,54 @@ def test_lexicon_bitmap(spark):
     assert found == brute_lexicon([t or "" for _, t in rows], imatch.LOW_DOCS, imatch.HIGH_SHARE)
 
 
+def test_a_rare_term_stays_out_whatever_shares_its_class(spark):
+    """Terms are counted by all bits: two rare ones of a class are not one term in two documents."""
+    by_class = {}
+    rare = []
+    for i in range(200_000):  # some 19,000 pairs of a class
+        term = f"r{i}"
+        other = by_class.setdefault(xxhash.xxh64_intdigest(term.encode(), 42) & ((1 << imatch.CLASS_BITS) - 1), term)
+        if other is not term:
+            rare.append((other, term))
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(400)]
+    texts = []
+    for i in range(60):
+        pairs = rare[i * 20 : i * 20 + 20]
+        texts += [" ".join(rng.sample(common, 30) + [p[side] for p in pairs]) for side in (0, 1)]
+    # Terms that only a cut makes: "common" ones, in the band, and others.
+    texts += ["c1", "c2 c3", "", "c399"] + [" ".join(rng.sample(common, 9)) for _ in range(30)]
+    docs = {}
+    for t in texts:
+        for h in terms_of(t):
+            docs[h] = docs.get(h, 0) + 1
+    band = {h for h, n in docs.items() if imatch.LOW_DOCS <= n <= imatch.HIGH_SHARE * len(texts)}
+
+    def exact(text):
+        kept = terms_of(text) & band
+        every = kept if len(kept) >= imatch.FEW_TERMS else terms_of(text)
+        level = max(0, math.ceil(math.log2(max(1, len(every)) / SUBSETS)))
+
+        def hashes(level):
+            out = []
+            for s in range(SUBSETS):
+                own = sorted(signed(h) for h in every if h >> 20 & 31 == s and h >> 25 & ((1 << level) - 1) == 0)
+                out.append(f"{chained(own) & 0xFFFF:04x}" if own else "")
+            return out
+
+        return level, hashes(level), hashes(level + 1)
+
+    expected = []
+    for i, text in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        cut = len(text) // 4
+        a, b, c = (exact(t) for t in (text, text[: len(text) - cut] + after[:cut], after))
+        expected.append((i, spell(a), spell(b), brute_likeness(a, b), brute_likeness(a, c)))
+    report = imatch_report(table(spark, list(enumerate(texts))))
+    got = report.select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
+    assert sorted(map(tuple, got)) == expected
+
+
 def test_small_tables_and_native_plan(spark):
     assert imatch_report(table(spark, [])).count() == 0
     (one,) = imatch_report(table(spark, [(7, "abcd efgh")])).collect()
