@@ -80,6 +80,37 @@ def test_exact_filter_keeps_one_row_of_each_text_with_all_columns(spark):
     assert got == sorted((r[0] for r in brute_exact(rows) if r[3]), key=repr)
 
 
+def test_exact_second_batch_that_largely_repeats_the_first(spark, workdir):
+    """The anti-join meets an index with rows: brute force over two batches, the second four fifths known."""
+    rng = random.Random(11)
+    spaced = lambda text: text.replace(" ", rng.choice(["", "  ", "\t", " \n"]))
+    texts = [" ".join(rng.choices("abcdefghij", k=12)) + f" {i}" for i in range(3000)]
+    first = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, spaced(texts[i])) for i in range(0, 3000, 3)]
+    known = [(20_000 + i, spaced(t)) for i, t in enumerate(texts) if i % 5]
+    new = [(30_000 + i, f"new {i % 400}" + " " * (i % 3)) for i in range(600)] + [(None, "new 7"), (None, None), (None, None)]
+    second = known + new + [(40_000 + i, texts[1]) for i in range(1500)] + new[:50]
+    index = DigestIndex.open(spark, f"{workdir}/index", 16)
+    kept_by = {}
+    for batch, rows in (("b1", first), ("b2", second)):
+        rng.shuffle(rows)
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups["".join((t or "").split())].append((-len(t or ""), i is None, i or 0))
+        expected = []
+        for plain, members in groups.items():
+            own = plain not in kept_by
+            best = min(members)
+            keep = kept_by.setdefault(plain, None if best[1] else best[2])
+            digest = hashlib.sha256(plain.encode()).hexdigest()
+            for n, member in enumerate(sorted(members)):
+                expected.append((None if member[1] else member[2], keep, len(members), own and n == 0, digest))
+        got = dedup_report(table(spark, rows), index, batch).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+        assert index.rows().count() == len(kept_by)
+        assert got.where("kept").count() == sum(r[3] for r in expected) == (3000 if batch == "b1" else 401)
+    assert {r["batch"]: r["count"] for r in index.rows().groupBy("batch").count().collect()} == {"b1": 3000, "b2": 401}
+
+
 def test_exact_index_persists_and_replays(spark, workdir):
     first = [(1, "a b"), (2, "ab "), (3, "c")]
     second = [(4, "a  b"), (5, "d"), (6, "d")]
