@@ -6,7 +6,8 @@ buckets; two equal ones in a row are one feature, whatever they are. The raw
 model counts the features of all documents. Of the rows labelled good and of
 those labelled bad, ``LABELLED_ROWS`` each at most (those with the smallest
 hashes of their ids; held-out rows never) are used: one half of the good ones
-is counted for the target model, the rest finds the cut. A bucket's log ratio compares its target count with
+is counted for the target model, the rest finds the cut. An id that several
+rows have is used once, with the largest of its texts. A bucket's log ratio compares its target count with
 the count that the raw model expects there, ``SMOOTHING`` added to either, so
 that a bucket with few of both says little. The log weight of a document is
 the sum of the log ratios of its features.
@@ -154,27 +155,28 @@ def fit(
     text_col: str = "text",
     labelled_rows: int = LABELLED_ROWS,
 ) -> Resampler:
-    """Count both models over ``docs`` and find the cut; a row per bucket and per labelled row used reach the driver."""
+    """Count both models over ``docs`` and find the cut; a row per bucket and per label id used reach the driver."""
     # Broadcast: twice labelled_rows ids at most.
     known = F.broadcast(written(_labelled_ids(labels, id_col, label_col, labelled_rows), "labelled-ids"))
     given = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-    marked = given.join(known, given["doc_id"] == known["label_id"], "left").select("doc_id", "text", "role")
-    counts = (
-        marked.select("role", F.explode(features(F.col("text"))).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("role") == COUNTED).alias("target"))
-        .collect()
-    )
-    raw, good = [0] * BUCKETS, [0] * BUCKETS
-    for row in counts:
-        raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["target"]
+    # One text an id, however many rows have the id: the largest.
+    found = given.join(known, given["doc_id"] == known["label_id"]).groupBy("label_id", "role").agg(F.max("text").alias("text"))
+    labelled = written(found, "labelled-texts")
+
+    def counted(rows: DataFrame) -> list[int]:
+        counts = [0] * BUCKETS
+        for row in rows.select(F.explode(features(F.col("text"))).alias("bucket")).groupBy("bucket").count().collect():
+            counts[row["bucket"]] = row["count"]
+        return counts
+
+    raw, good = counted(given), counted(labelled.where(F.col("role") == COUNTED))
     if not sum(good):
         return Resampler((), None, id_col, text_col)
     share = sum(good) / sum(raw)
     ratios = tuple(round(math.log((g + SMOOTHING) / (r * share + SMOOTHING)) * UNITS) for g, r in zip(good, raw))
     model = Resampler(ratios, None, "doc_id", "text")
-    weights = written(marked.select("role", model.log_weight().alias("weight"), model.noise().alias("noise")), "weights")
-    shown = weights.where(F.col("role").isin(GOOD, BAD)).select("role", "weight").collect()
+    weights = written(given.select(model.log_weight().alias("weight"), model.noise().alias("noise")), "weights")
+    shown = labelled.where(F.col("role").isin(GOOD, BAD)).select("role", model.log_weight().alias("weight")).collect()
     good_weights, bad_weights = ([r["weight"] for r in shown if r["role"] == v] for v in (GOOD, BAD))
     if not good_weights:
         return Resampler(ratios, None, id_col, text_col)

@@ -95,6 +95,34 @@ def test_resampling_matches_brute_force_and_parts_good_from_bad(spark):
     assert stays.columns == docs.columns and stays.count() == sum(r["kept"] for r in got)
 
 
+@pytest.mark.parametrize("role", [resampling.COUNTED, resampling.GOOD, resampling.BAD])
+def test_an_id_of_many_rows_is_one_labelled_row(spark, monkeypatch, role):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=30)) + (" $$$" * 20 if i % 5 == 0 else "")) for i in range(300)]
+    labels = [(i, int(i % 5 != 0), 0) for i in range(300)]
+    used = resampling._labelled_ids(labels_of(spark, labels), "doc_id", "quality", 1000).collect()
+    hot = min(r["label_id"] for r in used if r["role"] == role)
+    rows[hot] = (hot, " ".join(rng.choices(words, k=40)) + " extra" * 10)
+    seen = []
+    keep = resampling._cut
+    monkeypatch.setattr(resampling, "_cut", lambda good, bad: seen.append((len(good), len(bad))) or keep(good, bad))
+    # Repeats with smaller texts: the largest one is used either way.
+    docs = table(spark, rows + [(hot, None)] * 10 + [(hot, " ".join(["!", *words[:5]]))] * 150)
+    model = fit(docs, labels_of(spark, labels))
+    n = Counter(r["role"] for r in used)
+    assert seen == [(n[resampling.GOOD], n[resampling.BAD])]
+    raw, good = Counter(), Counter()
+    for r in docs.select("text").collect():
+        raw.update(brute_features(r["text"]))
+    for i, t in rows:
+        if i in {r["label_id"] for r in used if r["role"] == resampling.COUNTED}:
+            good.update(brute_features(t))
+    share = sum(good.values()) / sum(raw.values())
+    s = resampling.SMOOTHING
+    assert model.log_ratio == tuple(round(math.log((good[b] + s) / (raw[b] * share + s)) * resampling.UNITS) for b in range(BUCKETS))
+
+
 def test_resampling_without_labels_or_rows(spark):
     rows, labels = corpus(20)
     docs = table(spark, rows)
