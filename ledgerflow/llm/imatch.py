@@ -62,10 +62,6 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.transform(terms, lambda t: F.xxhash64(t)), F.xxhash64(F.lit(""))))
 
 
-def term_class(term: Column) -> Column:
-    return term.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).cast("int")
-
-
 def counted_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, docs, owner): the number of rows with each term, and the hash of the row key of one of them. Written."""
     owner = F.xxhash64(row_key(id_col, text_col)).alias("owner")
@@ -73,20 +69,6 @@ def counted_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return written(terms.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.min("owner").alias("owner")), "terms")
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low_docs: int = LOW_DOCS, high_share: float = HIGH_SHARE) -> list[int]:
-    """The bitmap of the band by classes of terms, their low CLASS_BITS bits; the report counts whole terms instead."""
-    classes = F.array_distinct(F.transform(term_hashes(text_of(text_col)), term_class))
-    counted = docs.select(F.explode(classes).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
-    band = counted.where((F.col("docs") >= low_docs) & (F.col("docs") <= F.lit(high_share * docs.count())))
-    words = band.groupBy(F.shiftright("term", 6).alias("word")).agg(
-        F.bit_or(_power_of_two(F.col("term").bitwiseAND(F.lit(63)))).alias("bits")
-    )
-    bitmap = [0] * (1 << (CLASS_BITS - 6))
-    for row in words.collect():
-        bitmap[row["word"]] = row["bits"]
-    return bitmap
-
-
 def _power_of_two(exponent: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent)
 

@@ -149,16 +149,16 @@ def imatch_sql() -> str:
         ), strings AS (SELECT DISTINCT s FROM terms), {hashed_strings("strings", "hashed")},
         found AS MATERIALIZED (
             SELECT place, changed, h, CASE WHEN h >= {1 << 63} THEN (h::HUGEINT - {_WRAP})::BIGINT ELSE h::BIGINT END AS signed,
-                   h % {classes} AS class
+                   h AS term
             FROM terms JOIN hashed USING (s)
         ), lexicon AS (
-            SELECT class FROM found WHERE NOT changed GROUP BY class
+            SELECT term FROM found WHERE NOT changed GROUP BY term
             HAVING count(DISTINCT place) >= {imatch.LOW_DOCS}
                AND count(DISTINCT place) <= {imatch.HIGH_SHARE!r}::DOUBLE * (SELECT count(*) FROM ordered)
         ), banded AS (
-            SELECT found.*, lexicon.class IS NOT NULL AS inside,
-                   count(lexicon.class) OVER (PARTITION BY place, changed) AS n_inside, count(*) OVER (PARTITION BY place, changed) AS n_all
-            FROM found LEFT JOIN lexicon USING (class)
+            SELECT found.*, lexicon.term IS NOT NULL AS inside,
+                   count(lexicon.term) OVER (PARTITION BY place, changed) AS n_inside, count(*) OVER (PARTITION BY place, changed) AS n_all
+            FROM found LEFT JOIN lexicon USING (term)
         ), kept AS (SELECT * FROM banded WHERE inside OR n_inside < {imatch.FEW_TERMS}),
         levels AS (
             SELECT place, changed, count(h) AS n,

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import imatch, merkle
-from ledgerflow.llm.imatch import SUBSETS, imatch_report, lexicon
+from ledgerflow.llm.imatch import SUBSETS, imatch_report
 
 SCHEMA = "doc_id bigint, text string, print string, copies int, `level` string"
 
@@ -32,7 +32,7 @@ def terms_of(text):
 def brute_lexicon(texts, low, share):
     docs = {}
     for t in texts:
-        for c in {h & ((1 << imatch.CLASS_BITS) - 1) for h in terms_of(t)}:
+        for c in terms_of(t):
             docs[c] = docs.get(c, 0) + 1
     return {c for c, n in docs.items() if low <= n <= share * len(texts)}
 
@@ -46,7 +46,7 @@ def chained(values):
 
 def brute_print(text, band):
     every = terms_of(text)
-    kept = {h for h in every if h & ((1 << imatch.CLASS_BITS) - 1) in band}
+    kept = every & band
     if len(kept) < imatch.FEW_TERMS:
         kept = every
     level = max(0, math.ceil(math.log2(max(1, len(kept)) / SUBSETS)))
@@ -106,13 +106,6 @@ def test_report_matches_brute_force(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
-def test_lexicon_bitmap(spark):
-    rows = corpus()
-    bitmap = lexicon(table(spark, rows))
-    found = {64 * w + b for w, bits in enumerate(bitmap) if bits for b in range(64) if bits >> b & 1}
-    assert found == brute_lexicon([t or "" for _, t in rows], imatch.LOW_DOCS, imatch.HIGH_SHARE)
-
-
 def test_a_rare_term_stays_out_whatever_shares_its_class(spark):
     """Terms are counted by all bits: two rare ones of a class are not one term in two documents."""
     by_class = {}
