@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import bpe, toxicity
 from ledgerflow.llm.common import read_documents
+from ledgerflow.llm.decomposition import decompose
 from ledgerflow.llm.exact_dedup import dedup_report
+from ledgerflow.llm.fim import fim_report, fim_sql
 from ledgerflow.llm.imatch import imatch_report
 from ledgerflow.llm.license_scan import BASE_PHRASES, BASE_WEIGHT, license_report, rules
 from ledgerflow.llm.merkle import fixity_report
@@ -81,6 +83,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(read_documents(spark, sf_dir))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_report(read_documents(spark, sf_dir))
+
+
+def op13_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decompose(read_documents(spark, sf_dir), tokenizer_file(), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -92,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_imatch": op9_imatch,
     "op10_simhash": op10_simhash,
+    "op11_fim": op11_fim,
+    "op13_decomposition": op13_decomposition,
 }
 
 def license_sql() -> str:
@@ -214,4 +226,5 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op9_imatch": imatch_sql(),
     "op10_simhash": simhash_sql(),
+    "op11_fim": fim_sql(),
 }
