@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import bpe, toxicity
+from ledgerflow.llm.collocations import collocations, collocations_sql
 from ledgerflow.llm.common import read_documents
 from ledgerflow.llm.decomposition import decompose
 from ledgerflow.llm.exact_dedup import dedup_report
@@ -87,6 +88,10 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_report(read_documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_documents(spark, sf_dir))
+
+
 def op13_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompose(read_documents(spark, sf_dir), tokenizer_file(), with_ids=False)
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_imatch": op9_imatch,
     "op10_simhash": op10_simhash,
     "op11_fim": op11_fim,
+    "op12_collocations": op12_collocations,
     "op13_decomposition": op13_decomposition,
 }
 
@@ -227,4 +233,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_imatch": imatch_sql(),
     "op10_simhash": simhash_sql(),
     "op11_fim": fim_sql(),
+    "op12_collocations": collocations_sql(),
 }

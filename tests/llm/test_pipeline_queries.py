@@ -130,7 +130,7 @@ def test_empty_tables_pass_through(spark, workdir):
 def test_all_operators_are_registered():
     known = queries()
     assert set(QUERIES) | {"pipeline"} <= set(known)
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([name for name in known if name.startswith(f"op{n}_")]) == 1
     assert set(ORACLE_SQL) <= set(oracle_sql())
 
