@@ -11,14 +11,16 @@ Counts
     when no phrase has shards left.
 
 A step
-    The tasks cut the shard's texts into words and count the phrases that may
-    be active; counts are summed by phrase, joined to the written table of
-    phrases for the exact steps at which their subphrases reached the
-    threshold, and added to it. What tasks know of the reached phrases is a
-    table of ``1 << filter_bits`` slots by hash with the first and last step at
-    which a phrase of the slot got there: a proven bound on what is
-    broadcast. Phrases that share a slot can only make a task count too much;
-    the join drops that.
+    The tasks cut the shard's texts into words and count the active phrases;
+    their counts are added to the written table of phrases (one exchange).
+    What tasks know of that table is, for each of ``1 << filter_bits`` slots
+    by hash, the first step at which a phrase of the slot reached the
+    threshold: a proven bound on what is broadcast. A slot's step never
+    changes once it is set, so all tasks of all steps agree on when a phrase
+    became active. Phrases that share a slot can only make others active
+    early or in vain; each is still counted in every shard exactly once.
+    A phrase that has had its full cycle without reaching the threshold
+    leaves the table.
 
 Collocations
     Every cut of a candidate into two parts gives 2,000,000 a / (l + r),
@@ -47,7 +49,7 @@ LONGEST = 4
 TOP = 2000
 CONTAINED_PERCENT = 80
 SHARDS = 4
-FILTER_BITS = 22
+FILTER_BITS = 24
 # Bytes of text cut into words at once, and words counted at once.
 CHUNK_BYTES = 4 << 20
 BLOCK_WORDS = 1 << 21
@@ -64,8 +66,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-COUNTED = "lang string, size int, phrase string, slot int, count bigint"
-PHRASES = "lang string, size int, phrase string, slot int, start int, reach int, count bigint"
+COUNTED = "phrase string, lang string, size int, slot int, start int, count bigint"
+PHRASES = "phrase string, lang string, size int, slot int, start int, reach int, count bigint"
 
 
 def words_of(data: np.ndarray, starts: np.ndarray):
@@ -88,18 +90,16 @@ def words_of(data: np.ndarray, starts: np.ndarray):
 
 
 class ShardCounter:
-    """Counts of one task's texts at one step: rows (lang, size, phrase, slot, count) of phrases that may be active."""
+    """Counts of one task's texts at one step: rows (phrase, lang, size, slot, start, count) of the active phrases.
 
-    def __init__(self, step: int, shards: int, longest: int, filter_bits: int, first: np.ndarray, last: np.ndarray) -> None:
-        self.step, self.shards, self.longest = step, shards, longest
-        self.shift, self.first, self.last = np.uint64(64 - filter_bits), first, last
-        self.ids: dict[tuple[int, bytes], int] = {}
+    ``first`` has for each slot the first step at which a phrase of it reached the threshold, or ``NEVER``.
+    """
+
+    def __init__(self, step: int, shards: int, longest: int, first: np.ndarray) -> None:
+        self.step, self.shards, self.longest, self.first = step, shards, longest, first
+        self.shift = np.uint64(64 - (len(first).bit_length() - 1))
         self.languages: dict[str, int] = {}
-        self.names: list[str] = []
-        self.words: list[bytes] = []
-        self.word_language: list[int] = []
-        self.word_hash: list[int] = []
-        self.block: list[tuple[np.ndarray, np.ndarray]] = []
+        self.block: list[tuple] = []
         self.waiting, self.piece = 0, 0
 
     def batch(self, languages: list[str], texts):
@@ -109,112 +109,109 @@ class ShardCounter:
         texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-        for name in dict.fromkeys(languages):
-            if self.languages.setdefault(name, len(self.names)) == len(self.names):
-                self.names.append(name)
-        codes = np.array([self.languages[x] for x in languages], np.int64)
+        codes = np.array([self.languages.setdefault(x, len(self.languages)) for x in languages], np.int64)
         row = 0
         while row < len(texts):
             end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
-            self._chunk(data[offsets[row] : offsets[end]], offsets[row:end] - offsets[row], codes[row:end])
+            words, piece, text = words_of(data[offsets[row] : offsets[end]], offsets[row:end] - offsets[row])
+            if len(words):
+                self.block.append((words, piece + self.piece, codes[row:end][text]))
+                self.piece += int(piece[-1]) + 1
+                self.waiting += len(words)
             row = end
             if self.waiting >= BLOCK_WORDS:
                 yield from self.flush()
 
-    def _chunk(self, data: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> None:
+    def flush(self):
+        """Count what is waiting."""
         import pandas as pd
+        import pyarrow as pa
+        import xxhash
 
-        words, piece, text = words_of(data, starts)
-        if not len(words):
-            return
-        coded = words.dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        pairs = codes[text] * len(known) + coded.indices.to_numpy(zero_copy_only=False)
-        numbers, distinct = pd.factorize(pairs)
-        ids = np.fromiter((self._id(x // len(known), known[x % len(known)]) for x in distinct.tolist()), np.int64, len(distinct))
-        self.block.append((ids[numbers], piece + self.piece))
-        self.piece += int(piece[-1]) + 1
-        self.waiting += len(words)
-
-    def _id(self, language: int, word: bytes) -> int:
-        key = (language, word)
-        found = self.ids.get(key)
-        if found is None:
-            import xxhash
-
-            found = self.ids[key] = len(self.words)
-            name = self.names[language]
-            self.words.append(word)
-            self.word_language.append(language)
-            self.word_hash.append(xxhash.xxh3_64_intdigest(f"{len(name)}:{name}".encode() + word))
-        return found
-
-    def flush(self):
         if not self.block:
             return
-        words, piece = (np.concatenate(x) for x in zip(*self.block))
+        words, piece, language = zip(*self.block)
         self.block, self.waiting = [], 0
-        yield from self._counted(words, piece)
+        coded = pa.chunked_array(words).dictionary_encode().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        known, names = coded.dictionary, list(self.languages)
+        pairs = np.concatenate(language) * len(known) + coded.indices.to_numpy(zero_copy_only=False)
+        numbers, distinct = pd.factorize(pairs)
+        of_word, spelled = distinct // len(known), known.take(pa.array(distinct % len(known)))
+        seeds = [f"{len(x)}:{x}".encode() for x in names]
+        hashed = (xxhash.xxh3_64_intdigest(seeds[n] + w) for n, w in zip(of_word.tolist(), spelled.to_pylist()))
+        hashes = np.fromiter(hashed, np.uint64, len(distinct))
+        yield from self._counted(numbers, np.concatenate(piece), hashes, of_word, pa.array(names, pa.string()), spelled)
 
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> self.shift).astype(np.int64)
 
-    def _counted(self, words: np.ndarray, piece: np.ndarray):
-        import pandas as pd
-        import pyarrow as pa
-
-        language, hashes = np.array(self.word_language, np.int64), np.array(self.word_hash, np.uint64)
-        names, spelled = pa.array(self.names, pa.string()), pa.array(self.words, pa.binary())
+    def _counted(self, words: np.ndarray, piece: np.ndarray, hashes: np.ndarray, language: np.ndarray, names, spelled):
+        """``words`` are numbers of ``spelled`` words, which have a hash and the number of a language's name."""
+        slot = self._slots(hashes)
         if self.step < self.shards:  # words are counted in the first cycle
             counts = np.bincount(words, minlength=len(language))
             totals = np.bincount(language, counts, len(names)).astype(np.int64)
-            found = np.flatnonzero(counts)
-            yield from self._rows(names, spelled, language, [found], self._slots(hashes[found]), counts[found])
-            yield from self._rows(names, spelled, None, [np.flatnonzero(totals)], None, totals[totals > 0])
-        slot = self._slots(hashes)
-        first, last = self.first[slot][words], self.last[slot][words]
-        # Of the phrases of one size less that may have reached the threshold: where they stand, which they are, and when.
+            yield from self._rows(names, spelled, language, [np.arange(len(language))], slot, np.zeros(len(slot)), counts)
+            yield from self._rows(names, None, None, [np.flatnonzero(totals)], None, None, totals[totals > 0])
+        first = self.first[slot][words]
+        # Of the phrases of one size less whose slot has reached the threshold: where they stand, when, and their hash.
         place = np.flatnonzero(first != NEVER)
-        first, last, code, mixed = first[place], last[place], words[place], hashes[words[place]]
+        first, mixed = first[place], hashes[words[place]]
         for size in range(2, self.longest + 1):
             joined = np.flatnonzero((place[1:] == place[:-1] + 1) & (piece[place[:-1]] == piece[place[:-1] + size - 1]))
-            place, next_word = place[joined], words[place[joined] + size - 1]
-            if not len(place):
-                return
+            place = place[joined]
             since = np.maximum(first[joined], first[joined + 1]).astype(np.int64)
-            until = np.maximum(last[joined], last[joined + 1]).astype(np.int64) + self.shards
-            code, distinct = pd.factorize(code[joined] << 32 | next_word)
-            mixed = mixed[joined] * _MULTIPLIER + hashes[next_word]
+            mixed = mixed[joined] * _MULTIPLIER + hashes[words[place + size - 1]]
             mixed = (mixed ^ (mixed >> np.uint64(31))) * _MULTIPLIER
-            active = np.flatnonzero((since < self.step) & (self.step <= until))
-            counts = np.bincount(code[active], minlength=len(distinct))
-            one = np.zeros(len(distinct), np.int64)
-            one[code[active]] = active  # a place of each
-            found = np.flatnonzero(counts)
-            one = one[found]
-            parts = [words[place[one] + i] for i in range(size)]
-            yield from self._rows(names, spelled, language, parts, self._slots(mixed[one]), counts[found])
-            slot = self._slots(mixed)
-            first, last = self.first[slot], self.last[slot]
-            going = np.flatnonzero(first != NEVER)
-            place, first, last, code, mixed = place[going], first[going], last[going], code[going], mixed[going]
-
-    def _rows(self, names, spelled, language, parts: list[np.ndarray], slots, counts: np.ndarray):
+            active = np.flatnonzero((since < self.step) & (self.step <= since + self.shards))
+            code, one = _grouped(words, place[active], size, mixed[active])
+            parts = [words[place[active[one]] + i] for i in range(size)]
+            slot, start = self._slots(mixed[active[one]]), since[active[one]] + 1
+            yield from self._rows(names, spelled, language, parts, slot, start, np.bincount(code, minlength=len(one)))
+            if size < self.longest:
+                first = self.first[self._slots(mixed)]
+                going = np.flatnonzero(first != NEVER)
+                place, first, mixed = place[going], first[going], mixed[going]
+
+    def _rows(self, names, spelled, language, parts: list[np.ndarray], slots, starts, counts: np.ndarray):
         """Record batches of phrases given by their words; without ``language`` totals by language."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for i in range(0, len(counts), ROWS_AT_ONCE):
-            here = [p[i : i + ROWS_AT_ONCE] for p in parts]
+            part = slice(i, i + ROWS_AT_ONCE)
+            here = [p[part] for p in parts]
             n = len(here[0])
             if language is None:
-                lang, phrase, size, slot = names.take(pa.array(here[0])), pa.array([""] * n), 0, np.zeros(n, np.int32)
+                phrase, lang, size = pa.array([""] * n), names.take(pa.array(here[0])), 0
+                slot = start = np.zeros(n, np.int32)
             else:
-                lang, size, slot = names.take(pa.array(language[here[0]])), len(parts), slots[i : i + ROWS_AT_ONCE].astype(np.int32)
                 each = [spelled.take(pa.array(p)) for p in here]
-                phrase = (pc.binary_join_element_wise(*each, b" ") if size > 1 else each[0]).cast(pa.string())
-            columns = [lang, pa.array(np.full(n, size, np.int32)), phrase, pa.array(slot), pa.array(counts[i : i + ROWS_AT_ONCE])]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "slot", "count"])
+                phrase = (pc.binary_join_element_wise(*each, b" ") if len(each) > 1 else each[0]).cast(pa.string())
+                lang, size = names.take(pa.array(language[here[0]])), len(parts)
+                slot, start = slots[part].astype(np.int32), starts[part].astype(np.int32)
+            columns = [phrase, lang, *map(pa.array, (np.full(n, size, np.int32), slot, start, counts[part].astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["phrase", "lang", "size", "slot", "start", "count"])
+
+
+def _grouped(words: np.ndarray, place: np.ndarray, size: int, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each place's phrase, a place's index for each number): by hash, and by the words should two hashes be equal."""
+    import pandas as pd
+
+    def with_one(code, n):
+        one = np.zeros(n, np.int64)
+        one[code] = np.arange(len(code))
+        return code, one
+
+    code, distinct = pd.factorize(mixed)
+    code, one = with_one(code, len(distinct))
+    if all(np.array_equal(words[place + i], words[place[one] + i][code]) for i in range(size)):
+        return code, one
+    code = words[place]
+    for i in range(1, size):
+        code, distinct = pd.factorize(code << 32 | words[place + i])
+    return with_one(code, len(distinct))
 
 
 class _Kept:
@@ -246,67 +243,39 @@ def sharded(docs: DataFrame, shards: int, lang_col: str = "lang", text_col: str
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def _first_words(size: Column | int) -> Column:
-    return F.call_function("substring_index", F.col("phrase"), F.lit(" "), size if isinstance(size, Column) else F.lit(size))
+def _first_words(size: Column) -> Column:
+    return F.call_function("substring_index", F.col("phrase"), F.lit(" "), size)
 
 
-def _exactly_active(counted: DataFrame, phrases: DataFrame, step: int, shards: int) -> DataFrame:
-    """The counted phrases of two words and more that are active at this step, with their ``start``."""
-    reached = phrases.where(F.col("reach").isNotNull())
-    without_last = reached.select("lang", F.col("phrase").alias("without_last"), F.col("reach").alias("reach_1"))
-    without_first = reached.select("lang", F.col("phrase").alias("without_first"), F.col("reach").alias("reach_2"))
-    return (
-        counted.where(F.col("size") > 1)
-        .withColumn("without_last", _first_words(F.col("size") - 1))
-        .withColumn("without_first", _first_words(1 - F.col("size")))
-        .join(without_last, ["lang", "without_last"])
-        .join(without_first, ["lang", "without_first"])
-        .withColumn("start", F.greatest("reach_1", "reach_2") + 1)
-        .where((F.col("start") <= step) & (F.col("start") + shards > step))
-    )
-
-
-def _scan(
-    shard: DataFrame, phrases: DataFrame, step: int, shards: int, threshold: int, longest: int, filter_bits: int, filters
-) -> DataFrame:
+def _scan(shard: DataFrame, phrases: DataFrame, step: int, shards: int, threshold: int, longest: int, filters) -> DataFrame:
     """The table of phrases after one step."""
 
     def run(batches):
-        counter = ShardCounter(step, shards, longest, filter_bits, *filters.value)
+        counter = ShardCounter(step, shards, longest, filters.value)
         for batch in batches:
             yield from counter.batch(batch.column(0).to_pylist(), batch.column(1))
         yield from counter.flush()
 
-    counted = (
-        shard.select("lang", "text").mapInArrow(run, COUNTED)
-        .groupBy("lang", "size", "phrase").agg(F.first("slot").alias("slot"), F.sum("count").alias("count"))
-    )
-    columns = ["lang", "size", "phrase", "slot", "start", "reach", "count"]
-    none = F.lit(None).cast("int")
-    added = [counted.where(F.col("size") <= 1).withColumn("start", F.lit(0))] if step < shards else []
-    if step:
-        added.append(_exactly_active(counted, phrases, step, shards))
-    together = phrases
-    for rows in added:
-        together = together.unionByName(rows.withColumn("reach", none).select(*columns))
-    summed = together.groupBy("lang", "size", "phrase").agg(
-        F.first("slot").alias("slot"), F.min("start").alias("start"), F.min("reach").alias("reach"), F.sum("count").alias("count")
+    counted = shard.select("lang", "text").mapInArrow(run, COUNTED).withColumn("reach", F.lit(None).cast("int"))
+    summed = (
+        phrases.unionByName(counted).groupBy("phrase", "lang")
+        .agg(*[F.min(c).alias(c) for c in ("size", "slot", "start", "reach")], F.sum("count").alias("count"))
     )
     now = F.when((F.col("size") > 0) & (F.col("count") >= threshold), F.lit(step))
     over = (F.col("size") > 0) & F.col("reach").isNull() & (F.col("start") + shards - 1 <= step)
+    columns = ["phrase", "lang", "size", "slot", "start", "reach", "count"]
     return summed.withColumn("reach", F.coalesce("reach", now).cast("int")).where(~over).select(*columns)
 
 
-def _filters(phrases: DataFrame, longest: int, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last step by slot; one row per slot reaches the driver."""
+def _filter(phrases: DataFrame, longest: int, filter_bits: int) -> np.ndarray:
+    """The first step by slot; one row per slot reaches the driver."""
     slots = (
         phrases.where(F.col("reach").isNotNull() & (F.col("size") < longest))
-        .groupBy("slot").agg(F.min("reach").alias("first"), F.max("reach").alias("last")).toArrow()
+        .groupBy("slot").agg(F.min("reach").alias("first")).toArrow()
     )
-    first, last = np.full(1 << filter_bits, NEVER, np.uint8), np.full(1 << filter_bits, NEVER, np.uint8)
-    at = slots.column("slot").to_numpy()
-    first[at], last[at] = slots.column("first").to_numpy(), slots.column("last").to_numpy()
-    return first, last
+    first = np.full(1 << filter_bits, NEVER, np.uint8)
+    first[slots.column("slot").to_numpy()] = slots.column("first").to_numpy()
+    return first
 
 
 def phrase_counts(
@@ -318,7 +287,7 @@ def phrase_counts(
     lang_col: str = "lang",
     text_col: str = "text",
 ) -> DataFrame:
-    """(lang, size, phrase, slot, start, reach, count): all phrases of 1 to ``longest`` words found ``threshold`` times or more.
+    """(phrase, lang, size, slot, start, reach, count): all phrases of 1 to ``longest`` words found ``threshold`` times or more.
 
     ``start`` and ``reach`` are the steps at which a phrase became active and
     reached the threshold. A row of size 0 holds the language's number of words.
@@ -330,15 +299,15 @@ def phrase_counts(
     dealt = sharded(docs, shards, lang_col, text_col)
     kept = _Kept(spark, "phrases")
     phrases = spark.createDataFrame([], PHRASES)
-    filters = _filters(phrases, longest, filter_bits)
+    first = np.full(1 << filter_bits, NEVER, np.uint8)
     step, newest = 0, -1
     while step < shards or step <= newest + shards:
-        sent = spark.sparkContext.broadcast(filters)
+        sent = spark.sparkContext.broadcast(first)
         shard = dealt.where(F.col("shard") == step % shards)
-        phrases = kept.put(_scan(shard, phrases, step, shards, threshold, longest, filter_bits, sent))
+        phrases = kept.put(_scan(shard, phrases, step, shards, threshold, longest, sent))
         sent.destroy()
-        filters = _filters(phrases, longest, filter_bits)
-        newest = max((int(x) for x in np.unique(filters[1]) if x != NEVER), default=-1)
+        first = _filter(phrases, longest, filter_bits)
+        newest = int(first[first != NEVER].max(initial=0)) if (first != NEVER).any() else -1
         step += 1
     return phrases
 

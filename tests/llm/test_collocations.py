@@ -93,8 +93,8 @@ def test_longer_phrases_start_before_a_cycle_is_over_and_take_a_full_one(spark):
     reach = {p: r for p, (_, r) in steps.items()}
     for p, (start, _) in steps.items():
         words = p.split(" ")
-        if len(words) > 1:
-            assert start == max(reach[" ".join(words[1:])], reach[" ".join(words[:-1])]) + 1
+        if len(words) > 1:  # early at most, where another phrase shares the slot
+            assert start <= max(reach[" ".join(words[1:])], reach[" ".join(words[:-1])]) + 1
     assert {r["phrase"]: r["count"] for r in found.collect()}["alpha beta gamma delta"] == 40 * 30
 
 
@@ -127,7 +127,7 @@ def test_small_chunks_and_blocks_give_the_same_counts(monkeypatch):
     def counted(chunk, block):
         monkeypatch.setattr(c, "CHUNK_BYTES", chunk)
         monkeypatch.setattr(c, "BLOCK_WORDS", block)
-        counter, total = c.ShardCounter(1, 4, 4, 4, never, never), Counter()
+        counter, total = c.ShardCounter(1, 4, 4, never), Counter()
         for part in (slice(0, 7), slice(7, None)):
             batches = [*counter.batch(languages[part], texts[part.start : part.stop])]
             for b in batches:
@@ -141,8 +141,11 @@ def test_small_chunks_and_blocks_give_the_same_counts(monkeypatch):
     for lang, counts in brute_counts([(t, x) for (t, _), x in zip(rows, languages)], 4).items():
         expected.update({(lang, " ".join(p)): f for p, f in counts.items()})
         expected[lang, ""] = sum(f for p, f in counts.items() if len(p) == 1)
+    expected = {k: f for k, f in expected.items() if f}
     for chunk, block in [(4 << 20, 1 << 21), (60, 20), (1, 1)]:
-        assert counted(chunk, block) == {k: f for k, f in expected.items() if f}
+        assert counted(chunk, block) == expected
+    monkeypatch.setattr(c, "_MULTIPLIER", np.uint64(0))  # all phrases have one hash
+    assert counted(4 << 20, 1 << 21) == expected
 
 
 def test_words_of_texts_that_touch():
@@ -155,7 +158,7 @@ def test_words_of_texts_that_touch():
 
 def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 2**62 - 1, 2**62 + 5, 2**62 + 7
-    rows = [("en", 1, "x", 0, 0, 0, left), ("en", 1, "y", 0, 0, 0, right), ("en", 2, "x y", 0, 1, 1, a)]
+    rows = [("x", "en", 1, 0, 0, 0, left), ("y", "en", 1, 0, 0, 0, right), ("x y", "en", 2, 0, 1, 1, a)]
     found = scored(spark.createDataFrame(rows, c.PHRASES)).collect()
     assert [(r["l"], r["r"], r["score"]) for r in found] == [(left, right, 2_000_000 * a // (left + right))]
     longer = [("en", "x y", 2, a, 1), ("en", "x y z", 3, a * 8 // 10 + 1, 1), ("en", "y z", 2, a - 1, 1)]
