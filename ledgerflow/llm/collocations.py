@@ -48,11 +48,11 @@ THRESHOLD = 30
 LONGEST = 4
 TOP = 2000
 CONTAINED_PERCENT = 80
-SHARDS = 4
+SHARDS = 3
 FILTER_BITS = 24
 # Bytes of text cut into words at once, and words counted at once.
 CHUNK_BYTES = 4 << 20
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 3 << 19
 ROWS_AT_ONCE = 100_000
 NO_LANGUAGE = "und"
 NEVER = 255
@@ -66,8 +66,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-COUNTED = "phrase string, lang string, size int, slot int, start int, count bigint"
-PHRASES = "phrase string, lang string, size int, slot int, start int, reach int, count bigint"
+COUNTED = "phrase string, lang string, slot int, start int, count bigint"
+PHRASES = "phrase string, lang string, slot int, start int, reach int, count bigint"
 
 
 def words_of(data: np.ndarray, starts: np.ndarray):
@@ -90,7 +90,7 @@ def words_of(data: np.ndarray, starts: np.ndarray):
 
 
 class ShardCounter:
-    """Counts of one task's texts at one step: rows (phrase, lang, size, slot, start, count) of the active phrases.
+    """Counts of one task's texts at one step: rows (phrase, lang, slot, start, count) of the active phrases.
 
     ``first`` has for each slot the first step at which a phrase of it reached the threshold, or ``NEVER``.
     """
@@ -115,7 +115,7 @@ class ShardCounter:
             end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
             words, piece, text = words_of(data[offsets[row] : offsets[end]], offsets[row:end] - offsets[row])
             if len(words):
-                self.block.append((words, piece + self.piece, codes[row:end][text]))
+                self.block.append((words, (piece + self.piece).astype(np.int32), codes[row:end][text].astype(np.int32)))
                 self.piece += int(piece[-1]) + 1
                 self.waiting += len(words)
             row = end
@@ -131,17 +131,19 @@ class ShardCounter:
         if not self.block:
             return
         words, piece, language = zip(*self.block)
-        self.block, self.waiting = [], 0
+        self.block, self.waiting, self.piece = [], 0, 0
         coded = pa.chunked_array(words).dictionary_encode().combine_chunks()
         coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
         known, names = coded.dictionary, list(self.languages)
-        pairs = np.concatenate(language) * len(known) + coded.indices.to_numpy(zero_copy_only=False)
+        pairs = np.concatenate(language).astype(np.int64) * len(known) + coded.indices.to_numpy(zero_copy_only=False)
         numbers, distinct = pd.factorize(pairs)
+        numbers, piece = numbers.astype(np.int32), np.concatenate(piece)
+        del words, language, coded, pairs
         of_word, spelled = distinct // len(known), known.take(pa.array(distinct % len(known)))
         seeds = [f"{len(x)}:{x}".encode() for x in names]
         hashed = (xxhash.xxh3_64_intdigest(seeds[n] + w) for n, w in zip(of_word.tolist(), spelled.to_pylist()))
         hashes = np.fromiter(hashed, np.uint64, len(distinct))
-        yield from self._counted(numbers, np.concatenate(piece), hashes, of_word, pa.array(names, pa.string()), spelled)
+        yield from self._counted(numbers, piece, hashes, of_word, pa.array(names, pa.string()), spelled)
 
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> self.shift).astype(np.int64)
@@ -161,7 +163,7 @@ class ShardCounter:
         for size in range(2, self.longest + 1):
             joined = np.flatnonzero((place[1:] == place[:-1] + 1) & (piece[place[:-1]] == piece[place[:-1] + size - 1]))
             place = place[joined]
-            since = np.maximum(first[joined], first[joined + 1]).astype(np.int64)
+            since = np.maximum(first[joined], first[joined + 1]).astype(np.int16)
             mixed = mixed[joined] * _MULTIPLIER + hashes[words[place + size - 1]]
             mixed = (mixed ^ (mixed >> np.uint64(31))) * _MULTIPLIER
             active = np.flatnonzero((since < self.step) & (self.step <= since + self.shards))
@@ -184,15 +186,15 @@ class ShardCounter:
             here = [p[part] for p in parts]
             n = len(here[0])
             if language is None:
-                phrase, lang, size = pa.array([""] * n), names.take(pa.array(here[0])), 0
+                phrase, lang = pa.array([""] * n), names.take(pa.array(here[0]))
                 slot = start = np.zeros(n, np.int32)
             else:
                 each = [spelled.take(pa.array(p)) for p in here]
                 phrase = (pc.binary_join_element_wise(*each, b" ") if len(each) > 1 else each[0]).cast(pa.string())
-                lang, size = names.take(pa.array(language[here[0]])), len(parts)
+                lang = names.take(pa.array(language[here[0]]))
                 slot, start = slots[part].astype(np.int32), starts[part].astype(np.int32)
-            columns = [phrase, lang, *map(pa.array, (np.full(n, size, np.int32), slot, start, counts[part].astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, ["phrase", "lang", "size", "slot", "start", "count"])
+            columns = [phrase, lang, pa.array(slot), pa.array(start), pa.array(counts[part].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["phrase", "lang", "slot", "start", "count"])
 
 
 def _grouped(words: np.ndarray, place: np.ndarray, size: int, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +210,7 @@ def _grouped(words: np.ndarray, place: np.ndarray, size: int, mixed: np.ndarray)
     code, one = with_one(code, len(distinct))
     if all(np.array_equal(words[place + i], words[place[one] + i][code]) for i in range(size)):
         return code, one
-    code = words[place]
+    code = words[place].astype(np.int64)
     for i in range(1, size):
         code, distinct = pd.factorize(code << 32 | words[place + i])
     return with_one(code, len(distinct))
@@ -243,6 +245,12 @@ def sharded(docs: DataFrame, shards: int, lang_col: str = "lang", text_col: str
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def _size() -> Column:
+    """The number of words of ``phrase``."""
+    spaces = F.length("phrase") - F.length(F.replace(F.col("phrase"), F.lit(" "), F.lit("")))
+    return F.when(F.col("phrase") == "", 0).otherwise(spaces + 1).cast("int")
+
+
 def _first_words(size: Column) -> Column:
     return F.call_function("substring_index", F.col("phrase"), F.lit(" "), size)
 
@@ -259,18 +267,18 @@ def _scan(shard: DataFrame, phrases: DataFrame, step: int, shards: int, threshol
     counted = shard.select("lang", "text").mapInArrow(run, COUNTED).withColumn("reach", F.lit(None).cast("int"))
     summed = (
         phrases.unionByName(counted).groupBy("phrase", "lang")
-        .agg(*[F.min(c).alias(c) for c in ("size", "slot", "start", "reach")], F.sum("count").alias("count"))
+        .agg(*[F.min(c).alias(c) for c in ("slot", "start", "reach")], F.sum("count").alias("count"))
     )
-    now = F.when((F.col("size") > 0) & (F.col("count") >= threshold), F.lit(step))
-    over = (F.col("size") > 0) & F.col("reach").isNull() & (F.col("start") + shards - 1 <= step)
-    columns = ["phrase", "lang", "size", "slot", "start", "reach", "count"]
+    now = F.when((F.col("phrase") != "") & (F.col("count") >= threshold), F.lit(step))
+    over = (F.col("phrase") != "") & F.col("reach").isNull() & (F.col("start") + shards - 1 <= step)
+    columns = ["phrase", "lang", "slot", "start", "reach", "count"]
     return summed.withColumn("reach", F.coalesce("reach", now).cast("int")).where(~over).select(*columns)
 
 
 def _filter(phrases: DataFrame, longest: int, filter_bits: int) -> np.ndarray:
     """The first step by slot; one row per slot reaches the driver."""
     slots = (
-        phrases.where(F.col("reach").isNotNull() & (F.col("size") < longest))
+        phrases.where(F.col("reach").isNotNull() & (_size() < longest))
         .groupBy("slot").agg(F.min("reach").alias("first")).toArrow()
     )
     first = np.full(1 << filter_bits, NEVER, np.uint8)
@@ -287,7 +295,7 @@ def phrase_counts(
     lang_col: str = "lang",
     text_col: str = "text",
 ) -> DataFrame:
-    """(phrase, lang, size, slot, start, reach, count): all phrases of 1 to ``longest`` words found ``threshold`` times or more.
+    """(phrase, lang, slot, start, reach, count, size): all phrases of 1 to ``longest`` words found ``threshold`` times or more.
 
     ``start`` and ``reach`` are the steps at which a phrase became active and
     reached the threshold. A row of size 0 holds the language's number of words.
@@ -309,7 +317,7 @@ def phrase_counts(
         first = _filter(phrases, longest, filter_bits)
         newest = int(first[first != NEVER].max(initial=0)) if (first != NEVER).any() else -1
         step += 1
-    return phrases
+    return phrases.withColumn("size", _size())
 
 
 def _exact(column: str) -> Column:

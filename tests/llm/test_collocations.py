@@ -85,7 +85,7 @@ def test_counts_and_collocations_match_brute_force(spark, shards, filter_bits, l
 
 def test_longer_phrases_start_before_a_cycle_is_over_and_take_a_full_one(spark):
     rows = [("alpha beta gamma delta " * 30, "en")] * 40 + [(f"rare{i % 50} word{i % 50}", "en") for i in range(400)]
-    found = phrase_counts(frame(spark, rows), 6).where("size > 0")
+    found = phrase_counts(frame(spark, rows), 6, shards=4).where("size > 0")
     steps = {r["phrase"]: (r["start"], r["reach"]) for r in found.collect()}
     assert steps["alpha"] == (0, 0) and steps["alpha beta"] == (1, 1) and steps["alpha beta gamma"] == (2, 2)
     assert steps["alpha beta gamma delta"][0] == 3
@@ -158,8 +158,8 @@ def test_words_of_texts_that_touch():
 
 def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 2**62 - 1, 2**62 + 5, 2**62 + 7
-    rows = [("x", "en", 1, 0, 0, 0, left), ("y", "en", 1, 0, 0, 0, right), ("x y", "en", 2, 0, 1, 1, a)]
-    found = scored(spark.createDataFrame(rows, c.PHRASES)).collect()
+    rows = [("x", "en", 0, 0, 0, left, 1), ("y", "en", 0, 0, 0, right, 1), ("x y", "en", 0, 1, 1, a, 2)]
+    found = scored(spark.createDataFrame(rows, f"{c.PHRASES}, size int")).collect()
     assert [(r["l"], r["r"], r["score"]) for r in found] == [(left, right, 2_000_000 * a // (left + right))]
     longer = [("en", "x y", 2, a, 1), ("en", "x y z", 3, a * 8 // 10 + 1, 1), ("en", "y z", 2, a - 1, 1)]
     kept = c.without_contained(spark.createDataFrame(longer, "lang string, phrase string, size int, a bigint, score bigint"))
