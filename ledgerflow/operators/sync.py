@@ -31,16 +31,27 @@ writer per target at a time.
 
 from __future__ import annotations
 
-import datetime as _dt
 import uuid
-from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.session import path_exists
+from ledgerflow.operators.keyed_table import KeyedTable
+from ledgerflow.operators.sync_log import (
+    BLOCK,
+    INTENT,
+    RESULT,
+    CycleResult,
+    append_log,
+    block_of,
+    compact_log,
+    logged_stages,
+    utc_now,
+)
+from ledgerflow.session import delete_path, names_in, path_exists, temporary_path
 
 
 def high_watermark(target: DataFrame, key: str, init: object = None, alias: str = "high_watermark") -> DataFrame:
@@ -62,9 +73,12 @@ def incremental_batch(
     since: object = None,
     limit: int | None = None,
     columns: Sequence[str] | None = None,
+    up_to: object = None,
 ) -> DataFrame:
     """Rows with ``key > since``; with a ``limit`` up to the limit-th smallest key, in key order.
 
+    ``up_to`` is a last key that is known already (see ``batch_edges``).
+
     Rows that repeat the last key all belong to the batch, so with repeated
     keys it can hold more than ``limit`` rows. ``since=None`` means no lower
     bound (rows with a NULL key are never part of a batch). The literal
@@ -72,6 +86,8 @@ def incremental_batch(
     """
     df = source.select(*(columns or source.columns))
     df = df.where(F.col(key).isNotNull() if since is None else F.col(key) > F.lit(since))
+    if up_to is not None:
+        df = df.where(F.col(key) <= F.lit(up_to))
     if limit is None:
         return df
     # The limit-th smallest key is found on the key column alone (a per-task
@@ -134,13 +150,16 @@ def rows_between(df: DataFrame, key: str, low: object, high: object) -> DataFram
     return df.where(F.col(key).between(F.lit(low), F.lit(high)))
 
 
-def absent_rows(batch: DataFrame, existing: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:
+def absent_rows(
+    batch: DataFrame, existing: DataFrame, key: str, order_by: Sequence[str] | None = None, join: str | None = None
+) -> DataFrame:
     """The first row of each of the batch's keys that ``existing`` lacks.
 
     The aggregate's partitioning by key also serves the anti-join, so the
-    batch is shuffled once.
+    batch is shuffled once. ``join`` names a join strategy (a hint).
     """
-    return first_per_key(batch, key, order_by).join(existing.select(key), key, "left_anti")
+    known = existing.select(key)
+    return first_per_key(batch, key, order_by).join(known.hint(join) if join else known, key, "left_anti")
 
 
 def insert_if_absent(
@@ -158,70 +177,38 @@ def insert_if_absent(
     the batch is not recounted) plus the batch's size and key range
     (``known_range``, if the caller has taken it already).
 
-    A batch whose key range is free in the target is not joined to it; one
-    that overlaps is first compared by its keys alone, and nothing is written
-    (not even an empty file) if the target has them all.
+    The batch is shuffled once. A batch whose key range is free in the target
+    is not joined to it; one that overlaps meets the target's keys in its range
+    in one anti-join. If that leaves nothing, the empty file that the write
+    made is taken away again. A ``KeyedTable`` at the path is not shuffled
+    either, and looked at once.
     """
     count, low, high = known_range or batch_range(batch, key)
     if not count:
         return InsertResult(0, 0, None, None)
-    rows = first_per_key(batch, key, order_by)
+    keyed = KeyedTable.at(spark, target_path)
+    if keyed is not None:
+        existing = rows_between(keyed.rows(), key, low, high)
+        with keyed.exchanges_as_bucketed():
+            inserted = _observed(absent_rows(batch, existing, key, order_by, join="merge"), keyed.append)
+        return InsertResult(inserted, count, low, high)
+    rows, names = first_per_key(batch, key, order_by), None
     if path_exists(spark, target_path):
         existing = rows_between(spark.read.schema(batch.schema).parquet(target_path), key, low, high).select(key)
         if not existing.isEmpty():
-            if batch.select(key).where(F.col(key).isNotNull()).join(existing, key, "left_anti").isEmpty():
-                return InsertResult(0, count, low, high)
-            rows = absent_rows(batch, existing, key, order_by)
-    observation = Observation("insert_if_absent")
-    rows.observe(observation, F.count(F.lit(1)).alias("inserted")).write.mode("append").parquet(target_path)
-    return InsertResult(int(observation.get["inserted"]), count, low, high)
-
-
-# Log of cycles and micro-batches: an intent row before the write, a result row after it.
-INTENT, RESULT = "intent", "result"
-
-
-def log_schema(key_type: T.DataType) -> T.StructType:
-    """Schema of a log whose key columns have the type of the synced key."""
-    long = T.LongType()
-    return T.StructType(
-        [
-            T.StructField("cycle", long, False),
-            T.StructField("logged_at", T.TimestampNTZType(), False),  # UTC wall clock
-            T.StructField("found", long, False),
-            T.StructField("first_key", key_type, True),
-            T.StructField("last_key", key_type, True),
-            T.StructField("inserted", long, True),
-            T.StructField("watermark", key_type, True),
-            T.StructField("source_count", long, True),  # NULL: not asked for, or the side is unreadable
-            T.StructField("target_count", long, True),
-            T.StructField("remaining_lag", long, True),
-            T.StructField("stage", T.StringType(), False),
-            T.StructField("range_before", long, True),  # target rows in the batch's key range before the write
-            T.StructField("run", T.StringType(), True),  # one run_sync call, or a stream's checkpoint
-        ]
-    )
+            rows, names = absent_rows(batch, existing, key, order_by), names_in(spark, target_path)
+    inserted = _observed(rows, lambda df: df.write.mode("append").parquet(target_path))
+    if not inserted and names is not None:  # one writer per target: what is new there is the empty file
+        for name in set(names_in(spark, target_path)) - set(names):
+            delete_path(spark, f"{target_path.rstrip('/')}/{name}")
+    return InsertResult(inserted, count, low, high)
 
 
-@dataclass
-class CycleResult:
-    cycle: int
-    logged_at: _dt.datetime
-    found: int
-    first_key: object
-    last_key: object
-    inserted: int | None
-    watermark: object
-    source_count: int | None
-    target_count: int | None
-    remaining_lag: int | None
-    stage: str = RESULT
-    range_before: int | None = None
-    run: str | None = None
-
-
-def utc_now() -> _dt.datetime:
-    return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+def _observed(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """The number of rows written, as the write itself counts them."""
+    observation = Observation("insert_if_absent")
+    write(rows.observe(observation, F.count(F.lit(1)).alias("inserted")))
+    return int(observation.get["inserted"])
 
 
 def count_or_none(open_table: Callable[[], DataFrame]) -> int | None:
@@ -243,32 +230,6 @@ def side_counts(
     return source_count, target_count, lag
 
 
-def append_log(spark: SparkSession, log_path: str, entry: CycleResult, key_type: T.DataType) -> None:
-    """Append one row to the log, a table partitioned by run."""
-    row = spark.createDataFrame([tuple(asdict(entry).values())], log_schema(key_type))
-    row.coalesce(1).write.mode("append").partitionBy("run").parquet(log_path)
-
-
-def _log_rows(spark: SparkSession, log_path: str) -> DataFrame:
-    found = spark.read.parquet(log_path).schema
-    # The run is text, whatever its partition folders' names look like.
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "run" else f.dataType) for f in found])
-    return spark.read.schema(schema).parquet(log_path)
-
-
-def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    """The log's result rows."""
-    return _log_rows(spark, log_path).where(F.col("stage") == RESULT).drop("stage", "range_before")
-
-
-def logged_stages(spark: SparkSession, log_path: str, run: str, cycle: int) -> dict[str, int | None]:
-    """Stage -> range_before of what the log has of one cycle; only the run's partition is read."""
-    if not path_exists(spark, log_path):
-        return {}
-    rows = _log_rows(spark, log_path).where((F.col("run") == run) & (F.col("cycle") == cycle))
-    return {r["stage"]: r["range_before"] for r in rows.select("stage", "range_before").collect()}  # two rows at most
-
-
 def logged_insert(
     spark: SparkSession,
     batch: DataFrame,
@@ -280,6 +241,7 @@ def logged_insert(
     order_by: Sequence[str] | None = None,
     previous_watermark: object = None,
     source: Callable[[], DataFrame] | None = None,
+    known_range: tuple[int, object, object] | None = None,
 ) -> CycleResult | None:
     """``insert_if_absent`` with an intent row before the write and a result row after it.
 
@@ -293,7 +255,9 @@ def logged_insert(
     stages = logged_stages(spark, log_path, run, cycle)
     if RESULT in stages:
         return None
-    count, low, high = batch_range(batch, key)
+    if cycle % BLOCK == 0 and not stages:
+        compact_log(spark, log_path, run, block_of(cycle))
+    count, low, high = known_range or batch_range(batch, key)
 
     def in_range() -> int:
         if not count or not path_exists(spark, target_path):
@@ -305,16 +269,78 @@ def logged_insert(
         before = stages[INTENT] or 0
     else:
         before = in_range()
-        intent = CycleResult(cycle, utc_now(), count, low, high, None, watermark, None, None, None, INTENT, before, run)
+        intent = CycleResult(cycle, utc_now(), count, low, high, None, watermark, None, None, None, INTENT, before, run=run)
         append_log(spark, log_path, intent, key_type)
     written = insert_if_absent(spark, batch, target_path, key, order_by, (count, low, high))
     inserted = in_range() - before if INTENT in stages else written.inserted
     counts = side_counts(spark, source, target_path, batch.schema) if source is not None else (None, None, None)
-    result = CycleResult(cycle, utc_now(), count, low, high, inserted, watermark, *counts, RESULT, before, run)
+    result = CycleResult(cycle, utc_now(), count, low, high, inserted, watermark, *counts, RESULT, before, run=run)
     append_log(spark, log_path, result, key_type)
     return result
 
 
+def batch_edges(source: DataFrame, key: str, cap: int, since: object = None) -> DataFrame:
+    """(batch, first_key, last_key, rows): where each batch of ``cap`` rows above ``since`` ends, found in one pass.
+
+    The key column is scanned once. Keys are counted (a repeated key leaves
+    each task as one row), dealt out by range and sorted; each range's total
+    gives the rows before the next one, and running counts within a range the
+    rest. A key belongs to the batch that the number of rows before it says, so
+    rows that repeat a key stay together. Written, as planned batches must not
+    change between cycles; a row per batch.
+    """
+    spark = source.sparkSession
+    keys = source.select(F.col(key).alias("key"))
+    keys = keys.where(F.col("key").isNotNull() if since is None else F.col("key") > F.lit(since))
+    counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    path = temporary_path(spark, "batch-keys")
+    ranges = counted.repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
+    ranges.write.parquet(path)
+    ranges = spark.read.schema(ranges.schema).parquet(path)
+    before, offsets = 0, []
+    for part in sorted(ranges.groupBy("part").agg(F.sum("rows").alias("rows")).collect()):  # a row per range
+        offsets.append((part["part"], before))
+        before += part["rows"]
+    earlier = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        ranges.withColumn("within", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+        .join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part")
+        .withColumn("batch", F.floor((F.col("before") + F.col("within")) / F.lit(cap)).cast("long"))
+    )
+    edges = placed.groupBy("batch").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.sum("rows").alias("rows"))
+    path = temporary_path(spark, "batch-edges")
+    edges.write.parquet(path)
+    return spark.read.schema(edges.schema).parquet(path)
+
+
+def _cycle(
+    spark: SparkSession,
+    source: DataFrame,
+    batch: DataFrame,
+    target_path: str,
+    key: str,
+    watermark: object,
+    cycle: int,
+    order_by: Sequence[str] | None,
+    with_counts: bool,
+    run: str,
+    log_path: str | None,
+    known_range: tuple[int, object, object] | None = None,
+) -> CycleResult:
+    """Insert one batch; counts of both sides (and their difference) are taken after the write when ``with_counts``."""
+    if log_path:
+        return logged_insert(
+            spark, batch, target_path, key, log_path, run, cycle, order_by, watermark,
+            (lambda: source) if with_counts else None, known_range,
+        )
+    res = insert_if_absent(spark, batch, target_path, key, order_by, known_range)
+    counts = side_counts(spark, lambda: source, target_path, source.schema) if with_counts else (None, None, None)
+    new_watermark = res.last_key if res.batch_rows else watermark
+    return CycleResult(
+        cycle, utc_now(), res.batch_rows, res.first_key, res.last_key, res.inserted, new_watermark, *counts, run=run
+    )
+
+
 def sync_cycle(
     spark: SparkSession,
     source: DataFrame,
@@ -331,24 +357,41 @@ def sync_cycle(
     """One cycle: fetch the rows above ``watermark`` (``cap`` keys' worth, if given), insert the absent ones.
 
     The new watermark is the last key fetched, or the old one when nothing
-    was found. Counts of both sides (and their difference) are taken after
-    the write when ``with_counts``.
+    was found.
     """
     batch = incremental_batch(source, key, watermark, cap)
-    run = run or uuid.uuid4().hex
-    if log_path:
-        return logged_insert(
-            spark, batch, target_path, key, log_path, run, cycle, order_by, watermark,
-            (lambda: source) if with_counts else None,
-        )
-    res = insert_if_absent(spark, batch, target_path, key, order_by)
-    counts = side_counts(spark, lambda: source, target_path, source.schema) if with_counts else (None, None, None)
-    new_watermark = res.last_key if res.batch_rows else watermark
-    return CycleResult(
-        cycle, utc_now(), res.batch_rows, res.first_key, res.last_key, res.inserted, new_watermark, *counts, run=run
+    return _cycle(
+        spark, source, batch, target_path, key, watermark, cycle, order_by, with_counts, run or uuid.uuid4().hex, log_path
     )
 
 
+def _planned(
+    load: Callable[[], DataFrame], fixed: bool, key: str, cap: int, start: object
+) -> Iterator[tuple[DataFrame, DataFrame, tuple[int, object, object] | None]]:
+    """(source, batch, what is known of it) of each capped cycle, the last one empty.
+
+    A snapshot is planned once, whole. A source that may grow is planned anew
+    when the full batches of a plan are used up.
+    """
+    watermark = start
+    while True:
+        source = load()
+        edges = batch_edges(source, key, cap, watermark)
+        any_edge = False
+        # An edge at a time reaches the driver, which runs a cycle for each.
+        for edge in edges.orderBy("batch").toLocalIterator():
+            if any_edge and not fixed and edge["rows"] < cap:
+                break  # the remainder; more may have landed since
+            any_edge = True
+            source = source if fixed else load()
+            known = (edge["rows"], edge["first_key"], edge["last_key"])
+            yield source, incremental_batch(source, key, watermark, up_to=edge["last_key"]), known if fixed else None
+            watermark = edge["last_key"]
+        if fixed or not any_edge:
+            yield source, source.where(F.lit(False)), (0, None, None)
+            return
+
+
 def run_sync(
     spark: SparkSession,
     source: DataFrame | Callable[[], DataFrame],
@@ -365,21 +408,30 @@ def run_sync(
     Uncapped, one cycle copies the backlog and the next finds nothing (or
     what landed meanwhile). ``source`` is a DataFrame (a snapshot: its file
     listing is fixed when it is created) or a function returning one, called
-    at every cycle so rows that land during the run are picked up.
+    at every cycle so rows that land during the run are picked up. With a cap
+    the batches of the backlog are planned in one pass over its keys
+    (``batch_edges``), not searched for in every cycle.
 
     The watermark is read from the target once, at the start; afterwards it
     only advances to the last key of each written batch, so keys written to
     the target by someone else cannot make this run skip source rows.
     """
-    load = source if callable(source) else (lambda: source)
+    fixed = not callable(source)
+    load = (lambda: source) if fixed else source
     watermark = init
     if path_exists(spark, target_path):
         watermark = high_watermark_value(spark.read.schema(load().schema).parquet(target_path), key, init)
     run = uuid.uuid4().hex
     results: list[CycleResult] = []
+    planned = _planned(load, fixed, key, cap, watermark) if cap else None
     while not results or results[-1].found:
-        result = sync_cycle(
-            spark, load(), target_path, key, watermark, cap, len(results) + 1, order_by, with_counts, run, log_path
+        if planned is None:
+            given, known = load(), None
+            batch = incremental_batch(given, key, watermark)
+        else:
+            given, batch, known = next(planned)
+        result = _cycle(
+            spark, given, batch, target_path, key, watermark, len(results) + 1, order_by, with_counts, run, log_path, known
         )
         results.append(result)
         watermark = result.watermark

@@ -8,8 +8,10 @@ session without the setting (tests) uses a folder beside its warehouse.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -100,6 +102,45 @@ def stable_path(spark: SparkSession, name: str, *parts: str) -> str:
     return f"{shared_dir(spark)}/ledgerflow/{name}-{digest}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of the session's Hadoop configuration, or None without a driver JVM (Spark Connect)."""
+    try:
+        context = spark.sparkContext
+        hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()), hadoop_path
+    except Exception:  # noqa: BLE001 - no driver JVM
+        return None
+
+
+def names_in(spark: SparkSession, path: str) -> list[str] | None:
+    """Names of the files and folders in a folder (none if it is absent); None without a driver JVM."""
+    found = _file_system(spark, path)
+    if found is None:
+        return None
+    system, hadoop_path = found
+    return [f.getPath().getName() for f in system.listStatus(hadoop_path)] if system.exists(hadoop_path) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; False if it was not there, or there is no driver JVM to do it."""
+    found = _file_system(spark, path)
+    return bool(found and found[0].delete(found[1], True))
+
+
+@contextlib.contextmanager
+def session_settings(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings (dots written as double underscores) for the jobs started inside."""
+    wanted = {name.replace("__", "."): value for name, value in settings.items()}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` exists on its file system (local, HDFS, object store).
 

@@ -20,6 +20,7 @@ from ledgerflow.operators import (
     run_sync,
 )
 from ledgerflow.operators import sync as sync_module
+from ledgerflow.operators import sync_log
 from ledgerflow.plans import plan_text
 from ledgerflow.streaming import start_sync, stream_location, sync_until_caught_up
 
@@ -333,7 +334,7 @@ def test_log_reads_one_run_only(spark, workdir):
     for _ in range(2):
         run_sync(spark, rentals(spark, [1]), f"{workdir}/part_t", "rental_id", log_path=log, with_counts=False)
     run = read_log(spark, log).first()["run"]
-    text = plan_text(sync_module._log_rows(spark, log).where(F.col("run") == run))
+    text = plan_text(sync_log._log_rows(spark, log).where(F.col("run") == run))
     assert "PartitionFilters: [isnotnull(run" in text
 
 
