@@ -6,13 +6,19 @@
 The schema is taken from an existing copy of the table (``--schema-from``,
 default: the target). The checkpoint defaults to a folder under
 ``spark.checkpoint.dir`` derived from the target, so a restart resumes.
+
+A failed query is started again, after a delay that grows from ``--first-delay``
+to ``--longest-delay`` seconds; failures go into the log. SIGTERM or Ctrl+C
+lets the running micro-batch commit and then ends the process.
 """
 
 from __future__ import annotations
 
 import argparse
+import signal
 
 from ledgerflow.session import build_session, stable_path
+from ledgerflow.streaming.supervisor import FIRST_DELAY, LONGEST_DELAY, StopGate, run_supervised
 from ledgerflow.streaming.sync_stream import DEFAULT_INTERVAL, start_sync
 
 
@@ -28,24 +34,40 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--available-now", action="store_true", help="process what is there, then stop")
     parser.add_argument("--max-files-per-trigger", type=int)
     parser.add_argument("--counts", action="store_true", help="whole-table counts of both sides in the log, at every batch")
+    parser.add_argument("--keyed-state", action="store_true", help="keep the keys brought in a state store, not compared with the target")
+    parser.add_argument("--first-delay", type=float, default=FIRST_DELAY, help="seconds before the first restart")
+    parser.add_argument("--longest-delay", type=float, default=LONGEST_DELAY, help="most seconds before a restart")
+    parser.add_argument("--max-failures", type=int, help="give up after so many failures in a row")
     args = parser.parse_args(argv)
 
     spark = build_session(app_name="ledgerflow-sync")
+    gate = StopGate()
+    for number in (signal.SIGTERM, signal.SIGINT):
+        signal.signal(number, lambda *_: gate.request())
     schema = spark.read.parquet(args.schema_from or args.target).schema
-    query = start_sync(
-        spark, args.source, schema, args.target, args.key,
-        checkpoint=args.checkpoint or stable_path(spark, "sync-checkpoint", args.target),
-        log_path=args.log,
-        interval=args.interval,
-        available_now=args.available_now,
-        max_files_per_trigger=args.max_files_per_trigger,
-        with_counts=args.counts,
-        query_name="ledgerflow_sync",
-    )
+    checkpoint = args.checkpoint or stable_path(spark, "sync-checkpoint", args.target)
+
+    def start(gate: StopGate):
+        return start_sync(
+            spark, args.source, schema, args.target, args.key,
+            checkpoint=checkpoint,
+            log_path=args.log,
+            interval=args.interval,
+            available_now=args.available_now,
+            max_files_per_trigger=args.max_files_per_trigger,
+            with_counts=args.counts,
+            query_name="ledgerflow_sync",
+            keyed_state=args.keyed_state,
+            gate=gate,
+        )
+
     try:
-        query.awaitTermination()
-    except KeyboardInterrupt:
-        query.stop()
+        outcome = run_supervised(
+            spark, start, gate,
+            (args.log, checkpoint, schema[args.key].dataType) if args.log else None,
+            args.first_delay, args.longest_delay, args.max_failures,
+        )
+        print(f"{'stopped' if outcome.stopped else 'ended'} after {outcome.starts} starts, {outcome.failures} failures")
     finally:
         spark.stop()
 
