@@ -92,14 +92,34 @@ LIMIT 10
     "top_customers": _TOP_CUSTOMERS,
     "monthly_revenue": _MONTHLY_REVENUE,
     "monthly_revenue_partitioned": _MONTHLY_REVENUE,
+    "monthly_revenue_refreshed": _MONTHLY_REVENUE,
     "high_watermark": f"SELECT {_WATERMARK} AS high_watermark",
     "incremental_batch": f"""
 {_EVENTS_ALL}
 WHERE event_id > {_WATERMARK}
 ORDER BY event_id
 LIMIT 100
+""",
+    "parameterised_batch": f"""
+{_EVENTS_ALL}
+WHERE event_id > {_WATERMARK}
+ORDER BY event_id
+LIMIT 100
 """,
     "insert_if_absent": _SYNCED.format(middle=_MIDDLE, new="CASE WHEN event_id % 3 = 0 THEN value - 1 ELSE value END"),
+    "insert_keyed": _SYNCED.format(middle=_MIDDLE, new="CASE WHEN event_id % 3 = 0 THEN value - 1 ELSE value END"),
+    "batch_edges": f"""
+WITH backlog AS (
+    SELECT event_id, COUNT(*) * CASE WHEN event_id % 3 < 2 THEN 2 ELSE 1 END AS n
+    FROM events WHERE event_id > {_WATERMARK} GROUP BY event_id
+),
+placed AS (
+    SELECT event_id, n, COALESCE(SUM(n) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 100 AS batch
+    FROM backlog
+)
+SELECT CAST(batch AS BIGINT) AS batch, MIN(event_id) AS first_key, MAX(event_id) AS last_key, CAST(SUM(n) AS BIGINT) AS "rows"
+FROM placed GROUP BY batch
+""",
     "sync_converged": _SYNCED.format(middle=_MIDDLE, new="value"),
     "sync_log": f"""
 WITH span AS (SELECT MIN(event_id) AS low, MAX(event_id) AS high FROM events),
@@ -122,6 +142,13 @@ counted AS (
 SELECT CAST(cycle AS BIGINT) AS cycle, found, first_key, last_key, inserted, last_key AS watermark,
        source_count, target_count, source_count - target_count AS remaining_lag
 FROM counted
+""",
+    "sync_retried": """
+SELECT event_id % 3 AS cycle, MAX(event_id) AS last_key,
+       CAST(CASE WHEN event_id % 3 = 1 THEN 2 ELSE 0 END AS BIGINT) AS failures,
+       CASE WHEN event_id % 3 = 1 THEN 'ConnectionError: source is away' END AS error,
+       (SELECT COUNT(*) FROM events) AS target_rows
+FROM events GROUP BY event_id % 3
 """,
     "sync_cycles": f"""
 SELECT CAST(1 AS BIGINT) AS cycle,

@@ -19,6 +19,8 @@ print a report:
     python -m ledgerflow.plans.rental_store overview --base /data/store [--fallback /data/copy]
     python -m ledgerflow.plans.rental_store replication --base /data/store --replica /data/copy
     python -m ledgerflow.plans.rental_store sync --base /data/store --replica /data/copy [--cap N]
+    python -m ledgerflow.plans.rental_store query --base /data/store \\
+        --sql "SELECT * FROM rental WHERE rental_id > :since" --arg since=100
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow.operators.rankings import top_customers, top_items
 from ledgerflow.operators.revenue import monthly_revenue
+from ledgerflow.operators.statements import statement
 from ledgerflow.operators.status import ha_status, nest_status, sync_status
 from ledgerflow.operators.sync import run_sync
 from ledgerflow.operators.totals import overview_totals
@@ -147,10 +150,29 @@ def sync_rentals(
     target = f"{replica.rstrip('/')}/{SYNCED_TABLE}.parquet"
     results = run_sync(spark, lambda: read_table(spark, base, SYNCED_TABLE), target, SYNCED_KEY,
                        cap=cap, log_path=log_path)
-    shown = [{k: v for k, v in asdict(r).items() if k not in ("stage", "range_before")} for r in results]
+    shown = [{k: v for k, v in asdict(r).items() if k not in ("stage", "range_before", "error")} for r in results]
     return [json.dumps(r, default=str) for r in shown]
 
 
+def query(spark: SparkSession, base: str, fallback: str | None, text: str, given: list[str]) -> list[str]:
+    """Run a statement over the store's views; ``name=value`` bind its markers. One JSON object per row.
+
+    A value that reads as a JSON number, ``true`` or ``false`` is one; everything else is text.
+    """
+    register_views(spark, [(PRIMARY, base)] + ([(FALLBACK, fallback)] if fallback else []))
+    return [row[0] for row in json_rows(statement(spark, text, dict(map(parameter, given)))).toLocalIterator()]
+
+
+def parameter(given: str) -> tuple[str, object]:
+    """(name, typed value) of ``name=value``."""
+    name, _, value = given.partition("=")
+    try:
+        typed = json.loads(value)
+    except ValueError:
+        typed = value
+    return name, typed if isinstance(typed, (bool, int, float)) else value
+
+
 def run_report(
     spark: SparkSession,
     report: str,
@@ -177,11 +199,13 @@ def run_report(
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="python -m ledgerflow.plans.rental_store")
     parser.add_argument(
-        "report", choices=["overview", "films", "customers", "revenue", "replication", "failover", "sync"]
+        "report", choices=["overview", "films", "customers", "revenue", "replication", "failover", "sync", "query"]
     )
     parser.add_argument("--base", required=True, help="folder holding <table>.parquet (the source)")
     parser.add_argument("--fallback", help="second copy read when the base copy is unreadable")
     parser.add_argument("--replica", help="replica copy for replication / failover")
+    parser.add_argument("--sql", help="statement for query, over the store's tables, with markers such as :since")
+    parser.add_argument("--arg", action="append", default=[], metavar="NAME=VALUE", help="value of a marker")
     parser.add_argument("--cap", type=int, help="rows per sync cycle (default: all that is new)")
     parser.add_argument("--log", help="Parquet table receiving one row per sync cycle")
     args = parser.parse_args(argv)
@@ -196,6 +220,12 @@ def main(argv: list[str] | None = None) -> None:
             for line in sync_rentals(spark, args.base, args.replica, args.cap, args.log):
                 print(line)
             return
+        if args.report == "query":
+            if not args.sql:
+                parser.error("query needs --sql")
+            for line in query(spark, args.base, args.fallback, args.sql, args.arg):
+                print(line)
+            return
         for text in run_report(spark, args.report, args.base, args.fallback, args.replica):
             print(json.dumps(json.loads(text), indent=2))
     finally:
