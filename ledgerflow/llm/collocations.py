@@ -48,7 +48,7 @@ THRESHOLD = 30
 LONGEST = 4
 TOP = 2000
 CONTAINED_PERCENT = 80
-SHARDS = 3
+SHARDS = 2
 FILTER_BITS = 24
 # Bytes of text cut into words at once, and words counted at once.
 CHUNK_BYTES = 4 << 20
