@@ -39,6 +39,7 @@ class StopGate:
 
     def __init__(self) -> None:
         self._stop = threading.Event()
+        self.entered = -1  # the last batch that began
 
     def request(self) -> None:
         self._stop.set()
@@ -52,6 +53,7 @@ class StopGate:
         return self._stop.wait(seconds)
 
     def enter(self, batch_id: int) -> None:
+        self.entered = batch_id
         if self.requested:
             raise StopRequested(f"batch {batch_id} is left to the next start")
 
@@ -164,7 +166,7 @@ def run_supervised(
             outcome.failures += 1
             if log is not None:
                 log_path, run, key_type = log
-                log_failure(spark, log_path, run, watch.committed + 1, text, key_type)
+                log_failure(spark, log_path, run, max(watch.committed + 1, gate.entered), text, key_type)
             if max_failures is not None and in_a_row >= max_failures:
                 raise error
             outcome.delays.append(min(longest_delay, first_delay * 2 ** min(in_a_row - 1, 60)))
