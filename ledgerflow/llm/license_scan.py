@@ -217,19 +217,41 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, also inside the functions of arrays."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, joined) -> Column:
+    """``joined`` (a sum, a maximum) of each value and all before it.
+
+    By doubling: each turn joins every place with the one 1, 2, 4, ... before
+    it, so an array is copied a logarithm of its length times, not once for
+    every element.
+    """
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def turn(state: Column, n: Column) -> Column:
+        earlier = lambda i: F.get(state, i - F.call_function("shiftleft", F.lit(1), n))
+        return F.transform(state, lambda x, i: F.coalesce(joined(x, earlier(i)), x))
+
+    return F.aggregate(turns, values, turn)
+
+
 def _places(words: Column, regex: Column) -> Column:
     """array<struct<first, last>> of all matches, in words from 0."""
-    found = F.regexp_extract_all(words, regex, F.lit(0))
-    between = F.split(words, regex, -1)
-    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("next"), F.array().cast("array<struct<first:int,last:int>>").alias("places"))
+    matches, between = F.regexp_extract_all(words, regex, F.lit(0)), F.split(words, regex, -1)
+    # Of each match its words, and those with the words before it since the last one. Behind the last match is no match.
+    sizes = F.filter(
+        F.zip_with(matches, between, lambda m, b: F.struct(_spaces(m).alias("own"), (_spaces(m) + _spaces(b)).alias("all"))),
+        lambda s: s["own"].isNotNull(),
+    )
 
-    def step(state: Column, match: Column) -> Column:
-        first = state["at"] + _spaces(F.get(between, state["next"]))
-        last = first + _spaces(match)
-        place = F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
-        return F.struct(last.cast("int").alias("at"), (state["next"] + 1).alias("next"), F.concat(state["places"], F.array(place)).alias("places"))
+    def placed(sizes: Column) -> Column:
+        ends = _running(F.transform(sizes, lambda s: s["all"]), lambda x, y: x + y)
+        return F.zip_with(ends, sizes, lambda end, s: F.struct((end - 1 - s["own"]).cast("int").alias("first"), (end - 1).cast("int").alias("last")))
 
-    return F.aggregate(found, start, step, lambda state: state["places"])
+    return _let(sizes, placed)
 
 
 def _rule_table() -> Column:
@@ -260,20 +282,19 @@ def _detections(words: Column, lowered: Column, table: Column) -> Column:
 
 
 def _unsuppressed(detections: Column) -> Column:
-    """array<struct<label, weight>>: one pass with, for each priority, the furthest end so far."""
+    """array<struct<label, weight>> of those that no earlier one of at least their priority reaches beyond."""
     priorities = max(r.priority for r in rules())
-    start = F.struct(
-        F.array_repeat(F.lit(-1), priorities + 1).alias("ends"), F.array().cast("array<struct<label:string,weight:double>>").alias("kept")
-    )
 
-    def step(state: Column, d: Column) -> Column:
-        # ends[p]: the furthest end of an interval so far with at least priority p.
-        contained = F.get(state["ends"], d["priority"]) >= d["last"]
-        ends = F.transform(state["ends"], lambda end, p: F.when(p <= d["priority"], F.greatest(end, d["last"])).otherwise(end))
-        kept = F.when(contained, state["kept"]).otherwise(F.concat(state["kept"], F.array(F.struct(d["label"].alias("label"), d["weight"].alias("weight")))))
-        return F.struct(ends.alias("ends"), kept.alias("kept"))
+    def kept(found: Column) -> Column:
+        def furthest(p: int) -> Column:
+            return _running(F.transform(found, lambda d: F.when(d["priority"] >= p, d["last"]).otherwise(-1)), F.greatest)
+
+        # ends[p][i]: the furthest end of the intervals up to the i-th with at least priority p.
+        ends = F.array(*map(furthest, range(priorities + 1)))
+        free = _let(ends, lambda ends: F.filter(found, lambda d, i: F.coalesce(F.get(F.get(ends, d["priority"]), i - 1), F.lit(-1)) < d["last"]))
+        return F.transform(free, lambda d: F.struct(d["label"].alias("label"), d["weight"].alias("weight")))
 
-    return F.aggregate(detections, start, step, lambda state: state["kept"])
+    return _let(detections, kept)
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

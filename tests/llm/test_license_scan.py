@@ -53,7 +53,7 @@ def texts():
              "free software", "AGPL", "GNU LGPL 2.1 or later", "Kelvin", "gnu general public license"]
     rows = [(i, p) for i, p in enumerate(parts)]
     rows += [(100 + i, " ".join(rng.choices(parts, k=rng.choice([2, 5, 9])))) for i in range(80)]
-    rows += [(300, None), (301, ""), (302, " .,! "), (None, parts[0]), (None, parts[0]), (3, parts[3]), (303, "word " * 20_000 + "MIT License " * 60)]
+    rows += [(300, None), (301, ""), (302, " .,! "), (None, parts[0]), (None, parts[0]), (3, parts[3]), (303, "word " * 20_000 + "MIT License " * 500)]
     return rows
 
 
@@ -77,3 +77,11 @@ def test_later_and_longer_suppress(spark):
     rows = [(1, "under GNU General Public License version 2 or any later version")]
     (row,) = license_report(table(spark, rows)).collect()
     assert row["labels"] == "gpl,gpl-2.0-or-later" and row["first_word"] == row["last_word"] == 1
+
+
+def test_many_matches_in_one_text(spark):
+    # 20,000 matches of several rules: time in proportion to the text, not to its square.
+    text = "word " + "MIT License " * 20_000 + "released under the Apache License, Version 2.0"
+    (row,) = license_report(table(spark, [(1, text)])).collect()
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (40_009, 20_001, 1, 40_004)
+    assert (row["base_labels"], row["labels"], row["score"]) == ("apache,mit", "apache,apache-2.0,mit", 1.0)
