@@ -9,7 +9,7 @@ sequences of their own. The others are packed:
 2. The underfull bins are items of the next round. They are dealt anew to
    fewer tasks of about ``ITEMS_PER_TASK`` items, packed by best fit, the
    nearly full bins leave, and the rest go on, until they fit into one task
-   or a round no longer saves ``LEAST_GAIN`` of its bins.
+   or ``IDLE_ROUNDS`` in a row save nothing.
 
 Only (bin, size) moves between rounds. Each round's (bin, into, offset) is
 written; at the end the rounds' placements are joined from the last to the
@@ -38,7 +38,10 @@ SLACK = 4
 ITEMS_PER_TASK = 50_000
 # Documents whose ids a task holds besides the pieces it has yet to pack.
 DOCS_AT_ONCE = 500
-LEAST_GAIN = 0.002
+# Rounds in a row, each dealt anew, that may save no bin before the rest counts as packed.
+IDLE_ROUNDS = 3
+# A round's number is part of its bins' names.
+MOST_ROUNDS = 127
 
 
 @lru_cache(maxsize=2)
@@ -178,13 +181,14 @@ def pack(
     done = F.col("fill") >= capacity - slack
     going = pieces.where(~done).select("bin", F.col("fill").alias("size")).distinct()
     rounds: list[DataFrame] = []
-    count = going.count()
+    count, idle = going.count(), 0
     while count:
         tasks = max(1, -(-count // items_per_task))
         rounds.append(_merge_round(going, tasks, capacity, len(rounds) + 1))
         going = rounds[-1].where(~done).select(F.col("into").alias("bin"), F.col("fill").alias("size")).distinct()
         left = rounds[-1].select("into").distinct().count()
-        if tasks == 1 or left > count * (1 - LEAST_GAIN) or len(rounds) == 127:
+        idle = idle + 1 if left == count else 0
+        if tasks == 1 or idle == IDLE_ROUNDS or len(rounds) == MOST_ROUNDS:
             break
         count = going.count()
     placed = None  # of each bin of the round at hand: the sequence it ends in, and its offset there

@@ -15,7 +15,9 @@ never. One half fills the tables, the other trains the network; then the
 halves change places and the tables of both are joined for use. A toxic text
 is labelled as a whole, so the windows to learn from are chosen in turns: the
 highest ones of toxic texts, the highest and some others of the rest.
-At the end scores are shifted so that 0.5 parts the training texts best.
+At the end scores are shifted so that 0.5 parts the training texts and up to
+``LONG_ROWS`` labelled longer ones of each label best, which are scored whole
+by the tasks; each weighs as many labelled rows as it stands for.
 
 The id, language and source are never inputs. Null text counts as empty; a
 text without words has one empty window. Rows with null labels or unknown
@@ -26,10 +28,11 @@ repeated have equal scores. An empty table gives an empty answer.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import gru
@@ -45,6 +48,8 @@ INPUTS = 6
 TOXIC_ROWS = 2000
 OTHER_ROWS = 4000
 TRAIN_CHARS = 12_000
+# Labelled rows of each label with longer texts that take part in finding the shift.
+LONG_ROWS = 300
 TURNS = 4
 BATCH = 256
 # Added to the counts of both labels, in their proportion.
@@ -160,10 +165,10 @@ class Model:
     def __init__(self, known, params: gru.Params | None, shift: float = 0.0) -> None:
         self.known, self.params, self.shift = known, params, shift
 
-    def scorer(self):
+    def scorer(self, raw: bool = False):
         """A function from texts to scores, which keeps the projected inputs of the words it met lately."""
         if self.params is None:
-            return lambda texts: np.zeros(len(texts))
+            return lambda texts: np.full(len(texts), -np.inf if raw else 0.0)
         p = self.params
         width = p["cf"].shape[0]
         # Row 0 stands for places past a text's end: no input.
@@ -204,17 +209,22 @@ class Model:
                     (at > 0).astype(np.float32),
                 )
                 np.maximum.at(best, text[i : i + WINDOWS_AT_ONCE], found)
-            return 1 / (1 + np.exp(-np.clip(best - self.shift, -30, 30)))
+            return best if raw else 1 / (1 + np.exp(-np.clip(best - self.shift, -30, 30)))
 
         return score
 
 
 def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     """The model of a bounded sample of whole texts."""
+    return _trained(texts, labels, seed)[0]
+
+
+def _trained(texts: list[str], labels: list[int], seed: int = 0) -> tuple[Model, np.ndarray]:
+    """The model, and the logit of each text's highest window as the other half's counts give it."""
     y = np.asarray(labels, np.int64)
     tables = (Tables(), Tables())
     if not (0 < y.sum() < len(y)):
-        return Model(tables[0].known(), None)
+        return Model(tables[0].known(), None), np.zeros(len(y))
     rng = np.random.default_rng(seed)
     half = np.zeros(len(y), np.int64)
     for label in (0, 1):
@@ -275,60 +285,93 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
         height = measure()
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, text_of_window, height)
-    return Model(tables[0].joined(tables[1]).known(), params, _parting(best, y))
+    return Model(tables[0].joined(tables[1]).known(), params, _parting(best, y, np.ones(len(y)))), best
 
 
-def _parting(value: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which fewest fall on the wrong side."""
+def _parting(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The middle of the gap at which least weight falls on the wrong side."""
     order = np.argsort(value)
-    v, label = value[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(label)]) + np.concatenate([np.cumsum((1 - label)[::-1])[::-1], [0]])
-    least = np.flatnonzero(wrong == wrong.min())
+    v, label, w = value[order], y[order], weight[order]
+    missed, alarms = np.cumsum(w * label), np.cumsum((w * (1 - label))[::-1])[::-1]
+    wrong = np.concatenate([[0], missed]) + np.concatenate([alarms, [0]])
+    least = np.flatnonzero(wrong <= wrong.min() + 1e-9 * w.sum())
     cut = least[len(least) // 2]
     low, high = v[max(0, cut - 1)], v[min(len(v) - 1, cut)]
     return float((low + high) / 2)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> pd.DataFrame:
-    """The training rows (text, label): a bounded number of bounded texts, on the driver."""
+@dataclass(frozen=True)
+class Sample:
+    """Ids to learn from: (label_id, label, long), written; how many rows with a label each chosen one stands for."""
+
+    chosen: DataFrame
+    stands_for: dict[tuple[int, bool], float]
+
+
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> Sample:
+    """A bounded number of labelled ids, by label and by whether their shortest text is over ``TRAIN_CHARS``."""
     identity = F.col(f"`{id_col}`")
     known = (
         labels.where(identity.isNotNull() & F.col(f"`{label_col}`").isin(0, 1) & ~held_out(identity))
         .groupBy(identity.alias("label_id"))
         .agg(F.max(f"`{label_col}`").alias("label"))
     )
-    short = docs.where(F.length(text_of(text_col)) <= TRAIN_CHARS).select(identity.alias("doc_id"))
+    sizes = docs.where(identity.isNotNull()).groupBy(identity.alias("doc_id")).agg(F.min(F.length(text_of(text_col))).alias("chars"))
+    eligible = known.join(sizes, known["label_id"] == sizes["doc_id"]).select("label_id", "label", (F.col("chars") > TRAIN_CHARS).alias("long"))
+    eligible = written(eligible, "eligible")
+    found = {(r["label"], r["long"]): r["count"] for r in eligible.groupBy("label", "long").count().collect()}
     hashed = F.xxhash64(F.col("label_id").cast("string"))
-    with_text = known.join(short, known["label_id"] == short["doc_id"], "left_semi")
+    most = {(1, False): TOXIC_ROWS, (0, False): OTHER_ROWS, (1, True): LONG_ROWS, (0, True): LONG_ROWS}
     chosen = None
-    for label, most in ((1, TOXIC_ROWS), (0, OTHER_ROWS)):
-        part = with_text.where(F.col("label") == label).orderBy(hashed, "label_id").limit(most)
+    for (label, is_long), rows in most.items():
+        part = eligible.where((F.col("label") == label) & (F.col("long") == is_long)).orderBy(hashed, "label_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # Broadcast: TOXIC_ROWS + OTHER_ROWS ids at most.
-    chosen = F.broadcast(written(chosen, "labelled"))
-    rows = docs.where(F.length(text_of(text_col)) <= TRAIN_CHARS).select(identity.alias("doc_id"), text_of(text_col).alias("text"))
-    found = rows.join(chosen, rows["doc_id"] == chosen["label_id"]).groupBy("doc_id", "label").agg(F.max("text").alias("text"))
-    return found.toPandas().sort_values("doc_id")
+    return Sample(written(chosen, "labelled"), {k: n / min(n, most[k]) for k, n in found.items()})
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    rows = sample(docs, labels, label_col, id_col, text_col)
-    return train(rows["text"].tolist(), rows["label"].astype(int).tolist())
-
-
-def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """The score of the text column; the model (a few MB, whatever the input) is broadcast."""
-    prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Train on the short texts of the sample; the shift parts these and the long ones, which are scored whole where they lie.
+
+    Texts of up to ``TRAIN_CHARS`` characters reach the driver, of long ones their highest logits only. Each
+    text weighs as many labelled rows as it stands for, so the shift means the same at every size.
+    """
+    found = sample(docs, labels, label_col, id_col, text_col)
+    given = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
+
+    def rows_of(is_long: bool) -> DataFrame:
+        # Broadcast: TOXIC_ROWS + OTHER_ROWS ids at most, or 2 * LONG_ROWS.
+        ids = F.broadcast(found.chosen.where(F.col("long") == is_long).select("label_id", "label"))
+        return given.where((F.length("text") > TRAIN_CHARS) == is_long).join(ids, F.col("doc_id") == F.col("label_id"))
+
+    short = rows_of(False).groupBy("doc_id", "label").agg(F.max("text").alias("text")).toPandas().sort_values("doc_id")
+    model, best = _trained(short["text"].tolist(), short["label"].astype(int).tolist())
+    if model.params is None:
+        return model
+    tall = rows_of(True).select("doc_id", "label", _scored(docs.sparkSession, model, F.col("text"), raw=True).alias("height"))
+    tall = tall.groupBy("doc_id", "label").agg(F.max("height").alias("height")).toPandas().sort_values("doc_id")
+    y = np.concatenate([short["label"], tall["label"]]).astype(np.int64)
+    is_long = np.arange(len(y)) >= len(short)
+    weight = np.array([found.stands_for[int(label), bool(flag)] for label, flag in zip(y, is_long)])
+    return Model(model.known, model.params, _parting(np.concatenate([best, tall["height"]]).astype(float), y, weight))
+
+
+def _scored(spark: SparkSession, model: Model, text: Column, raw: bool = False) -> Column:
+    """The score of a text, or the logit of its highest window; the model (a few MB, whatever the input) is broadcast."""
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = shared.value.scorer()
+        scorer = shared.value.scorer(raw)
         for texts in batches:
             parts = [scorer(texts.iloc[i : i + TEXTS_AT_ONCE].tolist()) for i in range(0, len(texts), TEXTS_AT_ONCE)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return score(text_of(text_col))
+    return score(text)
+
+
+def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    return _scored(docs.sparkSession, model, text_of(text_col))
 
 
 def toxicity_report(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

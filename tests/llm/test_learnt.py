@@ -240,3 +240,32 @@ def test_toxicity_report(spark):
     assert toxicity.toxicity_report(table(spark, []), model).count() == 0
     nothing = toxicity.fit(docs, labels_of(spark, [(1, 1, 0)]))
     assert {r["score"] for r in toxicity.toxicity_report(docs, nothing).collect()} == {0.0}
+
+
+def test_parting_by_weight():
+    value, y = np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 1, 0, 1])
+    assert toxicity._parting(value, y, np.array([1.0, 1.0, 5.0, 1.0])) == 2.5  # missing the toxic one costs less
+    assert toxicity._parting(value, y, np.array([1.0, 5.0, 1.0, 1.0])) == 0.5
+
+
+def test_long_labelled_texts_take_part_in_the_cut(spark, monkeypatch):
+    texts, labels = toxic_corpus(240)
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 2000)
+    monkeypatch.setattr(toxicity, "LONG_ROWS", 20)
+    monkeypatch.setattr(toxicity, "OTHER_ROWS", 30)
+    clean = " ".join(t for t, y in zip(texts, labels) if not y)[:9000]
+    rows = list(enumerate(texts)) + [(1000 + i, clean + (" nasty vequxx nasty" if i % 2 else "")) for i in range(60)]
+    given = [(i, 1, y) for i, y in enumerate(labels)] + [(1000 + i, 1, i % 2) for i in range(60)]
+    docs = table(spark, rows)
+    found = toxicity.sample(docs, labels_of(spark, given), "toxic", "doc_id", "text")
+    free = [(y, i >= 1000) for i, _, y in given if zlib.crc32(str(i).encode()) % 5]
+    most = {(1, False): toxicity.TOXIC_ROWS, (0, False): 30, (1, True): 20, (0, True): 20}
+    assert found.stands_for == {k: free.count(k) / min(free.count(k), most[k]) for k in most}
+    chosen = [(r["label"], r["long"]) for r in found.chosen.collect()]
+    assert {k: chosen.count(k) for k in most} == {k: min(free.count(k), most[k]) for k in most}
+    model = toxicity.fit(docs, labels_of(spark, given))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_report(docs, model).collect()}
+    assert [got[1000 + i] for i in range(60)] == [i % 2 for i in range(60)]
+    # Without any label on long rows the cut is that of the short ones.
+    short = toxicity.fit(docs, labels_of(spark, [g for g in given if g[0] < 1000]))
+    assert np.isfinite(short.shift)
