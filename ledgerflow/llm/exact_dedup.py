@@ -12,7 +12,10 @@ the buckets and appends those. Its answer is the batch joined to the index.
 Of equal texts within a batch the row with the most code points stays, then
 the smallest id (null ids last); of rows repeated with the same id and text,
 one. A text the index already has from an earlier batch keeps its earlier
-row, and all rows of the new batch with it go. Null text counts as empty, and
+row, and all rows of the new batch with it go. ``table_report`` instead takes a
+whole table through an index in several batches and lets the best row of all
+win, whichever batch has it: a batch appends a digest that the index lacks or
+has by a lesser row only, and the best one is taken over the index. Null text counts as empty, and
 empty texts are equal to each other. An empty batch gives an empty answer.
 Running a batch again under the same batch name gives the same answer.
 """
@@ -29,6 +32,8 @@ from ledgerflow.llm.common import one_per_key, scratch_path, text_of, unused, wr
 
 # [\x20\x09-\x0D]
 WHITE_SPACE = " \t\n\x0b\x0c\r"
+# Batches in which a report feeds its table into its index.
+BATCHES = 4
 # Rows of a first batch per index bucket, when the number of buckets is not given.
 ROWS_PER_BUCKET = 200_000
 # Spark takes 100,000 buckets at most; beyond this buckets hold more rows.
@@ -162,6 +167,65 @@ def dedup_report(
     )
 
 
+def _feed(groups: DataFrame, index: DigestIndex, batch: str) -> None:
+    """Append the (digest, keep_id, keep_chars) that the index lacks, or has by a lesser row only."""
+    fresh = groups.repartition(index.buckets, "digest").select("digest", "keep_id", "keep_chars", F.lit(batch).alias("batch"))
+    there = index.rows().select(*[F.col(c).alias(f"there_{c}") for c in ("digest", "keep_id", "keep_chars")])
+    longer = F.col("there_keep_chars") > F.col("keep_chars")
+    same = F.col("there_keep_chars") == F.col("keep_chars")
+    as_good = longer | (same & (F.col("keep_id").isNull() | (F.col("there_keep_id") <= F.col("keep_id"))))
+    index.append(fresh.hint("merge").join(there, (F.col("digest") == F.col("there_digest")) & as_good, "left_anti"))
+
+
+def _best(chars: str, doc_id: str) -> Column:
+    return F.min(F.struct((-F.col(chars)).alias("shorter"), F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id")))
+
+
+def _of_best() -> list[Column]:
+    return [F.col("best.doc_id").alias("keep_id"), (-F.col("best.shorter")).cast("int").alias("keep_chars")]
+
+
+def table_report(
+    docs: DataFrame,
+    batches: int = BATCHES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    The rows go into a new index in ``batches``, dealt out by a hash, so that
+    copies meet the index from the second batch on. Both sides of the last
+    join are written tables, so the join's exchanges split a digest that fills
+    a third of the rows.
+    """
+    spark = docs.sparkSession
+    part = F.pmod(F.xxhash64("digest", "doc_id", "chars"), F.lit(batches)).cast("int")
+    rows = written(_batch_rows(docs, id_col, text_col).withColumn("part", part), "rows")
+    kind = docs.schema[id_col].dataType.simpleString()
+    index = DigestIndex.open(spark, scratch_path(spark, "digest-index"), buckets_for(rows.count()), kind)
+    try:
+        for n in range(batches):
+            own = rows.where(F.col("part") == n).groupBy("digest").agg(_best("chars", "doc_id").alias("best"))
+            _feed(own.select("digest", *_of_best()), index, str(n))
+        best = index.rows().groupBy("digest").agg(_best("keep_chars", "keep_id").alias("best"))
+        sizes = rows.groupBy("digest").agg(F.sum("copies").alias("group_size"))
+        groups = written(sizes.join(best.select("digest", *_of_best()), "digest"), "groups")
+    finally:
+        index.forget()
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
+    return (
+        rows.join(groups, "digest")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+        .select(
+            "doc_id",
+            "keep_id",
+            "group_size",
+            (stays & (F.col("copy") == 1)).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"),
+        )
+    )
+
+
 def drop_duplicates(
     docs: DataFrame,
     index: DigestIndex | None = None,

@@ -11,7 +11,7 @@ from ledgerflow.llm import bpe, toxicity
 from ledgerflow.llm.collocations import collocations, collocations_sql
 from ledgerflow.llm.common import read_documents
 from ledgerflow.llm.decomposition import decompose
-from ledgerflow.llm.exact_dedup import dedup_report
+from ledgerflow.llm.exact_dedup import table_report
 from ledgerflow.llm.fim import fim_report, fim_sql
 from ledgerflow.llm.imatch import imatch_report
 from ledgerflow.llm.license_scan import BASE_PHRASES, BASE_WEIGHT, license_report, rules
@@ -73,7 +73,7 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_report(read_documents(spark, sf_dir))
+    return table_report(read_documents(spark, sf_dir))
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerflow.llm import simhash_dedup
+from ledgerflow.llm import exact_dedup, simhash_dedup
 from ledgerflow.llm.bktree import Forest, lowest_linked
-from ledgerflow.llm.exact_dedup import DigestIndex, dedup_report, drop_duplicates
+from ledgerflow.llm.exact_dedup import DigestIndex, dedup_report, drop_duplicates, table_report
 from ledgerflow.llm.rendezvous import with_shards, with_slots
 from ledgerflow.llm.simhash_dedup import components, drop_near_duplicates, simhash, simhash_report
 
@@ -128,6 +128,31 @@ def test_exact_index_persists_and_replays(spark, workdir):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()  # co-located by bucket
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_exact_table_report_matches_brute_force(spark, batches):
+    rows = awkward() + [(500 + i, "b  a " + " " * (i % 7)) for i in range(60)]
+    assert sorted((tuple(r) for r in table_report(table(spark, rows), batches).collect()), key=repr) == brute_exact(rows)
+    assert table_report(table(spark, []), batches).count() == 0
+
+
+def test_exact_batches_meet_the_index(spark, monkeypatch):
+    """Copies in later batches meet rows of the index; only a better one is appended."""
+    rows = [(i, f"text {i % 50}" + " " * (i % 4)) for i in range(600)]
+    fed = []
+    real = exact_dedup._feed
+
+    def seen(groups, index, batch):
+        before = index.rows().count()
+        real(groups, index, batch)
+        fed.append((groups.count(), before, index.rows().count() - before))
+
+    monkeypatch.setattr(exact_dedup, "_feed", seen)
+    got = sorted((tuple(r) for r in table_report(table(spark, rows)).collect()), key=repr)
+    assert got == brute_exact(rows)
+    assert len(fed) == exact_dedup.BATCHES and fed[0][1] == 0 and fed[0][2] == fed[0][0]
+    assert all(before >= 50 and added < given for given, before, added in fed[2:])
+
+
 def brute_shard(doc_id, shards):
     key = "n" if doc_id is None else f"k{doc_id}"
     scores = [(int(hashlib.sha256(f"{key}#{s}".encode()).hexdigest()[:13], 16), -s) for s in range(shards)]
