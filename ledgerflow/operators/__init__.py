@@ -1,5 +1,6 @@
-"""Operators: totals, rankings, monthly revenue, sync primitives, status."""
+"""Operators: totals, rankings, monthly revenue, sync primitives and their log, keyed targets, bound statements, status."""
 
+from ledgerflow.operators.keyed_table import KeyedTable
 from ledgerflow.operators.rankings import top_customers, top_items
 from ledgerflow.operators.revenue import (
     month_digests,
@@ -9,8 +10,8 @@ from ledgerflow.operators.revenue import (
     refresh_month_partitioned,
     write_month_partitioned,
 )
+from ledgerflow.operators.statements import batch_statement, statement
 from ledgerflow.operators.status import count_side, ha_status, nest_status, sync_status, with_availability
-from ledgerflow.operators.keyed_table import KeyedTable
 from ledgerflow.operators.sync import (
     InsertResult,
     batch_edges,
@@ -36,6 +37,8 @@ __all__ = [
     "read_month_partitioned",
     "refresh_month_partitioned",
     "write_month_partitioned",
+    "batch_statement",
+    "statement",
     "count_side",
     "ha_status",
     "nest_status",
