@@ -73,10 +73,6 @@ def _power_of_two(exponent: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent)
 
 
-def _bits(term: Column, start: int, count: int | Column) -> Column:
-    return F.shiftrightunsigned(term, start).bitwiseAND(_power_of_two(count if isinstance(count, Column) else F.lit(count)) - 1)
-
-
 def _longs(values: list[int]) -> Column:
     listed = F.split(F.lit(",".join(map(str, values))), ",") if values else F.array()
     return listed.cast("array<bigint>")
@@ -87,7 +83,8 @@ def _level(n: Column) -> Column:
 
 
 def _at_level(terms: Column, level: Column) -> Column:
-    return F.filter(terms, lambda t: _bits(t, CLASS_BITS + SUBSET_BITS, level) == 0)
+    mask = F.call_function("shiftleft", _power_of_two(level) - 1, F.lit(CLASS_BITS + SUBSET_BITS))
+    return let(mask, lambda mask: F.filter(terms, lambda t: t.bitwiseAND(mask) == 0))
 
 
 def thinned(terms: Column) -> Column:
@@ -98,17 +95,23 @@ def thinned(terms: Column) -> Column:
 def fingerprint(n: Column, terms: Column) -> Column:
     """struct<level int, here array<string>, above array<string>> of ``n`` terms, given thinned."""
 
+    subsets = _longs([subset << CLASS_BITS for subset in range(SUBSETS)])
+
+    def subset_of(term: Column) -> Column:
+        return term.bitwiseAND(F.lit((SUBSETS - 1) << CLASS_BITS).cast("bigint"))
+
     def subset_hashes(terms: Column) -> Column:
-        def of_subset(subset: Column) -> Column:
-            own = F.filter(terms, lambda t: _bits(t, CLASS_BITS, SUBSET_BITS).cast("int") == subset)
+        def of_subset(here: Column, subset: Column) -> Column:
+            own = F.filter(terms, lambda t: subset_of(t) == subset)
             spelled = F.lpad(F.lower(F.hex(F.xxhash64(own).bitwiseAND(F.lit(0xFFFF)))), 4, "0")
-            return F.when(F.size(own) == 0, F.lit("")).otherwise(spelled)
+            return F.when(F.array_contains(here, subset), spelled).otherwise(F.lit(""))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), of_subset)
+        # The subsets that have a term are found first: the others, half of them and more, are not gone through.
+        return let(F.transform(terms, subset_of), lambda here: F.transform(subsets, lambda subset: of_subset(here, subset)))
 
     def of_level(level: Column) -> Column:
         def of_here(here: Column) -> Column:
-            above = subset_hashes(_at_level(here, level + 1))
+            above = let(_at_level(here, level + 1), subset_hashes)
             return F.struct(level.alias("level"), subset_hashes(here).alias("here"), above.alias("above"))
 
         return let(F.array_sort(_at_level(terms, level)), of_here)
@@ -118,7 +121,7 @@ def fingerprint(n: Column, terms: Column) -> Column:
 
 def _of_document(every: Column, high: Column, rare: Column) -> Column:
     """The terms of a document's fingerprint, thinned: without those above and below the band, or all if too few are left."""
-    kept = F.array_except(F.array_except(every, high), rare)
+    kept = F.array_except(every, F.concat(high, rare))
     return let(kept, lambda kept: let(F.when(F.size(kept) < FEW_TERMS, every).otherwise(kept), thinned))
 
 
@@ -133,16 +136,22 @@ def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes at a common level, 0 to 1."""
 
     def share(x: Column, y: Column) -> Column:
-        pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != "") | (p["y"] != ""))
-        equal = F.filter(pairs, lambda p: p["x"] == p["y"])
-        return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(F.size(equal) / F.size(pairs))
+        def of_marks(marks: Column) -> Column:
+            some, equal = F.size(F.array_remove(marks, 0)), F.size(F.filter(marks, lambda m: m == 2))
+            return F.when(some == 0, F.lit(1.0)).otherwise(equal / some)
+
+        # Of each sub-lexicon: 0 if neither has a term in it, 2 if the hashes are equal.
+        return let(F.zip_with(x, y, lambda p, q: F.when(p != q, 1).when(p == "", 0).otherwise(2)), of_marks)
+
+    def compared(a: Column, b: Column) -> Column:
+        return (
+            F.when(a["level"] == b["level"], share(a["here"], b["here"]))
+            .when(a["level"] + 1 == b["level"], share(a["above"], b["here"]))
+            .when(a["level"] == b["level"] + 1, share(a["here"], b["above"]))
+            .otherwise(F.lit(0.0))
+        )
 
-    return (
-        F.when(a["level"] == b["level"], share(a["here"], b["here"]))
-        .when(a["level"] + 1 == b["level"], share(a["above"], b["here"]))
-        .when(a["level"] == b["level"] + 1, share(a["here"], b["above"]))
-        .otherwise(F.lit(0.0))
-    )
+    return let(a, lambda a: let(b, lambda b: compared(a, b)))
 
 
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,12 +236,10 @@ def imatch_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def of_terms(own: Column) -> Column:
         def of_edited(every: Column) -> Column:
             of_either = F.array_except(term_hashes(F.col("ending")), F.col("next.made"))
-            made = F.array_except(F.array_except(F.array_except(every, own), of_either), high)
+            made = F.array_except(every, F.concat(own, of_either, high))
 
             def of_made(made: Column) -> Column:
-                kept = every
-                for out in (high, F.col("own_rare"), F.col("next.rare"), made):
-                    kept = F.array_except(kept, out)
+                kept = F.array_except(every, F.concat(high, F.col("own_rare"), F.col("next.rare"), made))
                 return let(kept, lambda kept: F.struct(
                     _of_document(own, high, F.col("own_rare")).alias("own"),
                     made.alias("made"),
@@ -248,10 +255,13 @@ def imatch_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "n_chars", "copies", F.unhex(F.sha2(edited, 256)).alias("edited_sha256"), F.col("next.print_terms").alias("next_terms"),
         let(term_hashes(F.col("text")), of_terms).alias("terms"),
     )
-    near_next = likeness(*[fingerprint(F.col(f"{side}.n"), F.col(f"{side}.terms")) for side in ("terms.own", "next_terms")])
-    # Written, so that a row's number is settled once.
+    own_print = fingerprint(F.col("terms.own.n"), F.col("terms.own.terms"))
+    next_print = fingerprint(F.col("next_terms.n"), F.col("next_terms.terms"))
+    compared = let(own_print, lambda print_: F.struct(print_.alias("print"), likeness(print_, next_print).alias("near_next")))
+    # Written, so that a row's number is settled once. Of the own terms only their fingerprint goes on.
     numbered = written(
-        found.select("doc_id", "n_chars", "copies", "edited_sha256", "terms", near_next.alias("near_next"))
+        found.select("doc_id", "n_chars", "copies", "edited_sha256", F.col("terms").dropFields("own").alias("edited_terms"), compared.alias("compared"))
+        .select("doc_id", "n_chars", "copies", "edited_sha256", F.col("edited_terms").alias("terms"), "compared.print", "compared.near_next")
         .withColumn("row", F.monotonically_increasing_id()),
         "edited",
     )
@@ -263,8 +273,7 @@ def imatch_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     few = n < FEW_TERMS
     kept = F.concat(F.col("terms.edited.terms"), F.col("more"))
     printed = whole.select(
-        "doc_id", "n_chars", "copies", "edited_sha256", "near_next",
-        fingerprint(F.col("terms.own.n"), F.col("terms.own.terms")).alias("print"),
+        "doc_id", "n_chars", "copies", "edited_sha256", "near_next", "print",
         fingerprint(F.when(few, all_terms["n"]).otherwise(n), F.when(few, all_terms["terms"]).otherwise(kept)).alias("edited_print"),
     )
     return printed.select(

@@ -162,6 +162,14 @@ def test_small_tables_and_native_plan(spark):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
+def test_likeness_works_out_each_fingerprint_once(spark):
+    df = spark.createDataFrame([(3, [1 << 20, 2 << 20, 3 << 20], [1 << 20, 2 << 20, 4 << 20])], "n int, a array<bigint>, b array<bigint>")
+    near = df.select(imatch.likeness(*[imatch.fingerprint(F.col("n"), F.col(side)) for side in "ab"]).alias("near"))
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 4  # a fingerprint's two levels
+    assert near.first()["near"] == 0.5
+
+
 PAGES = "page_id bigint, url string, html string, state string, digest int"
 
 
