@@ -17,8 +17,10 @@ A step
     by hash, the first step at which a phrase of the slot reached the
     threshold: a proven bound on what is broadcast. A slot's step never
     changes once it is set, so all tasks of all steps agree on when a phrase
-    became active. Phrases that share a slot can only make others active
-    early or in vain; each is still counted in every shard exactly once.
+    became active: after the slots of all the phrases it holds are set, so
+    that no shard of its cycle passes it over. Phrases that share a slot can
+    only make others active early or in vain; each is still counted in every
+    shard exactly once.
     A phrase that has had its full cycle without reaching the threshold
     leaves the table.
 
@@ -157,7 +159,8 @@ class ShardCounter:
             yield from self._rows(names, spelled, language, [np.arange(len(language))], slot, np.zeros(len(slot)), counts)
             yield from self._rows(names, None, None, [np.flatnonzero(totals)], None, None, totals[totals > 0])
         first = self.first[slot][words]
-        # Of the phrases of one size less whose slot has reached the threshold: where they stand, when, and their hash.
+        # Of the phrases of one size less whose slot, and those of all they hold, have reached the threshold:
+        # where they stand, when the last of these slots did, and their hash.
         place = np.flatnonzero(first != NEVER)
         first, mixed = first[place], hashes[words[place]]
         for size in range(2, self.longest + 1):
@@ -174,7 +177,9 @@ class ShardCounter:
             if size < self.longest:
                 first = self.first[self._slots(mixed)]
                 going = np.flatnonzero(first != NEVER)
-                place, first, mixed = place[going], first[going], mixed[going]
+                # Another phrase may have set the slot before the phrases it holds became known.
+                first = np.maximum(first[going], since[going]).astype(np.uint8)
+                place, mixed = place[going], mixed[going]
 
     def _rows(self, names, spelled, language, parts: list[np.ndarray], slots, starts, counts: np.ndarray):
         """Record batches of phrases given by their words; without ``language`` totals by language."""

@@ -98,6 +98,16 @@ def test_longer_phrases_start_before_a_cycle_is_over_and_take_a_full_one(spark):
     assert {r["phrase"]: r["count"] for r in found.collect()}["alpha beta gamma delta"] == 40 * 30
 
 
+def test_shared_slots_leave_no_shard_out(spark):
+    """A phrase whose slot another one set early becomes active no sooner than the phrases it holds are known."""
+    rng = random.Random(0)
+    lines = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([4, 5, 6]))) for _ in range(40)]
+    rows = [(" ".join(rng.choice(lines) for _ in range(3)), "en") for _ in range(300)]
+    found = phrase_counts(frame(spark, rows), 8, shards=2, filter_bits=6).where("size > 0")
+    expected = [(" ".join(p), f) for p, f in brute_counts(rows, 4)["en"].items() if f >= 8]
+    assert listed(found.select("phrase", "count")) == sorted(expected)
+
+
 def test_top_and_ties(spark):
     rows = [("b a. d c. f e. " * 10, "en"), ("b a. d c. " * 10, "de")]
     assert listed(collocations(frame(spark, rows), 5, top=2)) == sorted(brute_collocations(rows, 5, top=2))
